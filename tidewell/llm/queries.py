@@ -7,25 +7,85 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import prepare
-from . import jaccard
+from . import decontaminate, jaccard, linededup, mixing, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest word span that each document shares with each benchmark item, from 10 words on."""
+    return decontaminate.contaminated_spans(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schedule of 8,192-token blocks, with the pieces of documents in each."""
+    return mixing.mixed_blocks(_table(spark, sf_dir, "documents"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines of 24 bytes or more that stand elsewhere first."""
+    return linededup.dedup_lines(_table(spark, sf_dir, "documents"))
+
+
+def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document; shards have at most 16 MiB of text."""
+    return sharding.shard_table(_table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of documents whose word 5-gram sets have a Jaccard index of 0.4 or more."""
     pairs = jaccard.jaccard_pairs(_table(spark, sf_dir, "documents"))
     return pairs.selectExpr("doc_id_a", "doc_id_b", "round(jaccard, 9) AS jaccard")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_ngram_jaccard_join": op9_ngram_jaccard_join}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_benchmark_decontamination, op4_source_mixing, op8_line_dedup, op9_ngram_jaccard_join, op10_kd_sharding)
+}
 
 #: Words as textbatch.words takes them: what stands between ASCII characters that are no letters or digits.
 _WORDS = r"regexp_extract_all(lower(text), '[^\x00-/:-`{-\x7f]+')"
 
+#: A line's key: the line without its outer white space, where that is long enough to count.
+_OUTER = r"chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
+
 ORACLES: dict[str, str] = {
+    "op1_benchmark_decontamination": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
+b AS (SELECT row_number() OVER () AS s, item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+dg AS (SELECT r, doc_id, unnest(generate_series(1, len(w) - 9)) AS i, w FROM d WHERE len(w) >= 10),
+bg AS (SELECT s, item_id, unnest(generate_series(1, len(w) - 9)) AS j, w FROM b WHERE len(w) >= 10),
+dh AS (SELECT r, doc_id, i, array_to_string(w[i:i + 9], ' ') AS g FROM dg),
+bh AS (SELECT s, item_id, j, array_to_string(w[j:j + 9], ' ') AS g FROM bg),
+m AS (SELECT r, doc_id, s, item_id, i, i - j AS diagonal FROM dh JOIN bh USING (g)),
+t AS (SELECT *, i - row_number() OVER (PARTITION BY r, s, diagonal ORDER BY i) AS island FROM m),
+n AS (SELECT doc_id, item_id, count(*) + 9 AS n FROM t GROUP BY r, doc_id, s, item_id, diagonal, island)
+SELECT doc_id, item_id, max(n)::INTEGER AS span_words FROM n GROUP BY ALL""",
+    "op4_source_mixing": """
+WITH d AS (
+  SELECT coalesce(source, '') AS source, doc_id, len(regexp_extract_all(text, '[^ \\t\\n\\r]+')) AS n_tokens,
+    md5('tidewell|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS place FROM documents),
+p AS (SELECT *, (sum(n_tokens) OVER (PARTITION BY source ORDER BY place, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) - n_tokens)::BIGINT AS start FROM d WHERE n_tokens > 0),
+t AS (SELECT source, sum(n_tokens)::DOUBLE AS total FROM p GROUP BY 1),
+s AS (SELECT *, pow(total / sum(total) OVER (), 0.7) AS s FROM t),
+w AS (SELECT source, total, greatest(round(s / sum(s) OVER () * 1000000), 1)::BIGINT AS weight FROM s),
+c AS (SELECT *, sum(weight) OVER (ORDER BY source)::BIGINT AS high, ceil(total / 8192)::BIGINT AS blocks FROM w),
+l AS (SELECT max(high) AS whole, ceil(max(ceil(blocks * 1e6::DOUBLE / weight)) * max(high) / 1000000.0::DOUBLE)::BIGINT + count(*) AS length FROM c),
+x AS (SELECT unnest(range(length)) AS slot, whole FROM l),
+y AS (SELECT slot, floor(((slot + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE - floor((slot + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE)) * whole)::BIGINT AS point FROM x),
+z AS (SELECT slot, source, blocks, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS k FROM y JOIN c ON point >= high - weight AND point < high),
+q AS (SELECT *, unnest(generate_series(start // 8192, (start + n_tokens - 1) // 8192)) AS block FROM p)
+SELECT slot, z.source, (k % blocks)::BIGINT AS block, (k // blocks)::BIGINT AS epoch, doc_id,
+  (greatest(q.block * 8192, start) - start)::BIGINT AS token_from, (least((q.block + 1) * 8192, start + n_tokens) - start)::BIGINT AS token_to
+FROM z JOIN q ON z.source = q.source AND z.k % z.blocks = q.block""",
+    "op8_line_dedup": f"""
+WITH l AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS a FROM documents),
+u AS (SELECT r, doc_id, unnest(a) AS line, unnest(generate_series(1, len(a))) AS i FROM l),
+k AS (SELECT *, trim(line, {_OUTER}) AS key FROM u),
+f AS (SELECT *, strlen(key) >= 24 AND (row_number() OVER (PARTITION BY key, doc_id, r ORDER BY i) > 1 OR doc_id > min(doc_id) OVER (PARTITION BY key) OR doc_id IS NULL AND min(doc_id) OVER (PARTITION BY key) IS NOT NULL) AS gone FROM k)
+SELECT any_value(doc_id) AS doc_id, count(*)::INTEGER AS n_lines, count(*) FILTER (gone)::INTEGER AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text FROM f GROUP BY r""",
     "op9_ngram_jaccard_join": f"""
 WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 g AS (
