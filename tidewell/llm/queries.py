@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import prepare
-from . import decontaminate, jaccard, linededup, mixing, sharding
+from . import chat, cotrain, crf, decontaminate, digest, jaccard, linededup, mixing, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,11 +19,36 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contaminated_spans(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document and whether it is kept."""
+    return cotrain.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entity of personal data and every secret in the documents."""
+    return crf.find_private(_table(spark, sf_dir, "documents"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The schedule of 8,192-token blocks, with the pieces of documents in each."""
     return mixing.mixed_blocks(_table(spark, sf_dir, "documents"))
 
 
+def op5_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids and loss masks of every conversation."""
+    return chat.format_chats(_table(spark, sf_dir, "conversations"))
+
+
+def op6_toxic_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxic documents."""
+    return toxicity.toxic_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of every document, and its closest neighbour within a difference of 7."""
+    return digest.nearest_digests(_table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines of 24 bytes or more that stand elsewhere first."""
     return linededup.dedup_lines(_table(spark, sf_dir, "documents"))
@@ -40,9 +65,16 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.selectExpr("doc_id_a", "doc_id_b", "round(jaccard, 9) AS jaccard")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_benchmark_decontamination, op4_source_mixing, op8_line_dedup, op9_ngram_jaccard_join, op10_kd_sharding)
+    for f in (op1_benchmark_decontamination, op2_quality_cotraining, op3_pii_crf, op4_source_mixing, op5_chat_masks, op6_toxic_clauses, op7_quartile_digest, op8_line_dedup, op9_ngram_jaccard_join, op10_kd_sharding, pipeline)
 }
 
 #: Words as textbatch.words takes them: what stands between ASCII characters that are no letters or digits.
