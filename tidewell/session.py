@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -18,3 +20,9 @@ def prepare(spark: SparkSession) -> SparkSession:
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH")) if x)
     return spark
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder for working tables: in the cluster's shared spark.checkpoint.dir, or, where that is unset, one of this machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tidewell-')}"
+    return f"{root.rstrip('/')}/tidewell/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
