@@ -33,7 +33,7 @@ def corpus(seed: int = 1, n: int = 40) -> list[tuple]:
         rows.append((n + 3 * i + 1, " ".join(near), "en", "s1", 5))
         rows.append((n + 3 * i + 2, text(r, 30) + "\n" + "this line stands in a number of the documents\n" + text(r, 20), "en", "s2", None))
     rows += [rows[3], rows[3], (None, rows[4][1], None, None, None), (None, None, None, None, None), (900, "", "en", "s0", 0), (901, None, "en", "s0", 0), (902, " \n\t ", "en", "s0", 4), (903, "...!!!", "en", "s0", 6), (904, "one", "en", "s0", 3), (905, "one", "en", "s0", 3)]
-    rows.append((999, text(r, 30_000), "en", "s3", 1))
+    rows.append((999, text(r, 3_000), "en", "s3", 1))
     return rows
 
 

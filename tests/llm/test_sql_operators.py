@@ -167,3 +167,14 @@ def test_mixed_documents_are_all_there(spark):
 def test_production_queries(spark, name):
     folder = "/root/testdata/sf0.001"
     assert_same(QUERIES[name](spark, folder), ORACLES[name], folder)
+
+
+def test_very_long_texts(spark):
+    """One text of 300,000 words, its copy, and its half: whole texts take part."""
+    words = [f"w{i * 7919 % 99991}x{i}" for i in range(300_000)]
+    rows = [(1, " ".join(words), "en", "s", 1), (2, " ".join(words), "en", "s", 1), (3, " ".join(words[150_000:]), "en", "s", 1), (4, "short one", "en", "s", 1)]
+    docs = frame(spark, rows)
+    assert sorted((r.doc_id_a, r.doc_id_b) for r in jaccard.jaccard_pairs(docs).collect()) == [(1, 2), (1, 3)]
+    bench = spark.createDataFrame([(7, " ".join(words[299_970:]))], BENCH)
+    assert {(r.doc_id, r.span_words) for r in decontaminate.contaminated_spans(docs, bench).collect()} == {(1, 30), (2, 30), (3, 30)}
+    assert {r.doc_id: r.text for r in linededup.dedup_lines(docs).collect()} == {1: rows[0][1], 2: "", 3: rows[2][1], 4: "short one"}

@@ -37,7 +37,7 @@ _DIGIT, _DOT = _CLASS == 4, _CLASS == 16
 _LETTER = np.isin(_CLASS, (1, 2, 1 << len(_CLASSES)))
 _HEX = np.isin(np.arange(256), [ord(c) for c in "0123456789abcdefABCDEF"])
 _TRIGGERS = "token secret password passwd key apikey api_key phone tel call mail email card ip ssn id iban"
-_DIGITS = np.searchsorted([1, 2, 3, 4, 5, 8, 10, 12, 16, 17, 20], np.arange(64), "right")
+_DIGITS = np.searchsorted([1, 2, 3, 4, 5, 7, 8, 9, 10, 11, 12, 13, 16, 17, 20], np.arange(64), "right")
 _LETTERS = np.searchsorted([1, 2, 4, 9, 20], np.arange(64), "right")
 
 

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .workspace import materialise, small_side
+from .workspace import fresh, materialise, small_side
 
 BLOCK_TOKENS = 8192
 #: Target weights are the natural token shares to this power (1: as they are, 0: all sources alike).
@@ -42,10 +42,14 @@ def running(df: DataFrame, group: str, bucket: str, order: list[str], amount: Co
     return df.join(before, [group, bucket]).withColumn(name, F.col("_before") + within).drop("_before", "_amount")
 
 
+def shuffle_key(docs: DataFrame) -> Column:
+    """Where a document comes in its shuffled source: a hash of the seed, its doc_id and its text."""
+    return F.md5(F.concat_ws("|", F.lit(SEED), F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.md5(F.coalesce(docs["text"].cast("string"), F.lit("")))))
+
+
 def placed(docs: DataFrame) -> DataFrame:
     """(source, doc_id, place, n_tokens, start): every document with its first token's place in the shuffled source."""
-    key = F.md5(F.concat_ws("|", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
-    rows = docs.select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("doc_id").cast("long").alias("doc_id"), key.alias("place"), tokens().alias("n_tokens"))
+    rows = docs.select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("doc_id").cast("long").alias("doc_id"), shuffle_key(docs).alias("place"), tokens().alias("n_tokens"))
     rows = rows.where("n_tokens > 0").withColumn("bucket", F.substring("place", 1, 3))
     rows = materialise(rows, "mix-rows")
     # equal rows (same doc_id and text) are told apart by a number, so that each has its own tokens
@@ -117,10 +121,11 @@ def mix_documents(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, temperature
     times = slots.groupBy("source", "block").agg(F.count("*").alias("_times"))
     home = places.withColumn("block", F.expr(f"start div {block_tokens}")).join(times, ["source", "block"])
     # rows that agree in source, doc_id and text share the mean of their counts, so the row total is right
-    many = home.groupBy("source", "place").agg(F.sum("_times").alias("_all"), F.count("*").alias("_rows"), F.max("_times").alias("_most"))
-    many = many.select(F.col("source").alias("_source"), F.col("place").alias("_place"), F.when(F.col("_rows") == 1, F.col("_all")).otherwise(F.greatest(F.round(F.col("_all") / F.col("_rows")), F.lit(1))).cast("int").alias("_copies"))
-    key = F.md5(F.concat_ws("|", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
-    many = small_side(materialise(many, "mix-copies"))
-    joined = docs.join(many, (F.coalesce(docs["source"].cast("string"), F.lit("")) == F.col("_source")) & (key == F.col("_place")), "left")
-    copies = F.when(tokens() == 0, F.lit(1)).otherwise(F.coalesce(F.col("_copies"), F.lit(0)))
-    return joined.withColumn("_i", F.explode(F.sequence(F.lit(1), F.when(copies > 0, copies)))).select(*[docs[c] for c in docs.columns])
+    many = home.groupBy("source", "place").agg(F.sum("_times").alias("_all"), F.count("*").alias("_rows"))
+    mean = F.greatest(F.round(F.col("_all") / F.col("_rows")), F.lit(1)).cast("int")
+    source, place, copies, i = (fresh(c, docs.columns) for c in ("_source", "_place", "_copies", "_i"))
+    many = small_side(materialise(many.select(F.col("source").alias(source), F.col("place").alias(place), mean.alias(copies)), "mix-copies"))
+    key = shuffle_key(docs)
+    joined = docs.join(many, (F.coalesce(docs["source"].cast("string"), F.lit("")) == F.col(source)) & (key == F.col(place)), "left")
+    times_ = F.when(tokens() == 0, F.lit(1)).otherwise(F.coalesce(F.col(copies), F.lit(0)))
+    return joined.withColumn(i, F.explode(F.sequence(F.lit(1), F.when(times_ > 0, times_)))).select(*[docs[c] for c in docs.columns])

@@ -44,6 +44,14 @@ def blocks(spark: SparkSession) -> int:
 BROADCAST_ROWS = 1_000_000
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that none of the taken ones clashes with, whatever their case."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def small_side(written: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A materialised table with a broadcast hint if it has been counted to be small enough for it."""
     return F.broadcast(written) if written.count() <= limit else written
