@@ -167,3 +167,14 @@ def joined(column: pa.ChunkedArray | pa.Array, dtype: type) -> np.ndarray:
     """The values of a binary column behind each other."""
     parts = [np.frombuffer(x.as_buffer(), dtype) for x in column if x.is_valid]
     return np.concatenate(parts) if parts else np.zeros(0, dtype)
+
+
+def pack7(h: np.ndarray) -> np.ndarray:
+    """The low seven bytes of each value."""
+    return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :7]).ravel()
+
+
+def unpack7(data: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(data) // 7, 8), np.uint8)
+    out[:, :7] = data.reshape(-1, 7)
+    return out.view(U64).ravel()
