@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
-from .workspace import materialise, small_side
+from .workspace import BROADCAST_ROWS, least_hashed, materialise, small_side
 
 #: At most so many labelled documents (those of the least hash of their doc_id) are fitted on; every document is scored and may be pseudo-labelled.
 MAX_LABELLED = 20_000
@@ -240,8 +240,13 @@ def truth(labels: DataFrame) -> DataFrame:
 
 def train(table: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_labelled: int = MAX_LABELLED) -> Model | None:
     """The model, from the features of all documents; None unless there are labelled documents of either quality."""
-    named = table.join(small_side(materialise(truth(labels), "quality-labels")), "doc_id", "left")
-    sample = named.where("quality IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id", "content").limit(max_labelled).collect()
+    known = materialise(truth(labels), "quality-labels")
+    count = known.count()
+    named = table.join(small_side(known), "doc_id", "left")
+    if count > BROADCAST_ROWS:
+        named = materialise(named, "quality-named")  # joined by shuffle, hence once
+    sample = least_hashed(named.where("quality IS NOT NULL"), "doc_id", max_labelled, count).collect()
+    sample.sort(key=lambda r: (r.doc_id, bytes(r.content)))
     y = np.array([r.quality for r in sample], float)
     if not (y == 1).any() or not (y == 0).any():
         return None

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
-from .workspace import materialise
+from .workspace import least_hashed, materialise
 
 #: At most so many labelled documents (those of the least hash of their doc_id) teach the lexicon; all documents are scored.
 MAX_LABELLED = 20_000
@@ -172,8 +172,8 @@ def run_grammar(clause: np.ndarray, symbol: np.ndarray, weight: np.ndarray) -> t
 def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Lexicon:
     """The lexicon that the labelled documents teach, next to the curated words."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("double").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
-    sample = known.groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    sample = materialise(sample, "toxic-labels")  # at most max_labelled rows, hence broadcast
+    verdicts = materialise(known.groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic")), "toxic-verdicts")
+    sample = materialise(least_hashed(verdicts, "doc_id", max_labelled, verdicts.count()), "toxic-labels")  # at most max_labelled rows, hence broadcast
     taught = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -40,6 +40,18 @@ def blocks(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def least_hashed(df: DataFrame, key: str, limit: int, count: int) -> DataFrame:
+    """The rows of the limit least hashes of a key, out of about count rows.
+
+    Rows that cannot be among them (with a margin of half) are dropped where they are, so that the tasks
+    together hand on little more than limit rows however many there are.
+    """
+    h = F.xxhash64(key)
+    if count > 2 * limit:
+        df = df.where(h < int(-(2**63) + 2**64 * 1.5 * limit / count))
+    return df.orderBy(h, key).limit(limit)
+
+
 #: A written table of at most so many rows (of a few integers each) is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
