@@ -14,9 +14,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MONTHS = "January February March April May June July August September October November December".split()
-_RANGE = r"(?i)(\d{1,2}):(\d{2})\s*(AM|PM)\s*-\s*(\d{1,2}):(\d{2})\s*(AM|PM)"
-_HOUR = r"(?i)\b\d{1,2}(?:AM|PM)\s+ET\b"
-_DATES = r"(?i)([a-z]+)\s+(\d{1,2})(?:\s*-\s*|\s+to\s+)([a-z]+\s+)?(\d{1,2}),\s+(\d{4})"
+_CLOCK = r"(\d{1,2}):(\d{2})\s*([AP]M)"
+_RANGE = rf"(?i){_CLOCK}\s*-\s*{_CLOCK}"
+_HOUR = r"(?i)\b\d{1,2}[AP]M\s+ET\b"
+_DAY = r"(\d{1,2})"
+_DATES = rf"(?i)([a-z]+)\s+{_DAY}(?:\s*-\s*|\s+to\s+)(?:([a-z]+)\s+)?{_DAY},\s+(\d{{4}})"
 _MONTH = rf"(?i)\bin\s+(?:{'|'.join(MONTHS)})\s+\d{{4}}\b"
 
 
