@@ -22,8 +22,8 @@ from .workspace import materialise
 TARGET_BYTES = 16 << 20
 BINS = 1024
 DIMENSIONS = ("lang", "source", "size", "number")
-#: Nodes of a tree that is sent to the tasks (32 bytes each); rows are walked through a larger tree by joins.
-TREE_NODES = 1_000_000
+#: Splits of a level that are broadcast (40 bytes each); more are joined by shuffle.
+TREE_NODES = 500_000
 
 
 def _text(name: str) -> Column:
@@ -71,6 +71,11 @@ class Tree:
         return F.pandas_udf(walk, "long")
 
 
+def _known(table: DataFrame, rows: int) -> DataFrame:
+    """A table of so many rows, one a node, with a broadcast hint if they are few enough."""
+    return F.broadcast(table) if rows <= TREE_NODES else table
+
+
 def build_tree(docs: DataFrame, target_bytes: int = TARGET_BYTES) -> Tree:
     """Split until every leaf has at most target_bytes, or holds rows of one and the same place only."""
     spark, tree, leaves, depth = docs.sparkSession, Tree(), [], 0
@@ -91,7 +96,7 @@ def build_tree(docs: DataFrame, target_bytes: int = TARGET_BYTES) -> Tree:
                 splits.append((r["node"], widest, float(r[f"{d}_lo"]), float(r[f"{d}_hi"]), float(r["bytes"])))
         if not splits:
             break
-        plan = spark.createDataFrame(splits, "node long, dim int, lo double, hi double, total double")
+        plan = _known(spark.createDataFrame(splits, "node long, dim int, lo double, hi double, total double"), len(splits))
         value = F.element_at(F.array(*DIMENSIONS), F.col("dim") + 1)
         joined = meta.join(plan, "node").withColumn("value", value)
         binned = joined.withColumn("bin", F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1)).cast("int"))
@@ -104,7 +109,7 @@ def build_tree(docs: DataFrame, target_bytes: int = TARGET_BYTES) -> Tree:
         for r in cuts:
             tree.dim[r["node"]], tree.cut[r["node"]] = r["dim"], r["cut"]
         depth += 1
-        level = spark.createDataFrame([(r["node"], r["dim"], r["cut"]) for r in cuts], "node long, dim int, cut double")
+        level = _known(spark.createDataFrame([(r["node"], r["dim"], r["cut"]) for r in cuts], "node long, dim int, cut double"), len(cuts))
         meta = materialise(meta.join(level, "node").select(*DIMENSIONS, "bytes", (F.col("node") * 2 + (value > F.col("cut")).cast("int")).alias("node")), "shard-meta")
     tree.finish(leaves)
     return tree
