@@ -7,16 +7,21 @@ against a service, a recording or a test alike. Requests are divided into partit
 from __future__ import annotations
 
 import random
+import sys
 import time
 from collections.abc import Callable, Iterator
 from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 Fetch = Callable[[dict], Any]
 
+# workers of data sources start without the session's path, so what they run travels whole
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 class Busy(Exception):
     """A response that asks to wait: seconds, if the service said how long."""
@@ -99,7 +104,7 @@ def feed_source(name: str, schema: str, fetch: Fetch, requests: list[dict], pagi
         def schema(self) -> str:
             return schema
 
-        def reader(self, _: Any) -> DataSourceReader:
+        def reader(self, schema: Any) -> DataSourceReader:
             return Reader()
 
     return Feed

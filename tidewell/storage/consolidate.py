@@ -77,7 +77,7 @@ def _fold(spark: SparkSession, root: str, table: Table, rows: Callable[[DataFram
         if table.partitions:
             old = old.join(F.broadcast(new.select(*table.partitions).distinct()), list(table.partitions), "left_semi")
         new = old.unionByName(new)
-    out = canonical(rows(new), table)
+    out = canonical(rows(new), table).select(*table.schema.fieldNames())
     if with_table:
         replace_partitions(out, path, table, sort)
     else:
@@ -150,7 +150,7 @@ def compact(spark: SparkSession, root: str, table: Table, rows: Callable[[DataFr
             for k, v in n.items():
                 one = one & (F.col(k) == v)
             condition = condition | one
-        replace_partitions(canonical(rows(frames.where(condition)), table), path, table)
+        replace_partitions(canonical(rows(frames.where(condition)), table).select(*table.schema.fieldNames()), path, table)
     return full
 
 
