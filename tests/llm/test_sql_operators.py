@@ -178,3 +178,15 @@ def test_very_long_texts(spark):
     bench = spark.createDataFrame([(7, " ".join(words[299_970:]))], BENCH)
     assert {(r.doc_id, r.span_words) for r in decontaminate.contaminated_spans(docs, bench).collect()} == {(1, 30), (2, 30), (3, 30)}
     assert {r.doc_id: r.text for r in linededup.dedup_lines(docs).collect()} == {1: rows[0][1], 2: "", 3: rows[2][1], 4: "short one"}
+
+
+@pytest.mark.parametrize("seed", [1, 4])
+def test_heavy_grams_change_nothing(spark, monkeypatch, seed):
+    """Grams of many documents travel with their sets; the pairs stay as they are."""
+    rows = [(i, f"{t} and all of them end with the same words here", *rest) if t else (i, t, *rest) for i, t, *rest in corpus(seed)]
+    monkeypatch.setattr(jaccard, "HEAVY", 20)
+    monkeypatch.setattr(jaccard, "HEAVY_LOT", 2)
+    docs = frame(spark, rows)
+    assert len(jaccard.heavy_grams(docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL"), 5, len(rows))) >= 5
+    pairs = jaccard.jaccard_pairs(docs).selectExpr("doc_id_a", "doc_id_b", "round(jaccard, 9) AS jaccard")
+    assert_same(pairs, ORACLES["op9_ngram_jaccard_join"], documents=arrow(rows))
