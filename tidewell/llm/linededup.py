@@ -2,8 +2,8 @@
 
 The distinct lines of the corpus are divided over shards by their hash. Each shard is
 a level-by-level minimal perfect hash (Limasset et al. 2017) which maps a line to its place in
-compact arrays: a 32-bit fingerprint, the number of documents that hold the line, and
-the first of them. Shards are written to the shared folder; documents probe them there, a shard at a
+compact arrays: a 32-bit fingerprint, the number of rows that hold the line, and the least doc_id
+among them. Shards are written to the shared folder; documents probe them there, a shard at a
 time for a whole buffer of documents, and no line is ever joined.
 """
 
@@ -101,13 +101,21 @@ def _shard(h: np.ndarray, count: int) -> np.ndarray:
     return ((h >> U64(40)) * U64(count) >> U64(24)).astype(np.int32)
 
 
+def _counted(h: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes in order, with the sum of their counts and the least of their ids."""
+    order = np.lexsort((ids, h))
+    h = h[order]
+    start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    return h[start], np.add.reduceat(counts[order], start), ids[order][start]
+
+
 def _sent(count: int, least: int):
     def flush(h: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-        shard = _shard(h, count)
-        order = np.argsort(shard, kind="stable")
-        present, cuts = np.unique(shard[order], return_index=True)
+        """Distinct lines with their documents counted, so that a line of a million documents is a row a lot."""
+        h, counts, first = _counted(h, np.ones(len(h), np.int64), ids)
+        present, cuts = np.unique(_shard(h, count), return_index=True)
         cuts = np.append(cuts, len(h))
-        return pa.RecordBatch.from_arrays([pa.array(present, pa.int32()), tb.binaries(h[order], cuts), tb.binaries(ids[order], cuts)], names=["shard", "lines", "ids"])
+        return pa.RecordBatch.from_arrays([pa.array(present, pa.int32()), tb.binaries(h, cuts), tb.binaries(counts, cuts), tb.binaries(first, cuts)], names=["shard", "lines", "counts", "first"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -127,13 +135,7 @@ def _sent(count: int, least: int):
 
 
 def _built(table: pa.Table) -> pa.Table:
-    h, ids = tb.joined(table["lines"], U64), tb.joined(table["ids"], np.int64)
-    order = np.lexsort((ids, h))
-    h, ids = h[order], ids[order]
-    fresh = np.append(True, (h[1:] != h[:-1]) | (ids[1:] != ids[:-1]))
-    h, ids = h[fresh], ids[fresh]
-    start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-    keys, counts, first = h[start], np.diff(np.append(start, len(h))), ids[start]
+    keys, counts, first = _counted(tb.joined(table["lines"], U64), tb.joined(table["counts"], np.int64), tb.joined(table["first"], np.int64))
     perfect = PerfectHash.of(keys)
     at = perfect.place(keys)
     prints, held, owner = np.empty(len(keys), U32), np.empty(len(keys), U32), np.empty(len(keys), np.int64)
@@ -229,7 +231,7 @@ def line_index(docs: DataFrame, min_bytes: int = MIN_BYTES) -> tuple[str, int]:
     spark, count = docs.sparkSession, blocks(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     path = table_path(spark, "lines")
-    shards = source.mapInArrow(_sent(count, min_bytes), "shard int, lines binary, ids binary").groupBy("shard").applyInArrow(_built, "shard int, sizes binary, bits binary, prints binary, counts binary, first binary")
+    shards = source.mapInArrow(_sent(count, min_bytes), "shard int, lines binary, counts binary, first binary").groupBy("shard").applyInArrow(_built, "shard int, sizes binary, bits binary, prints binary, counts binary, first binary")
     shards.write.partitionBy("shard").parquet(path)
     return path, count
 
