@@ -123,9 +123,9 @@ def mix_documents(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, temperature
     # rows that agree in source, doc_id and text share the mean of their counts, so the row total is right
     many = home.groupBy("source", "place").agg(F.sum("_times").alias("_all"), F.count("*").alias("_rows"))
     mean = F.greatest(F.round(F.col("_all") / F.col("_rows")), F.lit(1)).cast("int")
-    source, place, copies, i = (fresh(c, docs.columns) for c in ("_source", "_place", "_copies", "_i"))
-    many = small_side(materialise(many.select(F.col("source").alias(source), F.col("place").alias(place), mean.alias(copies)), "mix-copies"))
-    key = shuffle_key(docs)
-    joined = docs.join(many, (F.coalesce(docs["source"].cast("string"), F.lit("")) == F.col(source)) & (key == F.col(place)), "left")
+    key, copies, i = (fresh(c, docs.columns) for c in ("_key", "_copies", "_i"))
+    # one 64-bit key: a broadcast of it takes a few bytes a document
+    many = small_side(materialise(many.select(F.xxhash64("source", "place").alias(key), mean.alias(copies)).groupBy(key).agg(F.max(copies).alias(copies)), "mix-copies"))
+    joined = docs.join(many, F.xxhash64(F.coalesce(docs["source"].cast("string"), F.lit("")), shuffle_key(docs)) == F.col(key), "left")
     times_ = F.when(tokens() == 0, F.lit(1)).otherwise(F.coalesce(F.col(copies), F.lit(0)))
     return joined.withColumn(i, F.explode(F.sequence(F.lit(1), F.when(times_ > 0, times_)))).select(*[docs[c] for c in docs.columns])
