@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,9 +60,25 @@ def provenance(df: DataFrame) -> DataFrame:
     return df.select("*", F.col("_metadata.file_modification_time").alias("_src_mtime"), F.col("_metadata.file_name").alias("_src_file"), F.col("_metadata.row_index").alias("_src_row"))
 
 
-def _parts(path: str, names: tuple[str, ...]) -> dict[str, str]:
-    found = dict(x.split("=", 1) for x in path.split("/") if "=" in x)
-    return {n: found[n] for n in names if n in found}
+def footers(spark: SparkSession, paths: list[str]) -> list[tuple[str, str | None]]:
+    """Each file with the schema in its footer as text (None: unreadable), read by the executors, a few bytes a file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shapes = []
+            for path in batch.column(0).to_pylist():
+                try:
+                    fs, inner = pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", re.sub(r"^s3[an]:", "s3:", path)))
+                    shapes.append(pq.read_schema(inner, filesystem=fs).remove_metadata().to_string())
+                except (pa.ArrowInvalid, OSError):
+                    shapes.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shapes, pa.string())], names=["path", "shape"])
+
+    if not paths:
+        return []
+    listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(min(len(paths), 4 * spark.sparkContext.defaultParallelism))
+    shapes = {r.path: r.shape for r in listed.mapInArrow(run, "path string, shape string").collect()}
+    return [(p, shapes[p]) for p in paths]
 
 
 def read_drifting(spark: SparkSession, root: str, table: Table, track: bool = False) -> DataFrame:
@@ -67,18 +88,12 @@ def read_drifting(spark: SparkSession, root: str, table: Table, track: bool = Fa
     united by name; only footers are read beforehand. Files without a readable footer are skipped. Partition columns come
     from the path, also where a file has its own copies. track adds the provenance columns.
     """
-    groups: dict[tuple[str, str], list[str]] = defaultdict(list)
-    for path in data_files(spark, root):
-        try:
-            schema = spark.read.parquet(path).schema
-        except Exception as error:  # noqa: BLE001  an unreadable file is left out, whatever is wrong with it
-            if "footer" in str(error).lower() or "parquet" in str(error).lower():
-                continue
-            raise
-        body = [f for f in schema.fields if f.name not in table.partitions]
-        groups[",".join(f"{f.name}:{f.dataType.simpleString()}" for f in body), ""].append(path)
+    groups: dict[str, list[str]] = defaultdict(list)
+    for path, shape in footers(spark, data_files(spark, root)):
+        if shape is not None:
+            groups[shape].append(path)
     frames = []
-    for (_, _), paths in groups.items():
+    for paths in groups.values():
         df = spark.read.option("basePath", root).option("ignoreCorruptFiles", "true").parquet(*paths)
         if track:
             df = provenance(df)

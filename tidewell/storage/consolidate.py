@@ -19,7 +19,7 @@ from ..catalog import STAGING, VIEWS
 from ..operators.dedup import WRITERS, dedup_orderbook, dedup_ticks, keep_last, merge_columns
 from ..schemas import CULTURE_PRICES, HEARTBEATS, ORDERBOOK, PRICES, SPOT_PRICES, TICKS, Table
 from ..sources.hive import canonical, data_files, path_exists, read_drifting
-from .writers import _writer, remove, replace_partitions
+from .writers import _writer, remove, replace_partitions, touched
 
 #: A partition with so many parts is folded into one.
 PARTS = 32
@@ -75,7 +75,7 @@ def _fold(spark: SparkSession, root: str, table: Table, rows: Callable[[DataFram
     if with_table and data_files(spark, path):
         old = read_drifting(spark, path, table, track=True)
         if table.partitions:
-            old = old.join(F.broadcast(new.select(*table.partitions).distinct()), list(table.partitions), "left_semi")
+            old = touched(old, new, table)
         new = old.unionByName(new)
     out = canonical(rows(new), table).select(*table.schema.fieldNames())
     if with_table:

@@ -74,7 +74,10 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def touched(existing: DataFrame, new: DataFrame, table: Table) -> DataFrame:
-    """The rows of existing in the partitions of new: a semi-join on the partition columns, which prunes the scan at run time."""
+    """The rows of existing in the partitions of new: a semi-join on the partition columns, which prunes the scan at run time.
+
+    What is broadcast is a row a partition directory, which the driver has listed for the scan already.
+    """
     return existing.join(F.broadcast(new.select(*table.partitions).distinct()), list(table.partitions), "left_semi") if table.partitions else existing
 
 
