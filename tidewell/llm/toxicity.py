@@ -26,7 +26,7 @@ from .workspace import least_hashed, materialise
 #: At most so many labelled documents (those of the least hash of their doc_id) teach the lexicon; all documents are scored.
 MAX_LABELLED = 20_000
 #: A learnt word stands in so many toxic documents at least, this many times more often than in others, with this likelihood-ratio statistic.
-LEAST_DOCS, LEAST_RATIO, LEAST_G2 = 3, 5.0, 30.0
+LEAST_DOCS, LEAST_RATIO, LEAST_G2 = 3, 50.0, 30.0
 #: Weights without labels to learn from: an insult, an ordinary word, and the prior log-odds of a toxic document.
 INSULT, ORDINARY, PRIOR = 6.0, 0.02, -2.2
 THREAT, TARGETED = 6.0, 2.0
