@@ -120,7 +120,7 @@ def nearest_digests(docs: DataFrame, near: int = NEAR) -> DataFrame:
 
     The neighbour has a difference of at most near (of equal ones, the least doc_id), else it is null.
     near must be below the number of bands, which makes the search exact: digests within near agree in
-    at least one band. Equal digests are folded into one before the search, so copies cost
+    at least one band, and their header differs by single steps. Equal digests are folded into one before the search, so copies cost
     nothing; a document with a null doc_id or digest has no neighbour and is none. Rows of one doc_id that have the same digest are one document.
     """
     if near >= BANDS:
@@ -128,9 +128,16 @@ def nearest_digests(docs: DataFrame, near: int = NEAR) -> DataFrame:
     table = materialise(digest_table(docs), "digests")
     alone = table.where("doc_id IS NOT NULL AND digest IS NOT NULL")
     groups = alone.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    bands = groups.select("digest", "least", "most", F.posexplode(F.array(*[F.substring("digest", 7 + 8 * i, 8) for i in range(BANDS)])).alias("band", "code"))
+    # a length or a quartile ratio further apart than one step costs more than near allows, so such pairs are never made
+    number = lambda at, n: F.conv(F.substring("digest", at, n), 16, 10).cast("int")
+    groups = groups.withColumns({"size": number(3, 2), "low": number(5, 1), "middle": number(6, 1)})
+    bands = groups.select("digest", "least", "most", "size", "low", "middle", F.posexplode(F.array(*[F.substring("digest", 7 + 8 * i, 8) for i in range(BANDS)])).alias("band", "code"))
     left, right = bands.alias("l"), bands.alias("r")
-    pairs = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.code") == F.col("r.code")) & (F.col("l.digest") < F.col("r.digest")))
+    alike = (F.col("l.band") == F.col("r.band")) & (F.col("l.code") == F.col("r.code")) & (F.col("l.digest") < F.col("r.digest"))
+    for name, around in (("size", 256), ("low", 16), ("middle", 16)):
+        gap = F.abs(F.col(f"l.{name}") - F.col(f"r.{name}"))
+        alike = alike & (F.least(gap, around - gap) <= 1)
+    pairs = left.join(right, alike)
     pairs = pairs.select(F.col("l.digest").alias("a"), F.col("l.least").alias("a_id"), F.col("r.digest").alias("b"), F.col("r.least").alias("b_id")).distinct()
     pairs = pairs.withColumn("difference", digest_difference("a", "b")).where(F.col("difference") <= near)
     both = pairs.select(F.col("a").alias("digest"), "difference", F.col("b_id").alias("other")).union(pairs.select(F.col("b").alias("digest"), "difference", F.col("a_id").alias("other")))
