@@ -93,3 +93,17 @@ def test_audit_command(spark, tmp_path):
     assert main([*args, "--max-gap-ms", "90000"], spark) == 0
     assert main([*args, "--out", f"{tmp_path}/manifest"], spark) == 1
     assert main([*args, "--previous", f"{tmp_path}/manifest"], spark) == 0
+
+
+def test_monitor_tells_once():
+    from types import SimpleNamespace as N
+
+    from tidewell.streaming.monitor import Monitor
+
+    told = []
+    m = Monitor(lambda kind, name, facts: told.append((kind, name)), batches=2)
+    m.onQueryStarted(N(runId="r"))
+    for _ in range(4):
+        m.onQueryProgress(N(progress=N(runId="r", id="q", name="ticks", batchId=1, inputRowsPerSecond=9.0, processedRowsPerSecond=3.0)))
+    m.onQueryTerminated(N(runId="r", id="q", exception="boom"))
+    assert told == [("behind", "ticks"), ("failed", "q")]

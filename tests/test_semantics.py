@@ -72,6 +72,19 @@ def test_asof_is_inclusive_and_whole(spark):
     assert [r for r in rows(near, "t", "at_match") if r[1] is not None] == [(1000, 1000)]
 
 
+@pytest.mark.parametrize("bucket", [None, 7, 50, 10_000])
+def test_asof_against_a_model(spark, bucket):
+    r = random.Random(8)
+    left = [(r.choice("ab"), r.randint(0, 300), i) for i in range(120)]
+    right = [(r.choice("abc"), r.randint(0, 300), round(r.random(), 3)) for _ in range(60)]
+    expected = []
+    for k, t, i in left:
+        before = [(at, v) for key, at, v in right if key == k and at <= t]
+        expected.append((i, *(max(before) if before else (None, None))))
+    out = asof.asof_join(spark.createDataFrame(left, "k string, t int, i int"), spark.createDataFrame(right, "k string, at int, v double"), ["k"], "t", "at", ["v"], bucket=bucket)
+    assert rows(out, "i", "at_match", "v") == sorted(expected, key=repr)
+
+
 def test_two_sided_alignment(spark):
     points = spark.createDataFrame([("m", 0, "up", 0.6), ("m", 100, "up", 0.65), ("m", 0, "down", 0.4), ("m", 50, "down", 0.35), ("n", 5, "up", 0.9)], "market_id string, t int, side string, p double")
     assert rows(asof.align_sides(points, ["market_id"], "t", "side", "p")) == sorted([("m", 0, 0.6, 0.4), ("m", 50, 0.6, 0.35), ("m", 100, 0.65, 0.35), ("n", 5, 0.9, 0.5)], key=repr)
