@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .questions import KINDS, Kind, extract_asset, extract_timeframe, has_phrase, kind_of
-from .scalars import iso_seconds, json_list, text_or_null
+from .scalars import iso_seconds, json_list, let, text_or_null
 
 #: A raw record as a feed gives it; list fields may be JSON text.
 RAW = (
@@ -20,12 +20,17 @@ WON = 0.99
 
 def outcome_pairs() -> Column:
     """array<struct<outcome, token_id>>: the nested tokens if all are filled, else the two lists side by side, else empty."""
-    nested = F.transform("tokens", lambda t: F.struct(F.trim(F.coalesce(t["outcome"], F.lit(""))).alias("outcome"), F.trim(F.coalesce(text_or_null(t["token_id"]), t["tokenId"], F.lit(""))).alias("token_id")))
-    names, ids = json_list("outcomes"), json_list("clobTokenIds")
-    zipped = F.transform(F.arrays_zip(names.alias("a"), ids.alias("b")), lambda z: F.struct(F.trim(F.coalesce(z["a"], F.lit(""))).alias("outcome"), F.trim(F.coalesce(z["b"], F.lit(""))).alias("token_id")))
+    text = lambda c: F.trim(F.coalesce(c, F.lit("")))
     filled = lambda a: (F.size(a) > 0) & F.forall(a, lambda t: (t["outcome"] != "") & (t["token_id"] != ""))
-    empty = F.array().cast("array<struct<outcome:string,token_id:string>>")
-    return F.when(F.coalesce(filled(nested), F.lit(False)), nested).when((F.size(names) == F.size(ids)) & filled(zipped), zipped).otherwise(empty)
+    nested = F.transform("tokens", lambda t: F.struct(text(t["outcome"]).alias("outcome"), text(F.coalesce(text_or_null(t["token_id"]), t["tokenId"])).alias("token_id")))
+
+    def side_by_side(lists: Column) -> Column:
+        zipped = F.transform(F.arrays_zip(lists["names"].alias("a"), lists["ids"].alias("b")), lambda z: F.struct(text(z["a"]).alias("outcome"), text(z["b"]).alias("token_id")))
+        return F.when(F.size(lists["names"]) == F.size(lists["ids"]), let(zipped, lambda z: F.when(filled(z), z)))
+
+    lists = F.struct(json_list("outcomes").alias("names"), json_list("clobTokenIds").alias("ids"))
+    own = let(nested, lambda a: F.when(filled(a), a))
+    return F.coalesce(own, let(lists, side_by_side), F.array().cast("array<struct<outcome:string,token_id:string>>"))
 
 
 def _side(pairs: str, phrases: tuple[str, ...], but: tuple[str, ...] = ()) -> Column:
@@ -54,19 +59,26 @@ def normalize_markets(raw: DataFrame, kinds: tuple[Kind, ...] = KINDS, now_ts: C
     Left out: questions of no kind, without timeframe or asset, with unreadable times or a start not before the end, and
     binary markets without an up and a down side. A market without an end counts as ending now.
     """
-    df = raw.withColumn("_kind", kind_of("question", kinds)).where("_kind IS NOT NULL")
     now = now_ts if now_ts is not None else F.unix_timestamp()
-    df = df.select(
-        "*",
-        extract_timeframe("question", kinds, strict=True).alias("timeframe"),
-        extract_asset("question", kinds, strict=True).alias("crypto"),
-        iso_seconds(F.coalesce(text_or_null("start_date"), F.col("startDate"))).alias("start_ts"),
-        F.when(F.coalesce(text_or_null("end_date"), text_or_null("endDate")).isNull(), now).otherwise(iso_seconds(F.coalesce(text_or_null("end_date"), F.col("endDate")))).alias("end_ts"),
-        iso_seconds(F.coalesce(text_or_null("closedTime"), F.col("closed_time"))).alias("closed_ts"),
-        outcome_pairs().alias("_pairs"),
-        F.trim(text_or_null("groupItemTitle")).alias("bucket_label"),
-        F.trim("groupItemThreshold").try_cast("int").alias("bucket_index"),
-    ).where("timeframe IS NOT NULL AND crypto IS NOT NULL AND start_ts < end_ts")
+    given_end = F.coalesce(text_or_null("end_date"), text_or_null("endDate"))
+
+    def parsed(key: Column) -> Column:
+        return F.struct(
+            key.alias("_kind"),
+            extract_timeframe("question", kinds, strict=True, key=key).alias("timeframe"),
+            extract_asset("question", kinds, strict=True, key=key).alias("crypto"),
+            iso_seconds(F.coalesce(text_or_null("start_date"), F.col("startDate"))).alias("start_ts"),
+            F.when(given_end.isNull(), now).otherwise(iso_seconds(given_end)).alias("end_ts"),
+            iso_seconds(F.coalesce(text_or_null("closedTime"), F.col("closed_time"))).alias("closed_ts"),
+            outcome_pairs().alias("_pairs"),
+            F.trim(text_or_null("groupItemTitle")).alias("bucket_label"),
+            F.trim("groupItemThreshold").try_cast("int").alias("bucket_index"),
+        )
+
+    # generating the parsed row, rather than filtering columns, keeps the planner from working every pattern out a second time for the filter
+    good = lambda r: r["timeframe"].isNotNull() & r["crypto"].isNotNull() & (r["start_ts"] < r["end_ts"])
+    row = let(kind_of("question", kinds), lambda key: F.when(key.isNotNull(), parsed(key)))
+    df = raw.select("*", F.explode(F.filter(F.array(row), lambda r: r.isNotNull() & good(r))).alias("_row")).select(*raw.columns, "_row.*")
     df = df.withColumn("slug", F.trim(text_or_null("slug"))).withColumn("event_slug", event_slug())
     winner = F.get(F.filter("tokens", lambda t: F.coalesce(t["winner"], F.lit(False))), F.lit(0))["outcome"]
     df = df.withColumn("_winner", F.trim(winner)).withColumn("_priced", price_resolution())

@@ -8,11 +8,14 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .scalars import let
+
 MONTHS = "January February March April May June July August September October November December".split()
 _CLOCK = r"(\d{1,2}):(\d{2})\s*([AP]M)"
 _RANGE = rf"(?i){_CLOCK}\s*-\s*{_CLOCK}"
@@ -119,36 +122,38 @@ def kind_of(text: Column | str, kinds: tuple[Kind, ...] = KINDS) -> Column:
 def range_minutes(text: Column | str) -> Column:
     """Minutes from the first to the second clock time of "h:mmAM - h:mmPM"; past midnight if it would not be positive."""
 
-    def clock(at: int) -> Column:
-        hour, minute, half = (F.regexp_extract(_c(text), _RANGE, at + i) for i in range(3))
+    def clock(found: Column, at: int) -> Column:
+        hour, minute, half = (F.regexp_extract(found, _RANGE, at + i) for i in range(3))
         h, m = hour.try_cast("int"), minute.try_cast("int")
         minutes = (h % 12) * 60 + m + F.when(F.upper(half) == "PM", 720).otherwise(0)
         return F.when(h.between(1, 12) & (m < 60), minutes)
 
-    gap = clock(4) - clock(1)
-    return F.when(gap <= 0, gap + 1440).otherwise(gap).cast("int")
+    gap = lambda found: F.pmod(clock(found, 4) - clock(found, 1) - 1, F.lit(1440)) + 1
+    return let(F.regexp_extract(_c(text), _RANGE, 0), lambda found: F.when(found != "", gap(found))).cast("int")
 
 
 def dates_minutes(text: Column | str) -> Column:
     """Minutes from the first to the second date of "Month d to [Month] d, yyyy"; into the next year if it would be negative. Null where a month's name is none."""
-    one, day, two, last, year = (F.regexp_extract(_c(text), _DATES, i) for i in range(1, 6))
-    two = F.when(F.trim(two) == "", one).otherwise(F.trim(two))
 
     def date(month: Column, d: Column, y: Column) -> Column:
         at = F.array_position(F.array(*[F.lit(m.lower()) for m in MONTHS]), F.lower(month))
         return F.when(at > 0, F.unix_date(F.try_to_date(F.format_string("%s-%02d-%s", y, at.cast("int"), F.lpad(d, 2, "0")), "yyyy-MM-dd")))
 
-    start = date(one, day, year)
-    same, later = date(two, last, year), date(two, last, (year.try_cast("int") + 1).cast("string"))
-    days = F.when(same < start, later - start).otherwise(same - start)
-    return (days * 1440).cast("int")
+    def days(found: Column) -> Column:
+        one, day, two, last, year = (F.regexp_extract(found, _DATES, i) for i in range(1, 6))
+        two = F.when(two == "", one).otherwise(two)
+        start, same = date(one, day, year), date(two, last, year)
+        return F.when(same < start, date(two, last, (year.try_cast("int") + 1).cast("string")) - start).otherwise(same - start)
+
+    return (let(F.regexp_extract(_c(text), _DATES, 0), lambda found: F.when(found != "", days(found))) * 1440).cast("int")
 
 
 def timeframe_of(text: Column | str, kind: Kind) -> Column:
     """By phrase, else by the length of a clock or date range, else by a single hour, else by a month."""
     named = first_match(text, {t.name: t.phrases for t in kind.timeframes})
-    minutes = F.coalesce(range_minutes(text), dates_minutes(text))
-    by_length = F.coalesce(*[F.when(minutes == t.minutes, F.lit(t.name)) for t in kind.timeframes if t.minutes is not None], F.lit(None).cast("string"))
+    lengths = {t.minutes: t.name for t in reversed(kind.timeframes) if t.minutes is not None}
+    known = F.create_map(*[F.lit(x) for pair in lengths.items() for x in pair]) if lengths else F.lit(None).cast("map<int,string>")
+    by_length = F.try_element_at(known, F.coalesce(range_minutes(text), dates_minutes(text)))
 
     def flagged(pattern: str, flag: str) -> list[Column]:
         names = [t.name for t in kind.timeframes if getattr(t, flag)]
@@ -157,21 +162,23 @@ def timeframe_of(text: Column | str, kind: Kind) -> Column:
     return F.coalesce(named, by_length, *flagged(_HOUR, "by_hour"), *flagged(_MONTH, "by_month"))
 
 
-def _by_kind(text: Column | str, kinds: tuple[Kind, ...], of, default: Kind | None) -> Column:
-    key = kind_of(text, kinds)
-    out = None
-    for k in kinds:
-        out = F.when(key == k.key, of(k)) if out is None else out.when(key == k.key, of(k))
-    return out.otherwise(of(default)) if default else out
+def _by_kind(text: Column | str, kinds: tuple[Kind, ...], of: Callable[[Kind], Column], default: Kind | None, key: Column | None = None) -> Column:
+    def choose(key: Column) -> Column:
+        out = None
+        for k in kinds:
+            out = F.when(key == k.key, of(k)) if out is None else out.when(key == k.key, of(k))
+        return out.otherwise(of(default)) if default else out
+
+    return choose(key) if key is not None else let(kind_of(text, kinds), choose)
 
 
-def extract_timeframe(text: Column | str, kinds: tuple[Kind, ...] = KINDS, strict: bool = False) -> Column:
-    """The timeframe by the question's kind; a question of no kind is taken for the first kind unless strict."""
-    return _by_kind(text, kinds, lambda k: timeframe_of(text, k), None if strict else kinds[0])
+def extract_timeframe(text: Column | str, kinds: tuple[Kind, ...] = KINDS, strict: bool = False, key: Column | None = None) -> Column:
+    """The timeframe by the question's kind (key, if it is known); a question of no kind is taken for the first kind unless strict."""
+    return _by_kind(text, kinds, lambda k: timeframe_of(text, k), None if strict else kinds[0], key)
 
 
-def extract_asset(text: Column | str, kinds: tuple[Kind, ...] = KINDS, strict: bool = False) -> Column:
-    return _by_kind(text, kinds, lambda k: first_match(text, k.assets), None if strict else kinds[0])
+def extract_asset(text: Column | str, kinds: tuple[Kind, ...] = KINDS, strict: bool = False, key: Column | None = None) -> Column:
+    return _by_kind(text, kinds, lambda k: first_match(text, k.assets), None if strict else kinds[0], key)
 
 
 def normalize_timeframe(value: str, kinds: tuple[Kind, ...] = KINDS) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def safe_double(x: Column | str) -> Column:
     """A finite double, or null."""
     v = _c(x).cast("string").try_cast("double")
@@ -32,9 +39,13 @@ def iso_seconds(x: Column | str) -> Column:
     v = F.regexp_replace(v, r"[Zz]$", "+00:00")
     v = F.regexp_replace(v, r"(:\d{2}(?:\.\d+)?[+-]\d{2})$", "$1:00")
     v = F.regexp_replace(v, r"(\.\d{1,6})\d*", "$1")
-    shaped = v.rlike(r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}(:\d{2}(\.\d+)?)?([+-]\d{2}:\d{2})?)?$")
-    offset = F.when(v.rlike(r"[+-]\d{2}:\d{2}$") & v.contains("T"), v).otherwise(F.when(v.contains("T"), F.concat(v, F.lit("+00:00"))).otherwise(F.concat(v, F.lit("T00:00:00+00:00"))))
-    return F.when(shaped, F.unix_seconds(F.try_to_timestamp(offset)))
+    def seconds(v: Column) -> Column:
+        shaped = v.rlike(r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}(:\d{2}(\.\d+)?)?([+-]\d{2}:\d{2})?)?$")
+        zoned = v.contains("T") & v.rlike(r"[+-]\d{2}:\d{2}$")
+        whole = F.when(zoned, v).when(v.contains("T"), F.concat(v, F.lit("+00:00"))).otherwise(F.concat(v, F.lit("T00:00:00+00:00")))
+        return F.when(shaped, F.unix_seconds(F.try_to_timestamp(whole)))
+
+    return let(v, seconds)
 
 
 def ms_to_s(x: Column | str) -> Column:
