@@ -155,7 +155,9 @@ class View:
             at = at + move
             if np.abs(move).max() < 1e-7:
                 break
-        self.a, self.b = max(float(at[0]), 1e-3), float(at[1])
+        # a view that is no better than chance says what is usual
+        usual = float(np.log(target.mean() / (1 - target.mean())))
+        self.a, self.b = (float(at[0]), float(at[1])) if at[0] > 0 else (0.0, usual)
 
 
 @dataclass
@@ -173,9 +175,16 @@ class Model:
         x = np.stack([self.content.logit(c), self.meta.logit(m), np.ones(len(y))], 1)
         near, hold = np.array([0.5, 0.5, 0.0]), np.array([1.0, 1.0, 1.0])
         w = near.copy()
-        for _ in range(25):
+        loss = lambda v: (np.logaddexp(0, x @ v) - y * (x @ v)).sum() + 0.5 * (hold * (v - near) ** 2).sum()
+        for _ in range(40):
             p = _p(x @ w)
-            w = w + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(hold), x.T @ (y - p) - hold * (w - near))
+            move = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(hold), x.T @ (y - p) - hold * (w - near))
+            while loss(w + move) > loss(w) and np.abs(move).max() > 1e-9:
+                move = move / 2
+            w = w + move
+            if np.abs(move).max() < 1e-7:
+                break
+        w[:2] = np.maximum(w[:2], 0)
         self.blend = w
 
 
