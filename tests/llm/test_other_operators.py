@@ -15,7 +15,7 @@ from tidewell.llm.queries import QUERIES
 FOLDER = "/root/testdata/sf0.001"
 
 
-# --- quality -------------------------------------------------------------------------------------------------------
+# quality
 
 
 def _quality(n=300, seed=1):
@@ -73,7 +73,7 @@ def test_cotraining_on_odd_tables(spark):
     assert cotrain.score_quality(df.limit(0), odd).count() == 0
 
 
-# --- personal data -------------------------------------------------------------------------------------------------
+# personal data
 
 
 def test_field_on_held_out_sentences():
@@ -126,7 +126,7 @@ def test_private_spans(spark, clash):
     assert crf.find_private(frame(spark, [])).count() == 0
 
 
-# --- chat ----------------------------------------------------------------------------------------------------------
+# chat
 
 
 def test_chats_round_trip(spark):
@@ -153,7 +153,7 @@ def test_chats_round_trip(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
-# --- toxicity ------------------------------------------------------------------------------------------------------
+# toxicity
 
 
 def _weights(sentence: str):
@@ -228,7 +228,7 @@ def test_toxic_documents(spark):
     assert toxicity.toxic_documents(frame(spark, corpus(1), True), known).count() >= 0
 
 
-# --- digests -------------------------------------------------------------------------------------------------------
+# digests
 
 
 def test_bucket_counts_by_brute_force():
@@ -279,7 +279,7 @@ def test_difference_is_bounded():
     assert (digest.difference(a, a) == 0).all() and (d == digest.difference(b, a)).all() and (d <= digest.LIMIT).all() and (d > digest.NEAR).all()
 
 
-# --- sharding ------------------------------------------------------------------------------------------------------
+# sharding
 
 
 def _kd(rows, target):
