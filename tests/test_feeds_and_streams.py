@@ -47,12 +47,14 @@ def test_cursor_guard_and_retry():
 
 
 def test_messages_become_ticks(spark, tmp_path):
+    level = lambda p: [{"size": "1", "price": p}]
+    book = lambda token, bids, asks, **kind: {**kind, "asks": asks, "asset_id": token, "bids": bids}
     messages = [
-        json.dumps({"event_type": "last_trade_price", "asset_id": "T", "timestamp": "5", "price": "0.5", "size": "2"}),
-        json.dumps({"event_type": "book", "asset_id": "T", "bids": [{"price": "0.4", "size": "1"}], "asks": []}),
-        json.dumps([{"asset_id": "T", "bids": [], "asks": [{"price": "0.6", "size": "1"}]}, {"asset_id": "U", "bids": [], "asks": []}]),
-        json.dumps({"event_type": "price_change", "price_changes": [{"asset_id": "T", "best_bid": "0.45"}, {"asset_id": ""}]}),
-        json.dumps({"type": "update", "topic": "c", "payload": {"symbol": "BTCUSDT", "value": 5, "timestamp": 7}}),
+        json.dumps(dict(event_type="last_trade_price", size="2", timestamp="5", asset_id="T", price="0.5")),
+        json.dumps(book("T", level("0.4"), [], event_type="book")),
+        json.dumps([book("T", [], level("0.6")), book("U", [], [])]),
+        json.dumps(dict(price_changes=[dict(best_bid="0.45", asset_id="T"), dict(asset_id="")], event_type="price_change")),
+        json.dumps(dict(topic="c", type="update", payload=dict(value=5, timestamp=7, symbol="BTCUSDT"))),
         "PONG",
     ]
     spark.createDataFrame([(m, i) for i, m in enumerate(messages)], "value string, recv_ns bigint").write.parquet(f"{tmp_path}/in")

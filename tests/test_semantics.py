@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 from collections import deque
 
@@ -112,7 +113,7 @@ def test_bursts_against_a_queue(spark):
     assert rows(out, "shard_key", "n", "burst_start", "burst_end") == sorted(expected, key=repr)
 
 
-@pytest.mark.parametrize("data,expected", [([(100, 300), (200, 400), (350, 500)], [(100, 500)]), ([(0, 1), (100_001, 100_002)], [(0, 1), (100_001, 100_002)]), ([(0, 10), (60_010, 60_020)], [(0, 60_020)])])
+@pytest.mark.parametrize("data,expected", [([(0, 30), (20, 40), (35, 50)], [(0, 50)]), ([(0, 1), (100_001, 100_002)], [(0, 1), (100_001, 100_002)]), ([(0, 10), (60_010, 60_020)], [(0, 60_020)])])
 def test_interval_merge(spark, data, expected):
     df = spark.createDataFrame([("k", a, b) for a, b in data], "k string, a bigint, b bigint")
     assert rows(sequence.merge_intervals(df, ["k"], "a", "b"), "a", "b") == expected
@@ -154,24 +155,29 @@ def test_short_forms_and_definitions():
 
 @pytest.mark.parametrize(
     "text,seconds",
-    [("2026-04-20T20:35:00Z", 1776717300), ("2026-04-20 20:35:26+00", 1776717326), ("2026-04-19T20:36:55.65102Z", 1776631015), ("2026-04-20T20:35:00", 1776717300), ("2026-04-20T22:35:00+02:00", 1776717300), ("2026-04-20", 1776643200), ("2026-04-20T20:35:00.123456789-05", 1776735300), ("nonsense", None), ("", None), (None, None)],
+    [("2026-04-20T20:35:00Z", 1776717300), ("2026-04-20 20:35:27+00", 1776717327), ("2026-04-19T20:36:55.65102Z", 1776631015), ("2026-04-20T20:35:00", 1776717300), ("2026-04-20T22:35:00+02:00", 1776717300), ("2026-04-20", 1776643200), ("2026-04-20T20:35:00.123456789-05", 1776735300), ("nonsense", None), ("", None), (None, None)],
 )
 def test_times(spark, text, seconds):
     assert rows(spark.createDataFrame([(text,)], "t string").select(S.iso_seconds("t"))) == [(seconds,)]
 
 
 def test_market_normalization(spark):
-    base = {"question": "Bitcoin Up or Down - 1 hour", "startDate": "2026-01-01T00:00:00Z", "endDate": "2026-01-01T01:00:00Z", "outcomes": '["Up", "Down"]', "clobTokenIds": '["1", "2"]', "volume": "12.5"}
+    def market(name, prices=None, names=("Up", "Down"), ids=("1", "2"), **more):
+        lists = {"outcomes": names, "clobTokenIds": ids} | ({"outcomePrices": prices, "closed": True} if prices else {})
+        made = {k: json.dumps(v) if isinstance(v, tuple) else v for k, v in lists.items()}
+        return {"id": name, "question": "Bitcoin Up or Down - 1 hour", "startDate": "2026-01-01T00:00:00Z", "endDate": "2026-01-01T01:00:00Z", "volume": "12.5"} | made | more
+
+    flags = [{"winner": won, "tokenId": token, "outcome": side} for side, token, won in (("Up", "7", False), ("Down", "8", True))]
     raw = [
-        {**base, "id": "won", "closed": True, "outcomePrices": '["0.99", "0.01"]'},
-        {**base, "id": "lost", "closed": True, "outcomePrices": '["0.01", "0.99"]'},
-        {**base, "id": "close", "closed": True, "outcomePrices": '["0.989", "0.011"]'},
-        {**base, "id": "flag", "tokens": [{"outcome": "Up", "tokenId": "7", "winner": False}, {"outcome": "Down", "tokenId": "8", "winner": True}], "volume": "x"},
-        {**base, "id": "odd", "outcomes": '["Left", "Right"]'},
-        {**base, "id": "blank", "clobTokenIds": '["1", ""]'},
-        {**base, "id": "late", "endDate": "2025-01-01T00:00:00Z"},
-        {**base, "id": "none", "question": "Will it rain?"},
-        {**base, "id": "tweets", "question": "Elon Musk tweets March 27 to April 3, 2026", "slug": "elon-240-plus", "groupItemTitle": "240+", "groupItemThreshold": "12", "outcomes": '["Yes", "No"]', "closed": True, "outcomePrices": '["1", "0"]'},
+        market("won", ("0.99", "0.01")),
+        market("lost", ("0.01", "0.99")),
+        market("close", ("0.989", "0.011")),
+        market("flag", tokens=flags, volume="x"),
+        market("odd", names=("Left", "Right")),
+        market("blank", ids=("1", "")),
+        market("late", endDate="2025-01-01T00:00:00Z"),
+        market("none", question="Will it rain?"),
+        market("tweets", ("1", "0"), ("Yes", "No"), question="Elon Musk tweets March 27 to April 3, 2026", slug="elon-240-plus", groupItemTitle="240+", groupItemThreshold="12"),
     ]
     df = M.normalize_markets(spark.createDataFrame([{k: v for k, v in r.items()} for r in raw], M.RAW))
     out = {r.market_id: r for r in df.collect()}
@@ -221,7 +227,7 @@ def test_tick_consolidation(spark, tmp_path):
     out = read_drifting(spark, f"{root}/ticks", TICKS)
     assert rows(out.select("market_id", "timestamp_ms", F.round(F.col("price").cast("double"), 2), "source")) == [("m1", 1000, 0.57, "websocket"), ("m1", 2000, 0.6, "onchain"), ("m2", 3000, 0.42, "websocket")]
     assert C.consolidate_ticks(spark, root) == 0
-    assert load_ticks_for_market(spark, f"{root}/ticks", "m1", "BTC", "1-hour").count() == 2
+    assert load_ticks_for_market(spark, f"{root}/ticks", "m1", timeframe="1-hour", crypto="BTC").count() == 2
     # the same shard again is a second part, until compaction folds the partition
     Wr.append_ticks_only(spark.createDataFrame(b[:1], schema), root)
     C.consolidate_ticks(spark, root)
@@ -257,9 +263,9 @@ def test_other_consolidations(spark, tmp_path):
 
 def test_unreadable_and_drifting_files(spark, tmp_path):
     root = str(tmp_path / "ticks")
-    spark.createDataFrame([("m", 1, "h")], "market_id string, timestamp_ms bigint, order_hash string").write.parquet(f"{root}/crypto=BTC/timeframe=1-hour/a")
+    spark.createDataFrame([("m", 1, "h")], "market_id string, timestamp_ms bigint, order_hash string").write.parquet(f"{root}/crypto=SOL/timeframe=4-hour/a")
     spark.createDataFrame([("n", 2)], "market_id string, timestamp_ms int").withColumn("order_hash", F.lit(None).cast("int")).withColumn("crypto", F.lit("wrong")).write.parquet(f"{root}/crypto=ETH/timeframe=1-hour/b")
-    (tmp_path / "ticks" / "crypto=BTC" / "timeframe=1-hour" / "broken.parquet").write_bytes(b"no parquet")
+    (tmp_path / "ticks/crypto=SOL/timeframe=4-hour/broken.parquet").write_bytes(b"no parquet")
     assert rows(read_drifting(spark, root, TICKS), "market_id", "timestamp_ms", "order_hash") == [("m", 1, "h"), ("n", 2, None)]
 
 

@@ -44,19 +44,19 @@ def load_ticks(spark: SparkSession, root: str, filters: list[list[Filter]] | lis
     return load_partitioned(spark, root, TICKS, filters)
 
 
-def load_ticks_for_market(spark: SparkSession, root: str, market_id: str, crypto: str | None = None, timeframe: str | None = None) -> DataFrame:
-    """One market's ticks in time order; naming the partition reads that one only."""
-    hints = [(c, "=", v) for c, v in (("crypto", crypto), ("timeframe", timeframe)) if v]
+def load_ticks_for_market(spark: SparkSession, root: str, market_id: str, **partition: str | None) -> DataFrame:
+    """One market's ticks in time order; naming its partition (crypto=..., timeframe=...) reads that one only."""
+    hints = [(c, "=", v) for c, v in partition.items() if v]
     return load_ticks(spark, root, [*hints, ("market_id", "=", market_id)]).orderBy("timestamp_ms")
 
 
-def market_records(spark: SparkSession, path: str, cryptos: list[str] | None = None, timeframes: list[str] | None = None) -> DataFrame:
-    """Markets as the collectors take them: typed, '' for missing texts, restricted to what is asked for (nothing asked: all)."""
+def market_records(spark: SparkSession, path: str, **wanted: list[str]) -> DataFrame:
+    """Markets as the collectors take them: typed, '' for missing texts, restricted to what is asked for (crypto=[...], timeframe=[...]; nothing asked: all)."""
     df = load_markets(spark, path)
-    for name, values in (("crypto", cryptos), ("timeframe", timeframes)):
+    for name, values in wanted.items():
         if values:
             df = df.where(F.col(name).isin(values))
-    return df.na.fill("", ["question", "condition_id", "up_token_id", "down_token_id", "slug"])
+    return df.na.fill("", "question condition_id up_token_id down_token_id slug".split())
 
 
 def spot_lookup(spark: SparkSession, root: str) -> DataFrame:

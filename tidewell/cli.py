@@ -7,7 +7,6 @@
 from __future__ import annotations
 
 import argparse
-import sys
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -79,4 +78,4 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
 
 
 if __name__ == "__main__":
-    sys.exit(main())
+    raise SystemExit(main())

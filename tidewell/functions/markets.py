@@ -99,19 +99,12 @@ def normalize_markets(raw: DataFrame, kinds: tuple[Kind, ...] = KINDS, now_ts: C
         "crypto",
         "timeframe",
         F.coalesce(F.col("volume").try_cast("float"), F.lit(0.0)).cast("float").alias("volume"),
-        "resolution",
-        "start_ts",
-        "end_ts",
-        "closed_ts",
+        *"resolution start_ts end_ts closed_ts".split(),
         F.coalesce(text_or_null("conditionId"), F.col("condition_id")).alias("condition_id"),
         F.col("_up.token_id").alias("up_token_id"),
         F.col("_down.token_id").alias("down_token_id"),
         F.map_from_entries(F.transform(F.array_distinct("_pairs"), lambda t: F.struct(t["outcome"], t["token_id"]))).alias("tokens"),
-        "slug",
-        "event_slug",
-        "bucket_index",
-        "bucket_label",
-        "category",
+        *"slug event_slug bucket_index bucket_label category".split(),
         F.coalesce("is_active", F.lit(False)).alias("is_active"),
     )
 

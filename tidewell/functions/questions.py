@@ -17,21 +17,24 @@ from pyspark.sql import functions as F
 from .scalars import let
 
 MONTHS = "January February March April May June July August September October November December".split()
-_CLOCK = r"(\d{1,2}):(\d{2})\s*([AP]M)"
+_CLOCK = r"(\d\d?):(\d\d)\s*([AP]M)"
 _RANGE = rf"(?i){_CLOCK}\s*-\s*{_CLOCK}"
-_HOUR = r"(?i)\b\d{1,2}[AP]M\s+ET\b"
-_DAY = r"(\d{1,2})"
-_DATES = rf"(?i)([a-z]+)\s+{_DAY}(?:\s*-\s*|\s+to\s+)(?:([a-z]+)\s+)?{_DAY},\s+(\d{{4}})"
+_HOUR = r"(?i)\b\d\d?[AP]M\s+ET\b"
+_DAY = r"(\d\d?)"
+_DATES = rf"(?i)([a-z]+)\s+{_DAY}(?:\s+to\s+|\s*-\s*)(?:([a-z]+)\s+)?{_DAY},\s+(\d{{4}})"
 _MONTH = rf"(?i)\bin\s+(?:{'|'.join(MONTHS)})\s+\d{{4}}\b"
 
 
+Phrases = tuple[str, ...]
+
+
 @dataclass(frozen=True)
 class Timeframe:
     """A horizon: its phrases in questions, its short forms on a command line, and what else implies it."""
 
     name: str
-    phrases: tuple[str, ...]
-    short: tuple[str, ...]
+    phrases: Phrases
+    short: Phrases
     minutes: int | None = None
     by_hour: bool = False
     by_month: bool = False
@@ -42,11 +45,11 @@ class Kind:
     """A kind of market: binary ones have an up and a down side, others any outcomes."""
 
     key: str
-    keywords: tuple[str, ...]
-    assets: dict[str, tuple[str, ...]]
+    keywords: Phrases
+    assets: dict[str, Phrases]
     timeframes: tuple[Timeframe, ...]
-    up: tuple[str, ...] = ()
-    down: tuple[str, ...] = ()
+    up: Phrases = ()
+    down: Phrases = ()
 
     @property
     def category(self) -> str:
@@ -66,7 +69,7 @@ KINDS: tuple[Kind, ...] = (
         (
             *(Timeframe(f"{n}-minute", (*_spelled(n, "minute"), f"{n} min"), (f"{n}m", f"{n}min", f"{n}-minute", f"{n}-min"), n) for n in (15, 5)),
             Timeframe("4-hour", _spelled(4, "hour"), ("4h", "4hr", "4-hour"), 240),
-            Timeframe("1-hour", (*_spelled(1, "hour"), "hourly", "hour"), ("1h", "1hr", "1-hour", "hourly"), 60, by_hour=True),
+            Timeframe("1-hour", (*_spelled(1, "hour"), "hourly", "hour"), tuple("1h 1hr 1-hour hourly".split()), 60, by_hour=True),
         ),
         ("up", "yes"),
         ("down", "no"),

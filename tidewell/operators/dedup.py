@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schemas import TICKS
+
 #: The order of writers that hive.provenance adds.
 WRITERS = ("_src_mtime", "_src_file", "_src_row")
-TICK_KEY = ("market_id", "timestamp_ms", "token_id", "tx_hash", "log_index", "order_hash", "local_recv_ts_ns")
-_LEGACY_KEY = ("market_id", "timestamp_ms", "token_id", "tx_hash")
+TICK_KEY = TICKS.key
+_LEGACY_KEY = TICK_KEY[:4]
 
 
 def latest_value(column: str, order: Column) -> Column:

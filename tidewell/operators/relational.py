@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 DIMENSION_ROWS = 2_000_000
 
 
-def relevant_markets(markets: DataFrame, ids: list[str] | None = None, cryptos: list[str] | None = None, timeframes: list[str] | None = None, cutoff_ts: int | None = None) -> DataFrame:
-    """Markets that a run asks for; an empty list asks for all. The cutoff is on the closing time, or the end where none is known."""
-    for name, values in (("market_id", ids), ("crypto", cryptos), ("timeframe", timeframes)):
+def relevant_markets(markets: DataFrame, cutoff_ts: int | None = None, **wanted: list[str]) -> DataFrame:
+    """Markets that a run asks for, by lists of values of columns; an empty list asks for all. The cutoff is on the closing time, or the end where none is known."""
+    for name, values in wanted.items():
         if values:
             markets = markets.where(F.col(name).isin(values))
     if cutoff_ts is not None:

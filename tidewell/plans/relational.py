@@ -101,7 +101,7 @@ _CUT = 852076800  # 1997-01-01
 
 @query("market_relevance", f"WITH m AS ({_MARKETS}) SELECT market_id, crypto, timeframe FROM m WHERE crypto IN ('1-URGENT', '2-HIGH') AND timeframe = 'F' AND coalesce(nullif(closed_ts, 0), end_ts) >= {_CUT - 100000000}")
 def market_relevance(t: Tables):
-    return relevant_markets(markets(t), [], ["1-URGENT", "2-HIGH"], ["F"], _CUT - 100000000).select("market_id", "crypto", "timeframe")
+    return relevant_markets(markets(t), _CUT - 100000000, market_id=[], crypto=["1-URGENT", "2-HIGH"], timeframe=["F"]).select("market_id", "crypto", "timeframe")
 
 
 @query("interval_overlap", f"WITH m AS ({_MARKETS}) SELECT market_id FROM m WHERE end_ts >= {_CUT} AND start_ts < {_CUT + 864000}")

@@ -49,7 +49,7 @@ _KEY = "market_id, timestamp_ms, token_id, tx_hash, log_index, coalesce(order_ha
 
 @query("tick_dedup_argmax", f"{_TICKS} SELECT market_id, timestamp_ms, token_id, tx_hash, arg_max(order_hash, w) AS order_hash, arg_max(source, w) AS source, arg_max(price, w) AS price, arg_max(size_usdc, w) AS size_usdc FROM kept GROUP BY {_KEY}, market_id, timestamp_ms, token_id, tx_hash")
 def tick_dedup_argmax(t: Tables):
-    return dedup_ticks(ticks(t), F.col("w")).select("market_id", "timestamp_ms", "token_id", "tx_hash", "order_hash", "source", "price", "size_usdc")
+    return dedup_ticks(ticks(t), F.col("w")).select(*"market_id timestamp_ms token_id tx_hash order_hash source price size_usdc".split())
 
 
 @query("price_dedup_argmax", f"{E} SELECT user_id, ms // {HOUR} AS hour, arg_max(CASE WHEN k % 2 = 0 THEN NULL ELSE value END, event_id) AS price, arg_max(event_type, event_id) AS event_type FROM e GROUP BY 1, 2")

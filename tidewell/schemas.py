@@ -64,7 +64,7 @@ TICKS = Table(
     },
     {"timestamp_ms": 0, "price": 0.0, "size_usdc": 0.0, "tx_hash": "", "block_number": 0, "log_index": 0, "source": ""},
     PARTITIONS,
-    ("market_id", "timestamp_ms", "token_id", "tx_hash", "log_index", "order_hash", "local_recv_ts_ns"),
+    tuple("market_id timestamp_ms token_id tx_hash log_index order_hash local_recv_ts_ns".split()),
 )
 SPOT_PRICES = Table("spot_prices", {"ts_ms": "bigint", "symbol": "string", "price": "double", "source": "string"}, {}, (), ("ts_ms", "symbol", "source"))
 ORDERBOOK = Table(
