@@ -109,3 +109,32 @@ def test_monitor_tells_once():
         m.onQueryProgress(N(progress=N(runId="r", id="q", name="ticks", batchId=1, inputRowsPerSecond=9.0, processedRowsPerSecond=3.0)))
     m.onQueryTerminated(N(runId="r", id="q", exception="boom"))
     assert told == [("behind", "ticks"), ("failed", "q")]
+
+
+def test_heartbeat_ages_by_timer():
+    """The processor, driven by hand: the age of the latest event at every tick, and the next tick asked for."""
+    from types import SimpleNamespace as N
+
+    import pandas as pd
+
+    class State:
+        value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    asked = []
+    p = stateful.Staleness(10_000)
+    p.init(N(getValueState=lambda *_: State(), registerTimer=asked.append))
+    now = lambda ms: N(getCurrentProcessingTimeInMs=lambda: ms)
+    assert list(p.handleInputRows(("spot",), iter([pd.DataFrame({"ts_ms": [5, 900]})]), now(1_000)))[0].empty
+    list(p.handleInputRows(("spot",), iter([pd.DataFrame({"ts_ms": [700]})]), now(2_000)))
+    out = pd.concat(p.handleExpiredTimer(("spot",), now(11_000), None))
+    assert out.to_dict("records") == [{"source": "spot", "ts_ms": 11_000, "last_event_age_ms": 10_100}]
+    assert asked == [11_000, 21_000]
