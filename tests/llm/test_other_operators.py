@@ -272,6 +272,26 @@ def test_nearest_digests_by_brute_force(spark, clash):
     assert digest.nearest_digests(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("lot", [digest.LOT, 5])
+def test_nearest_digests_beyond_a_few_codes(spark, monkeypatch, lot):
+    """Near copies are mostly some 20 to 50 apart; all within the bound are found, whatever lots they fall into."""
+    monkeypatch.setattr(digest, "LOT", lot)
+    r = random.Random(5)
+    rows = []
+    for i in range(12):
+        words = text(r, 400).split(" ")
+        rows += [(10 * i + k, " ".join("changed" if r.random() < 0.03 * k else w for w in words), "en", "s", 1) for k in range(4)]
+    out = digest.nearest_digests(frame(spark, rows)).collect()
+    raw = np.stack([np.frombuffer(bytes.fromhex(x.digest), np.uint8) for x in out])
+    far = 0
+    for i, x in enumerate(out):
+        d = digest.difference(np.repeat(raw[i : i + 1], len(raw), 0), raw)
+        best = min(((int(v), y.doc_id) for v, y in zip(d, out) if y.doc_id != x.doc_id and v <= 40), default=(None, None))
+        assert (x.difference, x.nearest_id) == best
+        far += x.difference is not None and x.difference > 7
+    assert far > 10
+
+
 def test_difference_is_bounded():
     r = np.random.default_rng(1)
     a, b = (r.integers(0, 256, (50, 35)).astype(np.uint8) for _ in range(2))

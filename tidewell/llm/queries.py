@@ -45,7 +45,7 @@ def op6_toxic_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The digest of every document, and its closest neighbour within a difference of 7."""
+    """The digest of every document, and its closest neighbour within a difference of 40."""
     return digest.nearest_digests(_table(spark, sf_dir, "documents"))
 
 
