@@ -152,6 +152,15 @@ def test_mixing_keeps_to_weights(spark):
     assert mixing.mixed_blocks(docs.limit(0), 64).count() == 0
 
 
+def test_mixing_gives_every_source_all_its_blocks(spark):
+    """The slots of four equal sources of 200 blocks stray from the weights by more than the slack of one block each."""
+    rows = [(i, f"w{i}", "en", f"s{i % 4}", 1) for i in range(800)]
+    docs = frame(spark, rows)
+    out = mixing.mixed_blocks(docs, 1).where("epoch = 0").collect()
+    assert sorted(r.doc_id for r in out) == list(range(800))
+    assert {r.doc_id for r in mixing.mix_documents(docs, 1).collect()} == set(range(800))
+
+
 def test_mixed_documents_are_all_there(spark):
     rows = corpus(1)
     docs = frame(spark, rows, True)

@@ -75,6 +75,21 @@ def target_weights(rows: DataFrame, temperature: float = TEMPERATURE, weights: d
     return parts.select("source", F.col("total").cast("long").alias("total"), "weight", (high - F.col("weight")).alias("low"), high.alias("high"))
 
 
+def drawn_slots(parts: DataFrame, length: int, whole: int) -> DataFrame:
+    """(slot, point, source, low, high, blocks): the first slots, with the source that each one draws."""
+    slots = parts.sparkSession.range(length).withColumnRenamed("id", "slot")
+    point = (F.col("slot") + 0.5) * F.lit(GOLDEN)
+    slots = slots.withColumn("point", F.floor((point - F.floor(point)) * F.lit(whole)).cast("long"))
+    return slots.join(parts.select("source", "low", "high", "blocks"), (F.col("point") >= F.col("low")) & (F.col("point") < F.col("high")))
+
+
+def missing_slots(parts: DataFrame, length: int, whole: int) -> int:
+    """The slots by which a schedule of so many must grow, by the weights, for every source to have all its blocks; 0 if it has them."""
+    counts = drawn_slots(parts, length, whole).groupBy("source").agg(F.count("*").alias("_n"))
+    short = parts.join(counts, "source", "left").withColumn("_short", F.col("blocks") - F.coalesce(F.col("_n"), F.lit(0))).where("_short > 0")
+    return int(short.agg(F.max(F.ceil(F.col("_short") * F.lit(float(whole)) / F.col("weight")))).first()[0] or 0)
+
+
 def schedule(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, temperature: float = TEMPERATURE, weights: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
     """(slots, places): (slot, source, block, epoch), and the documents' places as placed() gives them."""
     spark = docs.sparkSession
@@ -86,11 +101,10 @@ def schedule(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, temperature: flo
         return empty, places
     # rounding leaves a source a slot short now and then: one block of every source more
     length = int(math.ceil(length * whole / PARTS)) + parts.count()
-    slots = spark.range(length).withColumnRenamed("id", "slot")
-    point = (F.col("slot") + 0.5) * F.lit(GOLDEN)
-    slots = slots.withColumn("point", F.floor((point - F.floor(point)) * F.lit(whole)).cast("long"))
-    drawn = slots.join(parts.select("source", "low", "high", "blocks"), (F.col("point") >= F.col("low")) & (F.col("point") < F.col("high")))
-    drawn = drawn.withColumn("bucket", F.floor(F.col("slot") / 65536))
+    # a run of slots strays from the weights by more than this at times: on until every source has all its blocks
+    while more := missing_slots(parts, length, whole):
+        length += more
+    drawn = drawn_slots(parts, length, whole).withColumn("bucket", F.floor(F.col("slot") / 65536))
     ranked = running(drawn, "source", "bucket", ["slot"], F.lit(1), "rank")
     return ranked.select("slot", "source", (F.col("rank") % F.col("blocks")).alias("block"), F.expr("rank div blocks").alias("epoch")), places
 
