@@ -60,6 +60,29 @@ def test_jaccard_pairs(spark, seed, clash):
     assert_same(pairs, ORACLES["op9_ngram_jaccard_join"], documents=arrow(rows))
 
 
+def test_expanded_pairs_by_brute_force(spark):
+    """All pairs of all copies, not only those of the least doc_id."""
+    import re
+
+    rows = {r[0]: r for r in corpus(1) if r[0] is not None and r[1] is not None}
+    for i in (3, 4):  # more copies of texts that have near copies
+        rows |= {2000 + 10 * i + k: (2000 + 10 * i + k, *rows[i][1:]) for k in range(2)}
+    sets = {}
+    for i, t, *_ in rows.values():
+        w = re.findall(r"[^\x00-/:-`{-\x7f]+", t.lower())
+        if w:
+            sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    want = {}
+    for a in sets:
+        for b in sets:
+            if a < b and (j := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= 0.4:
+                want[a, b] = round(j, 9)
+    pairs = jaccard.jaccard_pairs(frame(spark, list(rows.values())))
+    got = jaccard.expand_pairs(pairs).collect()
+    assert {(r.doc_id_a, r.doc_id_b): round(r.jaccard, 9) for r in got} == want and len(got) == len(want)
+    assert len(want) > pairs.count()
+
+
 def test_jaccard_large_components(spark, monkeypatch):
     """Row blocks and the dense product give the pairs that the plain way gives."""
     import random

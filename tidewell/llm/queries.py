@@ -60,7 +60,11 @@ def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of documents whose word 5-gram sets have a Jaccard index of 0.4 or more."""
+    """All pairs of documents whose word 5-gram sets have a Jaccard index of 0.4 or more, with copies folded.
+
+    Documents of one and the same set are pairs with the least doc_id among them only, and near pairs are given
+    between these least ones; jaccard.expand_pairs gives the pairs of all members.
+    """
     pairs = jaccard.jaccard_pairs(_table(spark, sf_dir, "documents"))
     return pairs.selectExpr("doc_id_a", "doc_id_b", "round(jaccard, 9) AS jaccard")
 
