@@ -61,6 +61,20 @@ def test_cotraining_learns_from_pseudo_labels(spark):
     assert np.allclose(model.content.sums(c[sure], (p[sure] > 0.5).astype(float))[: len(plain)], plain)
 
 
+def test_labels_of_absent_documents_take_no_place_in_the_sample(spark):
+    docs, labels = _quality(120)
+    df, known = frame(spark, [d[:5] for d in docs]), spark.createDataFrame(labels, "doc_id bigint, quality int")
+    strangers = spark.range(1_000_000, 1_200_000)
+    more = known.union(strangers.selectExpr("id", "CAST(id % 2 AS INT)"))
+    table = cotrain.features(df)
+    want, got = (cotrain.train(table, x, 1, 50) for x in (known, more))
+    assert got is not None and np.array_equal(got.content.w, want.content.w)
+    taught = spark.createDataFrame([(d[0], int(d[0] % 3 == 0)) for d in docs], "doc_id bigint, toxic int")
+    more = taught.union(strangers.selectExpr("id", "CAST(id % 2 AS INT)"))
+    want, got = (toxicity.learn(df, x, 50) for x in (taught, more))
+    assert got.prior == want.prior != toxicity.PRIOR
+
+
 def test_cotraining_on_odd_tables(spark):
     rows = corpus(1)
     df = frame(spark, rows, True)

@@ -249,7 +249,8 @@ def truth(labels: DataFrame) -> DataFrame:
 
 def train(table: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_labelled: int = MAX_LABELLED) -> Model | None:
     """The model, from the features of all documents; None unless there are labelled documents of either quality."""
-    known = materialise(truth(labels), "quality-labels")
+    # only labels whose document is there: the sample is cut by their count
+    known = materialise(truth(labels).join(table.select("doc_id"), "doc_id", "left_semi"), "quality-labels")
     count = known.count()
     named = table.join(small_side(known), "doc_id", "left")
     if count > BROADCAST_ROWS:

@@ -172,7 +172,9 @@ def run_grammar(clause: np.ndarray, symbol: np.ndarray, weight: np.ndarray) -> t
 def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Lexicon:
     """The lexicon that the labelled documents teach, next to the curated words."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("double").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
-    verdicts = materialise(known.groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic")), "toxic-verdicts")
+    verdicts = known.groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
+    # only labels whose document is there: the sample is taken and cut by their count
+    verdicts = materialise(verdicts.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi"), "toxic-verdicts")
     sample = materialise(least_hashed(verdicts, "doc_id", max_labelled, verdicts.count()), "toxic-labels")  # at most max_labelled rows, hence broadcast
     taught = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic")
 
