@@ -124,18 +124,55 @@ def test_near_duplicates_leave_one(spark):
     assert gone and jaccard.keep_one_of_each_group(docs.limit(0)).count() == 0
 
 
+def _line_rows(seed):
+    """Nulls, repeated rows, two texts of one doc_id, texts that begin, end or consist of breaks."""
+    rows = corpus(seed) + [(5, corpus(seed)[6][1], "en", "s", 1)]
+    long = "this line stands in a number of the documents"
+    odd = ["\n", "\n\n", f"{long}", f"{long}\n", f"\n{long}", f"{long}\n{long}", f"short\n{long}\n{long}", f"{long}\nshort\n", f" {long}\t\n\n{long}\nshort", f"a\r\n{long}\r\nb\r\n"]
+    return rows + [(3000 + i, t, "en", "s", 1) for i, t in enumerate(odd)] + [(None, f"{long}\nx", None, None, None)] * 2
+
+
 @pytest.mark.parametrize("clash", [False, True])
 @pytest.mark.parametrize("seed", [1, 2])
 def test_line_dedup(spark, seed, clash):
-    rows = corpus(seed) + [(5, corpus(seed)[6][1], "en", "s", 1)]
-    rows = [r for r in rows if r[1] is not None]
-    unique = {}
-    for r in rows:  # rows of one doc_id are one document: the SQL knows them apart by their row
-        unique.setdefault((r[0], r[1]), r)
-    rows = list(unique.values())
+    rows = [r for r in _line_rows(seed) if r[1] is not None]  # the SQL has no row for a null text
     assert_same(linededup.dedup_lines(frame(spark, rows, clash)), ORACLES["op8_line_dedup"], documents=arrow(rows))
 
 
+@pytest.mark.parametrize("least", [1, 24])
+def test_line_dedup_by_brute_force(spark, monkeypatch, least):
+    """With tasks of a few lines, so that a shard has several tasks, and lots of a few."""
+    monkeypatch.setattr(linededup, "PROBES", 7)
+    monkeypatch.setattr(linededup, "FLUSH_LINES", 30)
+    rows = _line_rows(1)
+    key = lambda line: line.strip(" \t\r\x0b\x0c")
+    first = {}
+    for i, t, *_ in rows:
+        for line in (t or "").split("\n") if i is not None else []:
+            first[key(line)] = min(i, first.get(key(line), i))
+    want = []
+    for i, t, *_ in rows:
+        kept, seen = [], set()
+        for line in t.split("\n") if t is not None else []:
+            k = key(line)
+            if len(k.encode()) >= least and (k in seen or k in first and first[k] != i):
+                continue
+            seen.add(k)
+            kept.append(line)
+        n = 0 if t is None else t.count("\n") + 1
+        want.append((i, n, n - len(kept), None if t is None else "\n".join(kept)))
+    got = linededup.dedup_lines(frame(spark, rows, True), least).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_line_shards_are_read_once_per_lot_of_probes():
+    """The tasks, of which each reads one shard, are as many as the shards and the lots of lines looked up there."""
+    import numpy as np
+
+    sizes = np.array([0, 1, linededup.PROBES, linededup.PROBES + 1, 10 * linededup.PROBES])
+    assert np.diff(linededup.probing_tasks(sizes)).tolist() == [1, 1, 1, 2, 10]
+
+
 def test_line_dedup_of_nothing(spark):
     assert linededup.dedup_lines(frame(spark, [])).count() == 0
     out = linededup.dedup_lines(frame(spark, [(1, None, None, None, None), (2, "", None, None, None)])).orderBy("doc_id").collect()
@@ -217,8 +254,7 @@ def test_heavy_grams_change_nothing(spark, monkeypatch, seed):
     """Grams of many documents travel with their sets; the pairs stay as they are."""
     rows = [(i, f"{t} and all of them end with the same words here", *rest) if t else (i, t, *rest) for i, t, *rest in corpus(seed)]
     monkeypatch.setattr(jaccard, "HEAVY", 20)
-    monkeypatch.setattr(jaccard, "HEAVY_LOT", 2)
     docs = frame(spark, rows)
-    assert len(jaccard.heavy_grams(docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL"), 5, len(rows))) >= 5
+    assert len(jaccard.heavy_grams(docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL"), 5, len(rows), 3)) >= 5
     pairs = jaccard.jaccard_pairs(docs).selectExpr("doc_id_a", "doc_id_b", "round(jaccard, 9) AS jaccard")
     assert_same(pairs, ORACLES["op9_ngram_jaccard_join"], documents=arrow(rows))

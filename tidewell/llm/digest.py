@@ -275,7 +275,7 @@ def nearest_different(groups: DataFrame, near: int = NEAR) -> DataFrame:
                 for q in range(p if gap == 0 else first[more], first[more] + -(-counts[more] // LOT)):
                     pairs.append((lots[p][1] * lots[q][1], p, q))
     pairs.sort(reverse=True)
-    n = max(1, min(len(pairs), max(blocks(spark), int(sum(x for x, _, _ in pairs) / TASK_PAIRS))))
+    n = max(1, min(len(pairs), max(blocks(groups), int(sum(x for x, _, _ in pairs) / TASK_PAIRS))))
     tasks: list[list[tuple[int, int]]] = [[] for _ in range(n)]
     load = [(0.0, i) for i in range(n)]
     for work, p, q in pairs:

@@ -3,53 +3,62 @@
 The distinct lines of the corpus are divided over shards by their hash. Each shard is
 a level-by-level minimal perfect hash (Limasset et al. 2017) which maps a line to its place in
 compact arrays: a 32-bit fingerprint, the number of rows that hold the line, and the least doc_id
-among them. Shards are written to the shared folder; documents probe them there, a shard at a
-time for a whole buffer of documents, and no line is ever joined.
+among them. Documents send packed line hashes to the shards; a task probes the arrays of one shard and sends
+back which lines go, by the address of their row (see rows.py). A shard of very many probes has several tasks, so each is
+read once per PROBES lines that are looked up in it: reads grow in proportion to the text. No line is ever joined.
 """
 
 from __future__ import annotations
 
 import re
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import rows
 from . import textbatch as tb
-from .workspace import blocks, table_path
+from .workspace import blocks, gathered, table_path
 
 #: Shorter lines (UTF-8 bytes without the outer white space) are left as they are.
 MIN_BYTES = 24
-#: Text that a probing task holds while it goes through the shards.
-BUFFER_BYTES = 24 << 20
-#: Shards that a Python worker keeps loaded.
-CACHE_BYTES = 160 << 20
-#: Lines that a map task holds before it sends them on.
-FLUSH_LINES = 1_000_000
+#: Lines that a map task holds before it sends them on, and how many for each shard at least.
+FLUSH_LINES, FLUSH_SHARD = 1_000_000, 16
+#: Lines that a task looks up in a shard.
+PROBES = 8_000_000
 U64, U32 = np.uint64, np.uint32
 
 
 def lines(text: pa.Array, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, line number and hash of each line of least bytes or more, of which a row gives each once, at its first place; then (row, line) repeats."""
     data, offsets = tb.utf8(text)
+    newline = np.flatnonzero(data == 10)
     starts, ends, row = tb.spans(data != 10, offsets)
-    solid = np.flatnonzero(~tb.SPACE[data])
-    lo, hi = np.searchsorted(solid, starts), np.searchsorted(solid, ends)
-    some = hi > lo
-    starts, ends, row, lo, hi = starts[some], ends[some], row[some], lo[some], hi[some]
-    first, last = solid[lo], solid[hi - 1] + 1
-    long = last - first >= least
+    first, last = _trimmed(data, starts, ends)
+    long = last - first >= max(least, 1)
     first, last, row, starts = first[long], last[long], row[long], starts[long]
-    newlines = np.concatenate([[0], np.cumsum(data == 10)])
-    number = newlines[starts] - newlines[offsets[row]]
+    number = np.searchsorted(newline, starts) - np.searchsorted(newline, offsets)[row]
     return row, number, tb.span_hash(tb.prefix_hash(data), first, last)
 
 
+def _trimmed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans without the white space at their ends; one of white space only becomes empty."""
+    first, last = starts.copy(), ends.copy()
+    left = np.flatnonzero(tb.SPACE[data[starts]]) if len(starts) else starts
+    right = np.flatnonzero(tb.SPACE[data[ends - 1]]) if len(starts) else starts
+    if len(left) or len(right):
+        solid = np.append(np.flatnonzero(~tb.SPACE[data]), len(data))
+        first[left] = np.minimum(solid[np.searchsorted(solid, starts[left])], ends[left])
+        at = np.searchsorted(solid, ends[right]) - 1
+        last[right] = np.maximum(np.where(at >= 0, solid[np.maximum(at, 0)] + 1, 0), first[right])
+    return first, last
+
+
 def repeats(row: np.ndarray, number: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Which lines stand in their row before."""
     order = np.lexsort((number, h, row))
@@ -109,29 +118,31 @@ def _counted(h: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> tuple[np.nda
     return h[start], np.add.reduceat(counts[order], start), ids[order][start]
 
 
+def _lots(batches: Iterator[pa.RecordBatch], least: int, count: int, solve) -> Iterator[pa.RecordBatch]:
+    """solve() of the lines of about FLUSH_LINES lines of a task at a time: number, hash and whether it is a repeat, with the other columns of their rows."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for batch in batches:
+        others = [c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]
+        for lo, hi in tb.slices(batch.column(0)):
+            row, number, h = lines(batch.column(0).slice(lo, hi - lo), least)
+            held.append((number.astype(np.int32), h, repeats(row, number, h), *(x[lo + row] for x in others)))
+        if sum(len(x[0]) for x in held) >= max(FLUSH_LINES, FLUSH_SHARD * count):
+            yield solve(*(np.concatenate(x) for x in zip(*held)))
+            held = []
+    if held and sum(len(x[0]) for x in held):
+        yield solve(*(np.concatenate(x) for x in zip(*held)))
+
+
 def _sent(count: int, least: int):
-    def flush(h: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-        """Distinct lines with their documents counted, so that a line of a million documents is a row a lot."""
-        h, counts, first = _counted(h, np.ones(len(h), np.int64), ids)
+    """Distinct lines of a lot with their documents counted, so that a line of a million documents is a row a lot."""
+
+    def solve(number: np.ndarray, h: np.ndarray, again: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        h, counts, first = _counted(h[~again], np.ones(int((~again).sum()), np.int64), ids[~again].astype(np.int64))
         present, cuts = np.unique(_shard(h, count), return_index=True)
         cuts = np.append(cuts, len(h))
         return pa.RecordBatch.from_arrays([pa.array(present, pa.int32()), tb.binaries(h, cuts), tb.binaries(counts, cuts), tb.binaries(first, cuts)], names=["shard", "lines", "counts", "first"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            ids, text = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-            for lo, hi in tb.slices(text):
-                row, number, h = lines(text.slice(lo, hi - lo), least)
-                fresh = ~repeats(row, number, h)
-                held.append((h[fresh], ids[lo + row[fresh]].astype(np.int64)))
-            if sum(len(x) for x, _ in held) >= FLUSH_LINES:
-                yield flush(*(np.concatenate(x) for x in zip(*held)))
-                held = []
-        if held and sum(len(x) for x, _ in held):
-            yield flush(*(np.concatenate(x) for x in zip(*held)))
-
-    return run
+    return lambda batches: _lots(batches, least, count, solve)
 
 
 def _built(table: pa.Table) -> pa.Table:
@@ -141,99 +152,128 @@ def _built(table: pa.Table) -> pa.Table:
     prints, held, owner = np.empty(len(keys), U32), np.empty(len(keys), U32), np.empty(len(keys), np.int64)
     prints[at], held[at], owner[at] = (keys & U64(0xFFFFFFFF)).astype(U32), np.minimum(counts, 0xFFFFFFFF), first
     whole = lambda x: pa.array([x.tobytes()], pa.binary())
-    return pa.Table.from_arrays([table["shard"].slice(0, 1), whole(perfect.sizes), whole(perfect.bits), whole(prints), whole(held), whole(owner)], names=["shard", "sizes", "bits", "prints", "counts", "first"])
+    return pa.Table.from_arrays([table["shard"].slice(0, 1), pa.array([int(counts.sum())]), whole(perfect.sizes), whole(perfect.bits), whole(prints), whole(held), whole(owner)], names=["shard", "total", "sizes", "bits", "prints", "counts", "first"])
 
 
-_LOADED: OrderedDict[str, tuple] = OrderedDict()
+_INDEX = "shard int, total long, sizes binary, bits binary, prints binary, counts binary, first binary"
 
 
-def _load(path: str) -> tuple[PerfectHash, np.ndarray, np.ndarray, np.ndarray] | None:
-    """A shard from the shared folder, through a bounded cache of this worker."""
-    if path in _LOADED:
-        _LOADED.move_to_end(path)
-        return _LOADED[path][0]
+def _load(path: str) -> tuple[PerfectHash, np.ndarray, np.ndarray, np.ndarray]:
+    """A shard from the shared folder."""
     fs, inner = pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
-    files = [x.path for x in fs.get_file_info(pafs.FileSelector(inner, allow_not_found=True)) if x.path.endswith(".parquet")]
-    loaded, size = None, 0
-    if files:
-        row = pq.read_table(files[0], filesystem=fs, partitioning=None).to_pylist()[0]
-        a = {k: np.frombuffer(v, t) for (k, v), t in zip(((k, row[k]) for k in ("sizes", "bits", "prints", "counts", "first")), (np.int64, np.uint8, U32, U32, np.int64))}
-        loaded, size = (PerfectHash(a["sizes"], a["bits"]), a["prints"], a["counts"], a["first"]), sum(x.nbytes for x in a.values())
-    _LOADED[path] = (loaded, size)
-    while len(_LOADED) > 1 and sum(x for _, x in _LOADED.values()) > CACHE_BYTES:
-        _LOADED.popitem(last=False)
-    return loaded
-
-
-def _probed(path: str, count: int, least: int):
-    def solve(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, base = [], 0
-        for batch in held:
-            ids = batch.column(0)
-            known = ids.is_valid().to_numpy(zero_copy_only=False)
-            ids = ids.fill_null(0).to_numpy()
-            for lo, hi in tb.slices(batch.column(1)):
-                row, number, h = lines(batch.column(1).slice(lo, hi - lo), least)
-                parts.append((base + lo + row, number, h, repeats(row, number, h), ids[lo + row], known[lo + row]))
-            base += batch.num_rows
-        if parts:
-            row, number, h, drop, ids, known = (np.concatenate(x) for x in zip(*parts))
-            shard = _shard(h, count)
-            order = np.argsort(shard, kind="stable")
-            present, cuts = np.unique(shard[order], return_index=True)
-            for s, a, b in zip(present, cuts, np.append(cuts[1:], len(order))):
-                loaded = _load(f"{path}/shard={s}")
-                if loaded is None:
-                    continue
-                perfect, prints, counts, first = loaded
-                mine = order[a:b]
-                at = perfect.place(h[mine])
-                hit = (at >= 0) & (prints[at] == (h[mine] & U64(0xFFFFFFFF)).astype(U32))
-                drop[mine] |= hit & (~known[mine] | (counts[at] > 1) & (first[at] != ids[mine]))
-            row, number = row[drop], number[drop]
-        gone: dict[int, set[int]] = {}
-        if parts:
-            for r, i in zip(row.tolist(), number.tolist()):
-                gone.setdefault(r, set()).add(i)
-        base = 0
-        for batch in held:
-            text, n = batch.column(1), batch.num_rows
-            newlines = pa.compute.add(pa.compute.count_substring(text, "\n"), 1)
-            dropped = np.zeros(n, np.int32)
-            changed = [i for i in range(n) if base + i in gone]
-            kept = text
-            if changed:
-                values = text.take(pa.array(changed)).to_pylist()
-                new = ["\n".join(x for j, x in enumerate(v.split("\n")) if j not in gone[base + i]) for i, v in zip(changed, values)]
-                dropped[changed] = [len(gone[base + i]) for i in changed]
-                mask = np.zeros(n, bool)
-                mask[changed] = True
-                kept = pa.compute.replace_with_mask(text, pa.array(mask), pa.array(new, text.type))
-            base += n
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.compute.fill_null(newlines, 0).cast(pa.int32()), pa.array(dropped), kept], names=["doc_id", "n_lines", "n_dropped", "text"])
+    files = [x.path for x in fs.get_file_info(pafs.FileSelector(inner)) if x.path.endswith(".parquet")]
+    row = pq.read_table(files[0], filesystem=fs, partitioning=None).to_pylist()[0]
+    a = {k: np.frombuffer(row[k], t) for k, t in zip(("sizes", "bits", "prints", "counts", "first"), (np.int64, np.uint8, U32, U32, np.int64))}
+    return PerfectHash(a["sizes"], a["bits"]), a["prints"], a["counts"], a["first"]
+
+
+#: What a line is to its row: of a row without a doc_id, of one with, or a repeat in its row, which goes anyway.
+_LOST, _OWNED, _REPEAT = range(3)
+_ASKED = "task int, shard int, hashes binary, ids binary, states binary, numbers binary, files binary, rows binary"
+
+
+def _asked(count: int, least: int, tasks: np.ndarray):
+    """Map side of the probe: the lines of a lot by the task that looks them up. tasks: where the tasks of each shard begin."""
+
+    def solve(number: np.ndarray, h: np.ndarray, again: np.ndarray, ids: np.ndarray, known: np.ndarray, file: np.ndarray, row: np.ndarray) -> pa.RecordBatch:
+        shard = _shard(h, count)
+        # rows of one shard are spread over its tasks by their place
+        task = tasks[shard] + (tb.mix(row.astype(np.int64).view(U64)) % np.maximum(tasks[shard + 1] - tasks[shard], 1).astype(U64)).astype(np.int64)
+        order = np.argsort(task, kind="stable")
+        present, cuts = np.unique(task[order], return_index=True)
+        shards = shard[order][cuts]
+        cuts = np.append(cuts, len(order))
+        state = np.where(again, _REPEAT, np.where(known, _OWNED, _LOST)).astype(np.uint8)
+        columns = (h, ids.astype(np.int64), state, number, file.astype(np.int64), row.astype(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(present, pa.int32()), pa.array(shards, pa.int32()), *(tb.binaries(x[order], cuts) for x in columns)], names=["task", "shard", "hashes", "ids", "states", "numbers", "files", "rows"])
+
+    return lambda batches: _lots(batches, least, count, solve)
+
+
+def probing_tasks(sizes: np.ndarray) -> np.ndarray:
+    """Where the tasks of each shard begin, by the lines that will be looked up in it; each task reads its shard once."""
+    return np.concatenate([[0], np.cumsum(np.maximum(-(-sizes // PROBES), 1))])
+
+
+def _probed(path: str, count: int):
+    """Reduce side: which lines go, as packs for rows.store()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, loaded = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                shard = batch.column(1)[i].as_py()
+                if shard != now:
+                    now, loaded = shard, _load(f"{path}/shard={shard}") if _has(path, shard) else None
+                h, ids, state, number, file, row = (np.frombuffer(batch.column(2 + k)[i].as_buffer(), t) for k, t in enumerate((U64, np.int64, np.uint8, np.int32, np.int64, np.int64)))
+                drop = state == _REPEAT
+                if loaded is not None:
+                    perfect, prints, counts, first = loaded
+                    at = perfect.place(h)
+                    hit = (at >= 0) & (prints[at] == (h & U64(0xFFFFFFFF)).astype(U32))
+                    drop |= hit & ((state == _LOST) | (counts[at] > 1) & (first[at] != ids))
+                if drop.any():
+                    yield rows.pack(file[drop], row[drop], number[drop], count)
+
+    return run
+
+
+def _has(path: str, shard: int) -> bool:
+    fs, inner = pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", f"{path}/shard={shard}"))
+    return fs.get_file_info(inner).type == pafs.FileType.Directory
+
+
+def without(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts without the lines of these numbers (sorted by row, then number): bytes, bounds, and the newlines of each text before."""
+    newline = np.flatnonzero(data == 10)
+    base = np.searchsorted(newline, offsets)
+    breaks = np.diff(base)
+    if not len(row):
+        return data, offsets, breaks
+    begin = np.where(number > 0, newline[np.minimum(base[row] + number - 1, len(newline) - 1)] + 1 if len(newline) else 0, offsets[row])
+    final = number == breaks[row]
+    end = np.where(final, offsets[row + 1], newline[np.minimum(base[row] + number, len(newline) - 1)] + 1 if len(newline) else 0)
+    # where the last lines go, so does the break before them
+    left = np.searchsorted(row, row, "right") - 1 - np.arange(len(row))
+    tail = number == breaks[row] - left
+    last = np.bincount(row[tail], minlength=len(offsets) - 1)
+    ends = np.flatnonzero((last > 0) & (breaks - last >= 0))
+    gone = np.zeros(len(data) + 1, np.int32)
+    np.add.at(gone, begin, 1)
+    np.add.at(gone, end, -1)
+    kept = np.cumsum(gone[:-1]) == 0
+    kept[newline[base[ends] + breaks[ends] - last[ends]]] = False
+    sums = np.concatenate([[0], np.cumsum(kept)])
+    return data[kept], sums[offsets], breaks
+
+
+def _rewritten(path: str, count: int):
+    """(doc_id, n_lines, n_dropped, text) of batches of (text, doc_id, file, row)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
         for batch in batches:
-            held.append(batch)
-            size += batch.column(1).nbytes
-            if size >= BUFFER_BYTES:
-                yield from solve(held)
-                held, size = [], 0
-        if held:
-            yield from solve(held)
+            at, number = rows.found(path, count, batch.column(2).to_numpy(), batch.column(3).to_numpy())
+            order = np.lexsort((number, at))
+            at, number = at[order], number[order]
+            for lo, hi in tb.slices(batch.column(0)):
+                text = batch.column(0).slice(lo, hi - lo)
+                a, b = np.searchsorted(at, (lo, hi))
+                data, bounds, breaks = without(*tb.utf8(text), at[a:b] - lo, number[a:b])
+                valid = text.is_valid().to_numpy(zero_copy_only=False)
+                new = pa.Array.from_buffers(pa.string(), hi - lo, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+                new = pc.if_else(pa.array(valid), new, pa.scalar(None, pa.string()))
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), pa.array(np.where(valid, breaks + 1, 0).astype(np.int32)), pa.array(np.bincount(at[a:b] - lo, minlength=hi - lo).astype(np.int32)), new], names=["doc_id", "n_lines", "n_dropped", "text"])
 
     return run
 
 
-def line_index(docs: DataFrame, min_bytes: int = MIN_BYTES) -> tuple[str, int]:
-    """Write the index of all distinct lines to the shared folder: its path and its number of shards."""
-    spark, count = docs.sparkSession, blocks(docs.sparkSession)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    path = table_path(spark, "lines")
-    shards = source.mapInArrow(_sent(count, min_bytes), "shard int, lines binary, counts binary, first binary").groupBy("shard").applyInArrow(_built, "shard int, sizes binary, bits binary, prints binary, counts binary, first binary")
-    shards.write.partitionBy("shard").parquet(path)
-    return path, count
+def line_index(source: DataFrame, count: int, min_bytes: int = MIN_BYTES) -> str:
+    """Write the index of all distinct lines of (text, doc_id) to the shared folder, in so many shards: its path."""
+    path = table_path(source.sparkSession, "lines")
+    known = source.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    packs = known.mapInArrow(_sent(count, min_bytes), "shard int, lines binary, counts binary, first binary")
+    gathered(packs, count, "shard", _built, _INDEX).write.partitionBy("shard").parquet(path)
+    return path
 
 
 def dedup_lines(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -242,12 +282,22 @@ def dedup_lines(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     Lines are what newlines divide; two are equal when they agree without the white space around them. Of equal
     lines of min_bytes or more, the one in the document with the least doc_id stays, and
     in this document only the first; order and every other line stay as they are. A document
-    may lose all its lines and then has an empty text. Rows of one doc_id are one document.
+    may lose all its lines and then has an empty text. Rows of one doc_id are one document. Texts of any length are taken whole.
 
     A null text stays null with 0 lines. A row with a null doc_id comes after all others: it loses
     every line that a document with a doc_id has, but is not held against other such rows. A line that no document has is
     mistaken for one with probability 2**-32. No documents: no rows. Other columns are not read.
     """
-    path, count = line_index(docs, min_bytes)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(_probed(path, count, min_bytes), "doc_id long, n_lines int, n_dropped int, text string")
+    spark, count = docs.sparkSession, blocks(docs)
+    columns = [F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id")]
+    source, file, row = rows.addressed(docs, columns)
+    path = line_index(source.select("text", "doc_id"), count, min_bytes)
+    # how many tasks look up in each shard
+    sizes = np.zeros(count, np.int64)
+    for r in spark.read.schema(_INDEX).parquet(path).select("shard", "total").collect():
+        sizes[r.shard] = r.total
+    tasks = probing_tasks(sizes)
+    asked = source.where("text IS NOT NULL").select("text", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), file, row)
+    packs = asked.mapInArrow(_asked(count, min_bytes, tasks), _ASKED).repartitionById(int(tasks[-1]), F.col("task")).mapInArrow(_probed(path, count), rows.PACKED)
+    gone = rows.store(packs, count, "dropped-lines")
+    return source.select("text", "doc_id", file, row).mapInArrow(_rewritten(gone, count), "doc_id long, n_lines int, n_dropped int, text string")

@@ -157,10 +157,12 @@ def grams(hashes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, n
 
 
 def binaries(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
-    """A binary column whose i-th value is the bytes of data[cuts[i]:cuts[i + 1]]."""
+    """A binary column whose i-th value is the bytes of data[cuts[i]:cuts[i + 1]]; at most 2 GiB together."""
     body = np.ascontiguousarray(data)
-    offsets = (np.asarray(cuts, np.int64) * body.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(body)])
+    offsets = np.asarray(cuts, np.int64) * body.itemsize
+    if len(offsets) and offsets[-1] >= 1 << 31:
+        raise OverflowError("a binary column holds 2 GiB at most: use more blocks")
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(body)])
 
 
 def joined(column: pa.ChunkedArray | pa.Array, dtype: type) -> np.ndarray:
