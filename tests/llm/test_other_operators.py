@@ -143,6 +143,18 @@ def test_private_spans(spark, clash):
 # chat
 
 
+def _render(turns):
+    """The text of a conversation, and the spans to be learnt: the answers, each with its end mark."""
+    out, spans, at = [], [], 0
+    for role, said in turns:
+        head, body = f"<|{role or 'user'}|>\n", f"{said or ''}<|end|>"
+        if role == "assistant":
+            spans.append((at + len(head), at + len(head) + len(body)))
+        out += [head, body, "\n"]
+        at += len(head) + len(body) + 1
+    return "".join(out), spans
+
+
 def test_chats_round_trip(spark):
     from tokenizers import Tokenizer
 
@@ -153,11 +165,11 @@ def test_chats_round_trip(spark):
     for clashing in (df, df.withColumns({"turns": F.lit(1), "input_ids": F.lit("x")})):
         out = {r.conv_id: r for r in chat.format_chats(clashing).collect()}
         assert set(out) == {1, 2, 3, 4, 5, None}
-        model = Tokenizer.from_file(chat.TOKENIZER)
+        model = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
         model.encode_special_tokens = True
         for conv, r in out.items():
             mine = sorted((t for t in turns if t[0] == conv), key=lambda t: (t[1] is not None, t[1] or 0, t[2] is not None, t[2] or "", t[3] is not None, t[3] or ""))
-            whole, spans = chat.render([{"role": t[2], "text": t[3]} for t in mine])
+            whole, spans = _render([t[2:4] for t in mine])
             assert model.decode(r.input_ids, skip_special_tokens=False) == whole
             code = model.encode(whole, add_special_tokens=False)
             assert code.ids == r.input_ids
@@ -345,11 +357,18 @@ def _kd(rows, target):
     return leaves
 
 
+def _places(df):
+    """The coordinates of the rows, strings by their rank among all, with the weight and the row's number."""
+    rows = [tuple(r) for r in df.select(*sharding.coordinates(df)).collect()]
+    names = [sorted({r[d].encode() for r in rows}) for d in (0, 1)]
+    return [(*(float(names[d].index(r[d].encode())) for d in (0, 1)), *r[2:5], i) for i, r in enumerate(rows)]
+
+
 @pytest.mark.parametrize("target", [300, 2000, 1 << 40])
 def test_sharding_by_brute_force(spark, target):
     rows = corpus(2)
     df = frame(spark, rows, True)
-    at = [tuple(r)[:5] + (i,) for i, r in enumerate(df.select(*sharding.coordinates(df)).collect())]
+    at = _places(df)
     plain = _kd(at, target)
     got = {}
     for i, r in enumerate(sharding.assign_shards(df, target).collect()):
@@ -362,10 +381,37 @@ def test_sharding_by_brute_force(spark, target):
     assert table.columns == ["doc_id", "bytes", "shard"] and table.count() == len(rows)
 
 
+def test_sharding_tells_long_names_apart(spark, monkeypatch):
+    """Forty sources that begin alike, null doc_ids: a shard is beyond the target only where its rows agree in all."""
+    rows = [(None, "x" * (50 + i // 40), "en", f"common-crawl-{i % 40:02d}", 1) for i in range(400)]
+    df = frame(spark, rows)
+    for nodes in (sharding.TREE_NODES, 1):  # levels joined by broadcast and by shuffle
+        monkeypatch.setattr(sharding, "TREE_NODES", nodes)
+        got = {}
+        for i, r in enumerate(sharding.assign_shards(df, 1200).collect()):
+            got.setdefault(r.shard, set()).add(i)
+        assert [got[s] for s in sorted(got)] == _kd(_places(df), 1200)
+        assert all(sum(50 + i // 40 for i in leaf) <= 1200 for leaf in got.values())
+        assert len(got) > 20
+
+
+def test_sharding_of_a_deep_tree(spark):
+    """Weights so uneven that each split takes off little: deeper than a level a bit."""
+    rows = [(4**i, "x" * 40, "en", "s", 1) for i in range(30)] + [(-(4**i), "é" * 5_000, "a", "t", 1) for i in range(30)]
+    df = frame(spark, rows)
+    got = {}
+    for i, r in enumerate(sharding.assign_shards(df, 60).collect()):
+        got.setdefault(r.shard, set()).add(i)
+    assert [got[s] for s in sorted(got)] == _kd(_places(df), 60)
+
+
 def test_sharding_of_nothing(spark):
     assert sharding.assign_shards(frame(spark, []), 10).count() == 0
-    out = sharding.assign_shards(frame(spark, [(1, "a" * 99, "en", "s", 1)] * 3, True).withColumnRenamed("score", "shard"), 10)
-    assert [r.shard for r in out.collect()] == [0, 0, 0]
+    same = frame(spark, [(1, "a" * 99, "en", "s", 1)] * 3, True)
+    for name in ("shard", "Shard"):
+        out = sharding.assign_shards(same.withColumnRenamed("score", name), 10)
+        assert out.columns == [*same.withColumnRenamed("score", name).columns, "shard_"]
+        assert [r["shard_"] for r in out.collect()] == [0, 0, 0] and {r[name] for r in out.collect()} == {19}
 
 
 @pytest.mark.parametrize("name", ["op2_quality_cotraining", "op3_pii_crf", "op5_chat_masks", "op6_toxic_clauses", "op7_quartile_digest", "op10_kd_sharding"])

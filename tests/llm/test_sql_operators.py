@@ -192,7 +192,6 @@ def test_perfect_hash_is_minimal_and_rejects():
 def test_mixing(spark, clash):
     rows = corpus(1)
     sql = ORACLES["op4_source_mixing"].replace("8192", "64")
-    rows = [r for r in rows if r[1] is not None]
     docs = frame(spark, rows, clash)
     assert_same(mixing.mixed_blocks(docs, 64), sql, documents=arrow(rows))
 
@@ -232,6 +231,22 @@ def test_mixed_documents_are_all_there(spark):
     assert mixing.mix_documents(docs.limit(0), 64).count() == 0
 
 
+def test_mixed_documents_as_often_as_their_blocks(spark):
+    """Brute force: each row as often as the schedule has the block of its first token; repeated rows count by themselves."""
+    from collections import Counter
+
+    rows = corpus(1)
+    docs = frame(spark, rows, True)
+    pieces = mixing.mixed_blocks(docs, 64).where("token_from = 0").collect()
+    want = Counter(r.doc_id for r in pieces) + Counter(r[0] for r in rows if not (r[1] or "").split())
+    assert Counter(r.doc_id for r in mixing.mix_documents(docs, 64).collect()) == want
+    # weights of some sources: others go, texts without a token stay
+    some = {r[0] for r in rows if r[3] == "s1" or not (r[1] or "").split()}
+    assert {r.doc_id for r in mixing.mix_documents(docs, 64, weights={"s1": 2.0}).collect()} == some
+    with pytest.raises(ValueError):
+        mixing.mixed_blocks(docs, 64, weights={"s1": 1.0, "s2": 1e-12})
+
+
 @pytest.mark.parametrize("name", sorted(set(ORACLES)))
 def test_production_queries(spark, name):
     folder = "/root/testdata/sf0.001"

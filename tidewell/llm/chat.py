@@ -1,12 +1,12 @@
 """Chat formatting with offset-aligned loss masks.
 
-A conversation is rendered whole, encoded once with character offsets, and the sorted spans
-that are to be learnt are intersected with the token spans by binary search.
+A conversation is rendered whole and encoded once; each token's offsets are those of its bytes, and the sorted spans
+that are to be learnt are intersected with the token spans by binary search, for many conversations at a time.
 """
 
 from __future__ import annotations
 
-import os
+import base64
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,38 +14,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
-#: Conversations that are encoded at once.
-BATCH = 64
+from . import textbatch as tb
+
+#: A byte-level vocabulary: lines of a token in base64 and its rank.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: How a text is divided before pairs are merged.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LEARNT = ("assistant",)
 
 
-def render(turns: list[dict], learnt: tuple[str, ...] = LEARNT) -> tuple[str, list[tuple[int, int]]]:
-    """The text of a conversation, and the spans to be learnt: the answers, each with its end mark."""
-    out, spans, at = [], [], 0
-    for turn in turns:
-        role, text = turn["role"] or "user", turn["text"] or ""
-        head, body = f"<|{role}|>\n", f"{text}<|end|>"
-        if role in learnt:
-            spans.append((at + len(head), at + len(head) + len(body)))
-        out += [head, body, "\n"]
-        at += len(head) + len(body) + 1
-    return "".join(out), spans
-
-
-def mask(offsets: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
-    """1 for each token (rows of start, end) that lies within a span, by binary search over the sorted spans."""
-    if not len(offsets):
-        return np.zeros(0, np.int8)
-    if not spans:
-        return np.zeros(len(offsets), np.int8)
-    edge = np.array(spans, np.int64)
-    at = np.searchsorted(edge[:, 0], offsets[:, 0], "right") - 1
-    inside = (at >= 0) & (offsets[:, 1] <= edge[np.maximum(at, 0), 1]) & (offsets[:, 1] > offsets[:, 0])
-    return inside.astype(np.int8)
-
-
-def format_chats(conversations: DataFrame, tokenizer: str = TOKENIZER, learnt: tuple[str, ...] = LEARNT) -> DataFrame:
+def vocabulary(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
+
+
+_ENCODERS: dict[int, tuple] = {}
+
+
+def _encoder(ranks: dict[bytes, int], pattern: str) -> tuple:
+    """The encoder and the bytes of each token, made once a worker."""
+    if id(ranks) not in _ENCODERS:
+        import tiktoken
+
+        width = np.zeros(max(ranks.values()) + 1, np.int64)
+        width[list(ranks.values())] = [len(token) for token in ranks]
+        _ENCODERS[id(ranks)] = tiktoken.Encoding("chat", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), width
+    return _ENCODERS[id(ranks)]
+
+
+def mask(start: np.ndarray, end: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """1 for each token (start, end) that lies within one of the spans (first, last), by binary search over the sorted spans."""
+    if not len(first):
+        return np.zeros(len(start), np.int8)
+    at = np.searchsorted(first, start, "right") - 1
+    return ((at >= 0) & (end <= last[np.maximum(at, 0)]) & (end > start)).astype(np.int8)
+
+
+def format_chats(conversations: DataFrame, tokenizer: str = TOKENIZER, learnt: tuple[str, ...] = LEARNT, pattern: str = PATTERN) -> DataFrame:
     """(conv_id, n_tokens, n_learnt, input_ids, loss_mask) of every conversation.
 
     Turns stand in the order of turn (nulls first; equal numbers by role, then text), each as
@@ -53,34 +58,39 @@ def format_chats(conversations: DataFrame, tokenizer: str = TOKENIZER, learnt: t
     end mark, have loss_mask 1. A null role is a user's, a null text is empty, an unknown role is
     rendered like the others; repeated turns all stay. Marks inside a text are ordinary text to the tokenizer. Rows
     with a null conv_id make one conversation. Nothing is cut off. Other columns are not read; no turns: no rows.
+    The vocabulary is read on the driver and sent to the executors.
     """
+    held = conversations.sparkSession.sparkContext.broadcast(vocabulary(tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_file(tokenizer)
-        model.encode_special_tokens = True
-        model.no_truncation()
+        encoder, width = _encoder(held.value, pattern)
         for batch in batches:
-            for lo in range(0, batch.num_rows, BATCH):
-                part = batch.slice(lo, BATCH)
-                made = [render(x, learnt) for x in part.column(1).to_pylist()]
-                codes = model.encode_batch([x for x, _ in made], add_special_tokens=False)
-                ids = [np.array(c.ids, np.int32) for c in codes]
-                masks = [mask(np.array(c.offsets, np.int64).reshape(-1, 2), s) for c, (_, s) in zip(codes, made)]
-                cuts = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32))
+            for lo, hi in tb.slices(batch.column(1)):
+                part = batch.slice(lo, hi - lo)
+                codes = [np.array(encoder.encode_ordinary(x), np.int32) for x in part.column(1).to_pylist()]
+                ids, cuts = np.concatenate(codes), np.concatenate([[0], np.cumsum([len(x) for x in codes])]).astype(np.int32)
+                # the conversations lie end to end, in tokens as in turns
+                end = np.cumsum(width[ids])
+                head, body, learn = (part.column(i).flatten().to_numpy(zero_copy_only=False) for i in (2, 3, 4))
+                after = np.cumsum(head.astype(np.int64) + body + 1)
+                within = mask(end - width[ids], end, (after - body - 1)[learn], (after - 1)[learn])
+                sums = np.concatenate([[0], np.cumsum(within, dtype=np.int64)])
+                offsets = pa.array(cuts)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array([len(x) for x in ids], pa.int32()),
-                        pa.array([int(x.sum()) for x in masks], pa.int32()),
-                        pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(ids))),
-                        pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(masks))),
-                    ],
+                    [part.column(0), pa.array(np.diff(cuts)), pa.array((sums[cuts[1:]] - sums[cuts[:-1]]).astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.ListArray.from_arrays(offsets, pa.array(within))],
                     names=["conv_id", "n_tokens", "n_learnt", "input_ids", "loss_mask"],
                 )
 
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).alias("turn"))
     whole = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
-    return whole.mapInArrow(run, "conv_id long, n_tokens int, n_learnt int, input_ids array<int>, loss_mask array<byte>")
+    role = lambda x: F.coalesce(x["role"], F.lit("user"))
+    head = lambda x: F.concat(F.lit("<|"), role(x), F.lit("|>\n"))
+    body = lambda x: F.concat(F.coalesce(x["text"], F.lit("")), F.lit("<|end|>"))
+    rendered = whole.select(
+        "conv_id",
+        F.array_join(F.transform("turns", lambda x: F.concat(head(x), body(x), F.lit("\n"))), "").alias("text"),
+        F.transform("turns", lambda x: F.octet_length(head(x))).alias("heads"),
+        F.transform("turns", lambda x: F.octet_length(body(x))).alias("bodies"),
+        F.transform("turns", lambda x: role(x).isin(*learnt) if learnt else F.lit(False)).alias("learnt"),
+    )
+    return rendered.mapInArrow(run, "conv_id long, n_tokens int, n_learnt int, input_ids array<int>, loss_mask array<byte>")

@@ -1,10 +1,12 @@
 """Quality classifier by co-training of a text-content view and a page-metadata view.
 
-Each view is a logistic regression. First both are fitted to the labelled rows. Then, over several
+The content view sees the text alone: its words (hashed), token shapes, repeats and layout. The metadata view sees
+nothing of the text: language, source, their pair, and the declared number of characters. Each view is a logistic regression. First both are fitted to the labelled rows. Then, over several
 rounds, every unlabelled document is scored by both; where one calibrated view is confident, its
 verdict becomes a pseudo-label for the other, which takes a Newton step on the labelled and the pseudo-labelled
 rows. These steps need only sums over documents, which the executors form. In the end both
 views are calibrated on held-out labels, and their weighted evidence scores all documents.
+A view that tells nothing is never confident, teaches nothing and gets no weight.
 """
 
 from __future__ import annotations
@@ -14,23 +16,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import rows as side
 from . import textbatch as tb
-from .workspace import BROADCAST_ROWS, least_hashed, materialise, small_side
+from .workspace import blocks, least_hashed, materialise
 
-#: At most so many labelled documents (those of the least hash of their doc_id) are fitted on; every document is scored and may be pseudo-labelled.
+#: At most so many labelled documents (those of the least hash of their doc_id) are fitted on; all others are pseudo-labelled, and every document is scored.
 MAX_LABELLED = 20_000
 ROUNDS = 3
 #: Calibrated probability from which a view passes its verdict on.
 CONFIDENT = 0.995
 RIDGE = 0.1
-SHAPES, LANGS, SOURCES = 64, 8, 32
-CONTENT = SHAPES + 5
-META = LANGS + SOURCES + 13
-PAIRS = 512
+SHAPES, WORDS, PAIRS = 64, 256, 512
+CONTENT = SHAPES + WORDS + 5 + 11
+LANGS, SOURCES, BOTH, SIZES = 8, 32, 64, 24
+META = LANGS + SOURCES + BOTH + SIZES + 2
 
 _CLASS = np.zeros(256, np.uint16)
 for _bit, _chars in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".", ",;:", "!?", "#$%&*", "\"'()[]{}", "|", "@=+-/\\_<>~^`")):
@@ -44,7 +48,7 @@ def _share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
 
 
 def content_view(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Shares of token shapes, repeats and lengths: what the text is made of."""
+    """What the text is made of: shares of token shapes and of hashed words, repeats and lengths, cases and symbols, lines, entropy."""
     n = len(offsets) - 1
     out = np.zeros((n, CONTENT), np.float32)
     starts, ends, doc = tb.spans(~tb.SPACE[data], offsets)
@@ -56,50 +60,67 @@ def content_view(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     bucket = (shape * np.uint32(0x9E3779B1) >> np.uint32(16)) % np.uint32(SHAPES)
     count = np.bincount(doc, minlength=n)
     out[:, :SHAPES] = np.sqrt(_share(np.bincount(doc * SHAPES + bucket, minlength=n * SHAPES).reshape(n, SHAPES), count[:, None]))
-    h = tb.span_hash(tb.prefix_hash(data), starts, ends)
-    again = np.zeros(len(h), bool)
-    again[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
-    out[:, SHAPES] = _share(np.bincount(doc[again], minlength=n), count)
-    bounds = np.searchsorted(doc, np.arange(n + 1))
-    out[:, SHAPES + 1] = [len(set(h[a:b].tolist())) / max(1, b - a) for a, b in zip(bounds[:-1], bounds[1:])]
-    out[:, SHAPES + 2] = _share(np.bincount(doc, length, n), count) / 10
-    out[:, SHAPES + 3] = np.log1p(count) / 10
-    out[:, SHAPES + 4] = out[:, SHAPES + 1] * out[:, SHAPES + 3]
+    at = SHAPES + WORDS
+    out[:, at + 2] = _share(np.bincount(doc, length, n), count) / 10
+    out[:, at + 3] = np.log1p(count) / 10
+    # words in lower case (of ASCII letters)
+    s, e, owner = tb.spans(tb.WORD[data], offsets)
+    h = tb.span_hash(tb.prefix_hash(data | (np.uint8(32) * _UPPER[data])), s, e)
+    many = np.bincount(owner, minlength=n)
+    out[:, SHAPES:at] = np.sqrt(_share(np.bincount(owner * WORDS + (h % np.uint64(WORDS)).astype(np.int64), minlength=n * WORDS).reshape(n, WORDS), many[:, None]))
+    out[:, at] = _share(np.bincount(owner[1:][(h[1:] == h[:-1]) & (owner[1:] == owner[:-1])], minlength=n), many)
+    order = np.argsort(h)
+    order = order[np.argsort(owner[order].astype(np.uint16) if n < 1 << 16 else owner[order], kind="stable")]
+    new = np.append(True, (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1])) if len(h) else np.zeros(0, bool)
+    out[:, at + 1] = _share(np.bincount(owner[order][new], minlength=n), many)
+    out[:, at + 4] = out[:, at + 1] * out[:, at + 3]
+    out[:, at + 5 :] = _layout(data, offsets)
     return out
 
 
-def _bucket(column: pa.Array, size: int) -> np.ndarray:
-    data, offsets = tb.utf8(column)
-    return (tb.span_hash(tb.prefix_hash(data), offsets[:-1], offsets[1:]) % np.uint64(size)).astype(np.int64) if len(column) else np.zeros(0, np.int64)
-
+def _layout(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Lines, shares of capitals, digits, symbols, spaces and other alphabets, and the entropy of bytes and pairs of bytes."""
+    n, size = len(offsets) - 1, np.diff(offsets)
+    out = np.zeros((n, 11), np.float32)
 
-def meta_view(data: np.ndarray, offsets: np.ndarray, lang: pa.Array, source: pa.Array, n_chars: np.ndarray) -> np.ndarray:
-    """Language, source, size and the layout of the page, without its words."""
-    n = len(offsets) - 1
-    out = np.zeros((n, META), np.float32)
-    out[np.arange(n), _bucket(lang, LANGS)] = 1
-    out[np.arange(n), LANGS + _bucket(source, SOURCES)] = 1
-    at, size = LANGS + SOURCES, np.diff(offsets)
     def count(which: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0], np.cumsum(which)])
+        sums = np.concatenate([[0], np.cumsum(which, dtype=np.int32 if len(which) < 1 << 31 else np.int64)])
         return sums[offsets[1:]] - sums[offsets[:-1]]
 
     breaks = count(data == 10)
-    out[:, at] = np.log1p(n_chars) / 10
-    out[:, at + 1] = np.log1p(size) / 10
-    out[:, at + 2] = np.log1p(breaks) / 5
-    out[:, at + 3] = np.log1p(size / (breaks + 1)) / 10
+    out[:, 0] = np.log1p(breaks) / 5
+    out[:, 1] = np.log1p(size / (breaks + 1)) / 10
     for i, which in enumerate((_UPPER, _DIGIT, _SYMBOL, tb.SPACE, np.arange(256) > 127)):
-        out[:, at + 4 + i] = np.sqrt(_share(count(which[data]), size))
-    out[:, at + 9] = out[:, at + 4] ** 2 * 4
-    out[:, at + 10] = out[:, at + 6] ** 2 * 8
-    # entropy of the bytes and of byte pairs: how well the page would compress
+        out[:, 2 + i] = np.sqrt(_share(count(which[data]), size))
+    out[:, 7] = out[:, 2] ** 2 * 4
+    out[:, 8] = out[:, 4] ** 2 * 8
+    # how well the page would compress
     row = np.repeat(np.arange(n), size)
     for i, (symbol, many) in enumerate(((data.astype(np.int64), 256), (((data[1:].astype(np.uint32) * np.uint32(0x9E3779B1) ^ data[:-1].astype(np.uint32) * np.uint32(0x85EBCA77)) >> np.uint32(23)).astype(np.int64), PAIRS))):
         counts = np.bincount(row[: len(symbol)] * many + symbol, minlength=n * many).reshape(n, many)
         total = np.maximum(counts.sum(1), 1)
         p = counts / total[:, None]
-        out[:, at + 11 + i] = -(p * np.log2(np.maximum(p, 1e-12))).sum(1) / np.minimum(np.log2(total + 1), np.log2(many))
+        out[:, 9 + i] = -(p * np.log2(np.maximum(p, 1e-12))).sum(1) / np.minimum(np.log2(total + 1), np.log2(many))
+    return out
+
+
+def _hashes(column: pa.Array) -> np.ndarray:
+    data, offsets = tb.utf8(column)
+    return tb.span_hash(tb.prefix_hash(data), offsets[:-1], offsets[1:]) if len(column) else np.zeros(0, np.uint64)
+
+
+def meta_view(lang: pa.Array, source: pa.Array, n_chars: np.ndarray) -> np.ndarray:
+    """Language, source, the two together and the declared size, without a look at the text."""
+    n = len(n_chars)
+    out = np.zeros((n, META), np.float32)
+    a, b = _hashes(lang), _hashes(source)
+    size = np.log2(1.0 + n_chars)
+    at, row = 0, np.arange(n)
+    for code, many in ((a, LANGS), (b, SOURCES), (tb.mix(a * np.uint64(0x9E3779B97F4A7C15) + b), BOTH), (np.minimum(size, SIZES - 1), SIZES)):
+        out[row, at + (code % np.uint64(many) if code.dtype == np.uint64 else code).astype(np.int64)] = 1
+        at += many
+    out[:, at] = size / 16
+    out[:, at + 1] = (size / 16) ** 2
     return out
 
 
@@ -193,24 +214,26 @@ def _views(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nda
     text = batch.column(1)
     chars = batch.column(4).fill_null(0).to_numpy(zero_copy_only=False)
     for lo, hi in tb.slices(text):
-        data, offsets = tb.utf8(text.slice(lo, hi - lo))
-        yield lo, hi, content_view(data, offsets), meta_view(data, offsets, batch.column(2).slice(lo, hi - lo), batch.column(3).slice(lo, hi - lo), np.maximum(chars[lo:hi], 0))
+        yield lo, hi, content_view(*tb.utf8(text.slice(lo, hi - lo))), meta_view(batch.column(2).slice(lo, hi - lo), batch.column(3).slice(lo, hi - lo), np.maximum(chars[lo:hi], 0))
 
 
 def _columns(docs: DataFrame) -> list:
     return [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.expr("try_cast(n_chars AS long)").alias("n_chars")]
 
 
+_TABLE = "doc_id long, file long, row long, content binary, meta binary"
+
+
 def features(docs: DataFrame) -> DataFrame:
-    """(doc_id, content, meta): both views of every document, as half-precision bytes."""
+    """(doc_id, file, row, content, meta): both views of every document, as half-precision bytes, with its address."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, c, m in _views(batch):
                 pack = lambda x: tb.binaries(x.astype(np.float16).ravel(), np.arange(hi - lo + 1) * x.shape[1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pack(c), pack(m)], names=["doc_id", "content", "meta"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in (0, 5, 6)), pack(c), pack(m)], names=["doc_id", "file", "row", "content", "meta"])
 
-    return docs.select(*_columns(docs)).mapInArrow(run, "doc_id long, content binary, meta binary")
+    return side.addressed(docs, _columns(docs))[0].mapInArrow(run, _TABLE)
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -251,11 +274,9 @@ def train(table: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_labelle
     """The model, from the features of all documents; None unless there are labelled documents of either quality."""
     # only labels whose document is there: the sample is cut by their count
     known = materialise(truth(labels).join(table.select("doc_id"), "doc_id", "left_semi"), "quality-labels")
-    count = known.count()
-    named = table.join(small_side(known), "doc_id", "left")
-    if count > BROADCAST_ROWS:
-        named = materialise(named, "quality-named")  # joined by shuffle, hence once
-    sample = least_hashed(named.where("quality IS NOT NULL"), "doc_id", max_labelled, count).collect()
+    chosen = materialise(least_hashed(known, "doc_id", max_labelled, known.count()), "quality-sample")
+    named = table.select("doc_id", "content", "meta").join(F.broadcast(chosen), "doc_id", "left")  # at most max_labelled rows
+    sample = named.where("quality IS NOT NULL").collect()
     sample.sort(key=lambda r: (r.doc_id, bytes(r.content)))
     y = np.array([r.quality for r in sample], float)
     if not (y == 1).any() or not (y == 0).any():
@@ -291,38 +312,41 @@ def score_quality(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_
     """(doc_id, score, keep): the probability that each document is good, and whether it is 0.5 or more.
 
     Labels are matched by doc_id; see truth() for several labels of one. Without labels of either
-    quality every score is 0.5. A null or empty text, null lang, source or n_chars have features like any other (empty, unknown, 0).
-    Repeated rows are scored alike, each in a row. Other columns are not read. No documents: no rows.
+    quality every score is 0.5. A null or empty text, null lang, source or n_chars have features like any other (empty, unknown, 0);
+    texts of any length are read whole. Repeated rows are scored alike, each in a row. Other columns are not read. No documents: no rows.
     """
     table = materialise(features(docs), "quality-features")
-    model = train(table, labels, rounds, max_labelled)
+    return table.select("doc_id", "content", "meta").mapInArrow(_scored(train(table, labels, rounds, max_labelled)), "doc_id long, score double, keep boolean")
 
+
+def _scored(model: Model | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            p = _p(model.logit(_matrix(batch.column(1), CONTENT), _matrix(batch.column(2), META))) if model else np.full(batch.num_rows, 0.5)
-            p = np.round(p, 6)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(p >= 0.5)], names=["doc_id", "score", "keep"])
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                p = _p(model.logit(_matrix(part.column(1), CONTENT), _matrix(part.column(2), META))) if model else np.full(part.num_rows, 0.5)
+                p = np.round(p, 6)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p), pa.array(p >= 0.5)], names=["doc_id", "score", "keep"])
 
-    return table.mapInArrow(run, "doc_id long, score double, keep boolean")
+    return run
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """The documents that the classifier keeps, with all their columns; judged row by row, so null or repeated doc_ids make no difference."""
-    model = train(materialise(features(docs), "quality-features"), labels, rounds, max_labelled)
+    docs = side.scanned(docs)
+    table = materialise(features(docs), "quality-features")
+    model = train(table, labels, rounds, max_labelled)
     if model is None:
         return docs
-    names = docs.columns
-    place = [names.index(x) for x in ("doc_id", "text", "lang", "source", "n_chars")]
+    count = blocks(docs)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rejected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = pa.RecordBatch.from_arrays([batch.column(i) for i in place], names=[names[i] for i in place])
-            good = np.zeros(batch.num_rows, bool)
-            for lo, hi, c, m in _views(seen):
-                c, m = c.astype(np.float16).astype(np.float32), m.astype(np.float16).astype(np.float32)
-                good[lo:hi] = np.round(_p(model.logit(c, m)), 6) >= 0.5
-            yield batch.filter(pa.array(good))
-
-    return docs.mapInArrow(run, docs.schema)
+            for part in _scored(model)(iter([pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), *batch.columns[2:]], names=["doc_id", "content", "meta"])])):
+                bad = part.column(0).filter(pc.invert(part.column(2))).to_numpy()
+                if len(bad):
+                    yield side.pack(batch.column(0).to_numpy()[bad], batch.column(1).to_numpy()[bad], np.ones(len(bad)), count)
+
+    path = side.store(table.select("file", "row", "content", "meta").mapInArrow(rejected, side.PACKED), count, "rejected-rows")
+    placed, file, row = side.addressed(docs, docs.columns)
+    return placed.where(side.lookup(path, count, 0)(F.col(file), F.col(row)) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -13,11 +13,15 @@ over bucket totals, so that no single task has to hold a hot source.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .workspace import fresh, materialise, small_side
+from . import rows as side
+from .workspace import blocks, fresh, materialise
 
 BLOCK_TOKENS = 8192
 #: Target weights are the natural token shares to this power (1: as they are, 0: all sources alike).
@@ -26,6 +30,8 @@ SEED = "tidewell"
 GOLDEN = 0.6180339887498949
 #: Weights are whole parts of this.
 PARTS = 1_000_000
+#: With given weights a schedule may be this many times as long as all blocks at most.
+LONGEST = 1000.0
 
 
 def tokens(text: str = "text") -> Column:
@@ -48,18 +54,19 @@ def shuffle_key(docs: DataFrame) -> Column:
 
 
 def placed(docs: DataFrame) -> DataFrame:
-    """(source, doc_id, place, n_tokens, start): every document with its first token's place in the shuffled source."""
-    rows = docs.select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("doc_id").cast("long").alias("doc_id"), shuffle_key(docs).alias("place"), tokens().alias("n_tokens"))
-    rows = rows.where("n_tokens > 0").withColumn("bucket", F.substring("place", 1, 3))
+    """(source, doc_id, place, n_tokens, file, row, start): every document with a token, its first token's place in the shuffled source, and its address."""
+    columns = [F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("doc_id").cast("long").alias("doc_id"), shuffle_key(docs).alias("place"), tokens().alias("n_tokens")]
+    rows, file, row = side.addressed(docs, columns)
+    rows = rows.withColumnsRenamed({file: "file", row: "row"}).where("n_tokens > 0").withColumn("bucket", F.substring("place", 1, 3))
     rows = materialise(rows, "mix-rows")
     # equal rows (same doc_id and text) are told apart by a number, so that each has its own tokens
-    same = Window.partitionBy("source", "bucket").orderBy("place", F.col("doc_id").asc_nulls_first())
+    same = Window.partitionBy("source", "bucket").orderBy("place", F.col("doc_id").asc_nulls_first(), "file", "row")
     numbered = rows.withColumn("_row", F.row_number().over(same))
     return running(numbered, "source", "bucket", ["_row"], F.col("n_tokens"), "start").drop("_row", "bucket")
 
 
 def target_weights(rows: DataFrame, temperature: float = TEMPERATURE, weights: dict[str, float] | None = None) -> DataFrame:
-    """(source, total, weight, low, high): tokens, and the source's part [low, high) of PARTS.
+    """(source, total, weight, high, number): tokens, the source's part [high - weight, high) of PARTS, and its number in the order of the parts.
 
     Given weights apply to the sources they name; other sources then get none. Otherwise the weights follow the temperature.
     """
@@ -71,27 +78,37 @@ def target_weights(rows: DataFrame, temperature: float = TEMPERATURE, weights: d
         known = rows.sparkSession.createDataFrame(sorted(weights.items()) or [("", 0.0)], "source string, _w double")
         totals, share = totals.join(known, "source").where("_w > 0"), F.col("_w")
     parts = totals.withColumn("_s", share).withColumn("weight", F.greatest(F.round(F.col("_s") / F.sum("_s").over(every) * PARTS), F.lit(1)).cast("long"))
-    high = F.sum("weight").over(Window.partitionBy().orderBy("source"))
-    return parts.select("source", F.col("total").cast("long").alias("total"), "weight", (high - F.col("weight")).alias("low"), high.alias("high"))
+    order = Window.partitionBy().orderBy("source")
+    return parts.select("source", F.col("total").cast("long").alias("total"), "weight", F.sum("weight").over(order).alias("high"), (F.row_number().over(order) - 1).alias("number"))
 
 
-def drawn_slots(parts: DataFrame, length: int, whole: int) -> DataFrame:
-    """(slot, point, source, low, high, blocks): the first slots, with the source that each one draws."""
-    slots = parts.sparkSession.range(length).withColumnRenamed("id", "slot")
-    point = (F.col("slot") + 0.5) * F.lit(GOLDEN)
-    slots = slots.withColumn("point", F.floor((point - F.floor(point)) * F.lit(whole)).cast("long"))
-    return slots.join(parts.select("source", "low", "high", "blocks"), (F.col("point") >= F.col("low")) & (F.col("point") < F.col("high")))
+def drawn_slots(parts: DataFrame, length: int) -> DataFrame:
+    """(slot, number): the first slots, with the number of the source that each one draws, by binary search in the cumulative weights."""
+    spark = parts.sparkSession
+    held = spark.sparkContext.broadcast(np.sort(parts.select("high").toArrow()["high"].to_numpy()))  # eight bytes a source
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        high = held.value
+        for batch in batches:
+            at = (batch.column(0).to_numpy() + 0.5) * GOLDEN
+            point = np.floor((at - np.floor(at)) * float(high[-1])).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.searchsorted(high, point, "right").astype(np.int32))], names=["slot", "number"])
+
+    return spark.range(length).mapInArrow(draw, "slot long, number int")
 
 
 def missing_slots(parts: DataFrame, length: int, whole: int) -> int:
     """The slots by which a schedule of so many must grow, by the weights, for every source to have all its blocks; 0 if it has them."""
-    counts = drawn_slots(parts, length, whole).groupBy("source").agg(F.count("*").alias("_n"))
-    short = parts.join(counts, "source", "left").withColumn("_short", F.col("blocks") - F.coalesce(F.col("_n"), F.lit(0))).where("_short > 0")
+    counts = drawn_slots(parts, length).groupBy("number").agg(F.count("*").alias("_n"))
+    short = parts.join(counts, "number", "left").withColumn("_short", F.col("blocks") - F.coalesce(F.col("_n"), F.lit(0))).where("_short > 0")
     return int(short.agg(F.max(F.ceil(F.col("_short") * F.lit(float(whole)) / F.col("weight")))).first()[0] or 0)
 
 
 def schedule(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, temperature: float = TEMPERATURE, weights: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(slots, places): (slot, source, block, epoch), and the documents' places as placed() gives them."""
+    """(slots, places): (slot, source, block, epoch), and the documents' places as placed() gives them.
+
+    A given weight so small that all blocks of its source need a schedule of more than LONGEST times all blocks is an error.
+    """
     spark = docs.sparkSession
     places = materialise(placed(docs), "mix-places")
     parts = materialise(target_weights(places, temperature, weights).withColumn("blocks", F.ceil(F.col("total") / block_tokens).cast("long")), "mix-weights")
@@ -101,10 +118,12 @@ def schedule(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, temperature: flo
         return empty, places
     # rounding leaves a source a slot short now and then: one block of every source more
     length = int(math.ceil(length * whole / PARTS)) + parts.count()
+    if weights is not None and length > LONGEST * parts.agg(F.sum("blocks")).first()[0]:
+        raise ValueError(f"with these weights a schedule that has every block takes {length} slots; leave out the sources of very small weight or raise mixing.LONGEST")
     # a run of slots strays from the weights by more than this at times: on until every source has all its blocks
     while more := missing_slots(parts, length, whole):
         length += more
-    drawn = drawn_slots(parts, length, whole).withColumn("bucket", F.floor(F.col("slot") / 65536))
+    drawn = drawn_slots(parts, length).join(parts.select("number", "source", "blocks"), "number").withColumn("bucket", F.floor(F.col("slot") / 65536))
     ranked = running(drawn, "source", "bucket", ["slot"], F.lit(1), "rank")
     return ranked.select("slot", "source", (F.col("rank") % F.col("blocks")).alias("block"), F.expr("rank div blocks").alias("epoch")), places
 
@@ -128,18 +147,17 @@ def mix_documents(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, temperature
     """The documents as often as the schedule has the block of their first token; the columns stay as they are.
 
     Whole documents are kept: each one of a source with a weight appears once or more, and a source above its natural share repeats.
-    A text without a token is in no block and appears once. Rows are matched to their
-    places by (source, doc_id, text); nulls match nulls.
+    A text without a token is in no block and appears once, also of a source without a weight. Each row has its own count, repeated rows too; a null source is
+    the source ''. No documents: no rows.
     """
+    docs = side.scanned(docs)
     slots, places = schedule(docs, block_tokens, temperature, weights)
-    times = slots.groupBy("source", "block").agg(F.count("*").alias("_times"))
-    home = places.withColumn("block", F.expr(f"start div {block_tokens}")).join(times, ["source", "block"])
-    # rows that agree in source, doc_id and text share the mean of their counts, so the row total is right
-    many = home.groupBy("source", "place").agg(F.sum("_times").alias("_all"), F.count("*").alias("_rows"))
-    mean = F.greatest(F.round(F.col("_all") / F.col("_rows")), F.lit(1)).cast("int")
-    key, copies, i = (fresh(c, docs.columns) for c in ("_key", "_copies", "_i"))
-    # one 64-bit key: a broadcast of it takes a few bytes a document
-    many = small_side(materialise(many.select(F.xxhash64("source", "place").alias(key), mean.alias(copies)).groupBy(key).agg(F.max(copies).alias(copies)), "mix-copies"))
-    joined = docs.join(many, F.xxhash64(F.coalesce(docs["source"].cast("string"), F.lit("")), shuffle_key(docs)) == F.col(key), "left")
-    times_ = F.when(tokens() == 0, F.lit(1)).otherwise(F.coalesce(F.col(copies), F.lit(0)))
-    return joined.withColumn(i, F.explode(F.sequence(F.lit(1), F.when(times_ > 0, times_)))).select(*[docs[c] for c in docs.columns])
+    times = slots.groupBy("source", "block").agg(F.count("*").alias("times"))
+    home = places.withColumn("block", F.expr(f"start div {block_tokens}")).join(times, ["source", "block"], "left")
+    # addresses and counts alone travel; the texts stay where they are
+    count = blocks(docs)
+    path = side.stored(home.select("file", "row", F.coalesce("times", F.lit(0)).alias("value")), count, "mix-copies")
+    rows, file, row = side.addressed(docs, docs.columns)
+    i = fresh("_i", rows.columns)
+    copies = rows.withColumn(i, side.lookup(path, count, 1)(F.col(file), F.col(row))).where(F.col(i) > 0)
+    return copies.withColumn(i, F.explode(F.sequence(F.lit(1), F.col(i).cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

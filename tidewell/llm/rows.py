@@ -32,24 +32,30 @@ PACKED = "bucket int, file long, chunk long, rows binary, values binary"
 U64 = np.uint64
 
 
+def scanned(docs: DataFrame) -> DataFrame:
+    """The table as a scan whose rows have addresses: only Parquet files tell a row's place, and any other table is written to the shared folder first."""
+    if is_scan(docs):
+        try:
+            docs.select(docs.metadataColumn("_metadata")["row_index"])
+            return docs
+        except AnalysisException:
+            pass  # files that do not count their rows
+    return materialise(docs, "rows")
+
+
 def addressed(docs: DataFrame, columns: list[Column | str]) -> tuple[DataFrame, str, str]:
     """The columns of every row, with its file (as a hash) and its place, and the names of these two.
 
-    Only Parquet files tell a row's place; any other table is written to the shared folder first.
+    Whoever calls this twice for one table passes what scanned() gives, as a table that is no scan has other addresses each time.
     """
     taken = docs.select(*columns).columns
     file, row = fresh("_file", taken), fresh("_row", taken)
-
-    def places(table: DataFrame, chosen: list[Column | str]) -> DataFrame:
-        meta = table.metadataColumn("_metadata")
-        return table.select(*chosen, F.xxhash64(meta["file_path"]).alias(file), meta["row_index"].alias(row))
-
-    if is_scan(docs):
-        try:
-            return places(docs, columns), file, row
-        except AnalysisException:
-            pass  # files that do not count their rows
-    return places(materialise(docs.select(*columns), "rows"), ["*"]), file, row
+    if is_scan(docs) and (table := scanned(docs)) is docs:
+        chosen = columns
+    else:
+        table, chosen = materialise(docs.select(*columns), "rows"), ["*"]
+    meta = table.metadataColumn("_metadata")
+    return table.select(*chosen, F.xxhash64(meta["file_path"]).alias(file), meta["row_index"].alias(row)), file, row
 
 
 def _bucket(file: np.ndarray, chunk: np.ndarray, count: int) -> np.ndarray:
@@ -57,7 +63,7 @@ def _bucket(file: np.ndarray, chunk: np.ndarray, count: int) -> np.ndarray:
 
 
 def pack(file: np.ndarray, row: np.ndarray, value: np.ndarray, count: int) -> pa.RecordBatch:
-    """Values (32 bits) of rows as one row a chunk."""
+    """Whole numbers of rows as one row a chunk."""
     order = np.lexsort((row, file))
     file, row, value = file[order], row[order], value[order]
     chunk = row // CHUNK
@@ -65,7 +71,7 @@ def pack(file: np.ndarray, row: np.ndarray, value: np.ndarray, count: int) -> pa
     first = np.flatnonzero(new)
     cuts = np.append(first, len(row))
     return pa.RecordBatch.from_arrays(
-        [pa.array(_bucket(file[first], chunk[first], count)), pa.array(file[first]), pa.array(chunk[first]), tb.binaries((row % CHUNK).astype(np.int32), cuts), tb.binaries(value.astype(np.int32), cuts)],
+        [pa.array(_bucket(file[first], chunk[first], count)), pa.array(file[first]), pa.array(chunk[first]), tb.binaries((row % CHUNK).astype(np.int32), cuts), tb.binaries(value.astype(np.int64), cuts)],
         names=["bucket", "file", "chunk", "rows", "values"],
     )
 
@@ -74,7 +80,7 @@ def _merged(count: int):
     def merge(table: pa.Table) -> pa.Table:
         n = np.array([len(x.as_buffer()) // 4 for x in table["rows"]], np.int64)
         file, chunk = (np.repeat(table[c].to_numpy(), n) for c in ("file", "chunk"))
-        return pa.Table.from_batches([pack(file, chunk * CHUNK + tb.joined(table["rows"], np.int32), tb.joined(table["values"], np.int32), count)])
+        return pa.Table.from_batches([pack(file, chunk * CHUNK + tb.joined(table["rows"], np.int32), tb.joined(table["values"], np.int64), count)])
 
     return merge
 
@@ -87,7 +93,7 @@ def store(packs: DataFrame, count: int, name: str) -> str:
 
 
 def stored(values: DataFrame, count: int, name: str) -> str:
-    """store() of a table (file, row, value) with one row an address."""
+    """store() of a table (file, row, value) with one row an address or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,12 +113,12 @@ def _load(path: str, count: int, file: int, chunk: int) -> tuple[np.ndarray, np.
         return _LOADED[key]
     bucket = int(_bucket(np.array([file]), np.array([chunk]), count)[0])
     fs, inner = pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", f"{path}/bucket={bucket}"))
-    rows, values = np.zeros(0, np.int32), np.zeros(0, np.int32)
+    rows, values = np.zeros(0, np.int32), np.zeros(0, np.int64)
     for x in fs.get_file_info(pafs.FileSelector(inner, allow_not_found=True)):
         if x.path.endswith(".parquet"):
             table = pq.read_table(x.path, columns=["rows", "values"], filesystem=fs, partitioning=None, filters=[("file", "=", file), ("chunk", "=", chunk)])
             if table.num_rows:
-                rows, values = (tb.joined(table[c], np.int32) for c in ("rows", "values"))
+                rows, values = tb.joined(table["rows"], np.int32), tb.joined(table["values"], np.int64)
     _LOADED[key] = rows, values
     while len(_LOADED) > 1 and sum(a.nbytes + b.nbytes for a, b in _LOADED.values()) > CACHE_BYTES:
         _LOADED.popitem(last=False)
@@ -135,7 +141,7 @@ def found(path: str, count: int, file: np.ndarray, row: np.ndarray) -> tuple[np.
         at.append(mine[i[hit]])
         values.append(held[lo:hi][hit])
     if not at:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     at, values = np.concatenate(at), np.concatenate(values)
     order = np.argsort(at, kind="stable")
     return at[order], values[order]
@@ -145,9 +151,9 @@ def lookup(path: str, count: int, default: int):
     """A function of the columns file and row that gives the row's value, or the default where it has none."""
 
     def run(file: pd.Series, row: pd.Series) -> pd.Series:
-        out = np.full(len(row), default, np.int32)
+        out = np.full(len(row), default, np.int64)
         at, values = found(path, count, file.to_numpy(np.int64), row.to_numpy(np.int64))
         out[at] = values
         return pd.Series(out)
 
-    return F.pandas_udf(run, "int")
+    return F.pandas_udf(run, "long")
