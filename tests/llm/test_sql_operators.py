@@ -30,6 +30,32 @@ def test_decontamination(spark, seed, clash):
     assert found.count() > 0
 
 
+def test_short_items_are_found_whole(spark):
+    """Items of 5 to 9 words in documents at any place: always; of fewer words: never; brute force, both ways of use."""
+    import random
+
+    from corpora import text
+
+    r = random.Random(7)
+    plain = lambda n: [w.strip(".,").lower() for w in text(r, n).split()]
+    items = {i: plain(1 + i % 12) for i in range(60)}
+    rows = []
+    for i in range(200):
+        w = plain(r.randint(0, 50))
+        if i % 2:
+            at = r.randint(0, len(w))
+            w[at:at] = items[r.randrange(60)]
+        rows.append((i, " ".join(w), "en", "s", 1))
+    docs, bench = frame(spark, rows), spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], BENCH)
+    holds = lambda t, w: any(t[k : k + len(w)] == w for k in range(len(t) - len(w) + 1))
+    want = {(d, i) for d, t, *_ in rows for i, w in items.items() if len(w) < 10 and len(w) >= 5 and holds(t.split(), w)}
+    found = decontaminate.contaminated_spans(docs, bench).collect()
+    assert {(x.doc_id, x.item_id) for x in found if len(items[x.item_id]) < 10} == want and want
+    assert all(x.span_words == len(items[x.item_id]) for x in found if len(items[x.item_id]) < 10)
+    bad = {x.doc_id for x in found}
+    assert {x.doc_id for x in decontaminate.drop_contaminated(docs, bench).collect()} == {d for d, *_ in rows} - bad
+
+
 def test_decontamination_in_slices(spark, monkeypatch):
     rows = corpus(1)
     bench = spark.createDataFrame(bench_rows(rows), BENCH)

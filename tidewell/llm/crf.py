@@ -199,7 +199,8 @@ def labelled_table(sentences: int = SENTENCES, seed: int = 7) -> list[list[tuple
         return [(p, f"{'I' if i else 'B'}-{kind}") for i, p in enumerate(parts)]
 
     def email() -> list:
-        host = r.choice([f"mail{r.randint(0, 9)}.example.com", f"{letters(5)}.{r.choice(['com', 'org', 'net', 'de', 'co.uk', 'fr'])}"])
+        ending = r.choice(["com", "org", "net", "de", "co.uk", "fr", "example", "io"])
+        host = r.choice([f"{letters(r.randint(2, 6))}{digits(1)}.{letters(r.randint(3, 9))}.{ending}", f"{letters(r.randint(3, 9))}.{ending}", f"{letters(r.randint(2, 6))}.{letters(r.randint(3, 9))}.{ending}", f"{letters(4)}-{letters(5)}.{ending}"])
         return tagged("EMAIL", r.choice([f"{name()}.{digits(2)}@{host}", f"{name()}@{host}", f"{name()}.{name()}@{host}", f"{name()}_{digits(3)}@{host}", f".{digits(2)}@{host}"]))
 
     def phone() -> list:
@@ -225,7 +226,7 @@ def labelled_table(sentences: int = SENTENCES, seed: int = 7) -> list[list[tuple
     def plain() -> list:
         y = f"{r.randint(1900, 2030)}"
         m = f"{r.randint(1, 12):02d}"
-        return [(x, "O") for x in r.choice([(y,), (f"{y}-{m}-{m}",), (f"{m}:{digits(2)}",), (f"{digits(1)}.{digits(1)}.{digits(1)}",), (f"{digits(1)}.{digits(2)}",), (f"{digits(1)},{digits(3)}",), (digits(r.randint(1, 8)),), (f"{digits(2)}%",), (f"${digits(3)}",), ("version", f"{digits(1)}.0"), (f"v{digits(1)}.{digits(2)}.{digits(1)}",), (f"{name()}-{name()}",), (name(), "=", f'"{name()}"'), (f"({name()})",), (f"#{digits(3)}",), (f"{digits(4)}-{digits(4)}",), (f"({y})",), (f"{m}/{m}/{y}",), ("page", digits(3)), ("token", name()), (f'"{name()}', f'{name()}"'), (f"@{name()}",), ("CC", "BY-NC", "4.0."), ("|",), ("=",), (f"{name()}.{name()}",), ("+", digits(1)), (f"https://{name()}.org/{name()}",), (f"{digits(10)}",)])]
+        return [(x, "O") for x in r.choice([(y,), (f"{y}-{m}-{m}",), (f"{m}:{digits(2)}",), (f"{digits(1)}.{digits(1)}.{digits(1)}",), (f"{digits(1)}.{digits(2)}",), (f"{digits(1)},{digits(3)}",), (f"{digits(r.randint(1, 3))},{digits(3)}.{digits(2)}",), (f"978-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}",), (digits(r.randint(1, 8)),), (f"{digits(2)}%",), (f"${digits(3)}",), ("version", f"{digits(1)}.0"), (f"v{digits(1)}.{digits(2)}.{digits(1)}",), (f"{name()}-{name()}",), (name(), "=", f'"{name()}"'), (f"({name()})",), (f"#{digits(3)}",), (f"{digits(4)}-{digits(4)}",), (f"({y})",), (f"{m}/{m}/{y}",), ("page", digits(3)), ("token", name()), (f'"{name()}', f'{name()}"'), (f"@{name()}",), ("CC", "BY-NC", "4.0."), ("|",), ("=",), (f"{name()}.{name()}",), ("+", digits(1)), (f"https://{name()}.org/{name()}",), (f"{digits(10)}",)])]
 
     marks = ["", "", "", "", "", "!!", "###", "***", "$$$", "%%%", "&&&"]
     rare = [email, phone, ip, card, secret, number]
@@ -249,57 +250,69 @@ def labelled_table(sentences: int = SENTENCES, seed: int = 7) -> list[list[tuple
     return out
 
 
-def fit(table: list[list[tuple[str, str]]], steps: int = STEPS, ridge: float = RIDGE) -> Field:
-    """Maximum likelihood (with a ridge) by Adam on the exact gradient over the whole table."""
-    texts = pa.array([" ".join(t for t, _ in s) for s in table])
-    _, _, _, row, code = tokens(texts)
-    gold = np.array([TAGS.index(t) for s in table for _, t in s])
-    assert len(code) == len(gold), "a labelled token holds white space"
-    n, t_max, k = len(table), int(np.bincount(row).max()), len(TAGS)
-    pos = np.arange(len(row)) - np.searchsorted(row, row)
-    shapes, shape = np.unique(code, return_inverse=True)
-    feats = shape_features(shapes)
-    hot = np.zeros((len(shapes), SPACE_))
-    np.add.at(hot, (np.repeat(np.arange(len(shapes)), feats.shape[1]), feats.ravel()), 1)
-    mask = np.zeros((n, t_max), bool)
-    mask[row, pos] = True
-    new, last = pos == 0, np.append(row[1:] != row[:-1], True)
-    y = np.zeros((n, t_max), np.int64)
-    y[row, pos] = gold
-    w = [np.zeros((SPACE_, k)) for _ in range(3)] + [np.zeros((k, k))]
-    moment, square = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w]
-    prev, nxt = np.maximum(np.arange(len(row)) - 1, 0), np.minimum(np.arange(len(row)) + 1, len(row) - 1)
-    pairs = np.zeros((k, k))
-    both = ~new
-    np.add.at(pairs, (gold[np.flatnonzero(both) - 1], gold[both]), 1)
-    lse = lambda a, axis: (m := a.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(a - m).sum(axis))
-    for step in range(1, steps + 1):
-        own, before, after = (hot @ x for x in w[:3])
-        flat = own[shape] + np.where(new[:, None], 0, before[shape[prev]]) + np.where(last[:, None], 0, after[shape[nxt]])
-        e = np.zeros((n, t_max, k))
+class Likelihood:
+    """The log-likelihood of a labelled table and its gradient, by forward-backward over all sentences at once."""
+
+    def __init__(self, table: list[list[tuple[str, str]]]) -> None:
+        _, _, _, row, code = tokens(pa.array([" ".join(t for t, _ in s) for s in table]))
+        gold = np.array([TAGS.index(t) for s in table for _, t in s])
+        if len(code) != len(gold):
+            raise ValueError("a labelled token is empty or holds white space")
+        self.row, self.gold, self.n, self.k = row, gold, len(table), len(TAGS)
+        self.pos = np.arange(len(row)) - np.searchsorted(row, row)
+        shapes, self.shape = np.unique(code, return_inverse=True)
+        feats = shape_features(shapes)
+        self.hot = np.zeros((len(shapes), SPACE_))
+        np.add.at(self.hot, (np.repeat(np.arange(len(shapes)), feats.shape[1]), feats.ravel()), 1)
+        self.longest = int(self.pos.max()) + 1
+        self.mask = np.zeros((self.n, self.longest), bool)
+        self.mask[row, self.pos] = True
+        self.new, self.last = self.pos == 0, np.append(row[1:] != row[:-1], True)
+        self.prev, self.next = np.maximum(np.arange(len(row)) - 1, 0), np.minimum(np.arange(len(row)) + 1, len(row) - 1)
+        self.pairs = np.zeros((self.k, self.k))
+        inner = np.flatnonzero(~self.new)
+        np.add.at(self.pairs, (gold[inner - 1], gold[inner]), 1)
+
+    def start(self) -> list[np.ndarray]:
+        """Weights of 0: of a token's own shape, of the shapes before and after it, and of pairs of tags."""
+        return [np.zeros((SPACE_, self.k)) for _ in range(3)] + [np.zeros((self.k, self.k))]
+
+    def __call__(self, w: list[np.ndarray]) -> tuple[float, list[np.ndarray]]:
+        row, pos, gold, mask, n, k = self.row, self.pos, self.gold, self.mask, self.n, self.k
+        lse = lambda a, axis: (m := a.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(a - m).sum(axis))
+        own, before, after = (self.hot @ x for x in w[:3])
+        flat = own[self.shape] + np.where(self.new[:, None], 0, before[self.shape[self.prev]]) + np.where(self.last[:, None], 0, after[self.shape[self.next]])
+        e = np.zeros((n, self.longest, k))
         e[row, pos] = flat
         edge = w[3]
-        alpha, beta = np.zeros((n, t_max, k)), np.zeros((n, t_max, k))
+        alpha, beta = np.zeros((n, self.longest, k)), np.zeros((n, self.longest, k))
         alpha[:, 0] = e[:, 0]
-        for t in range(1, t_max):
+        for t in range(1, self.longest):
             alpha[:, t] = np.where(mask[:, t, None], lse(alpha[:, t - 1, :, None] + edge[None], 1) + e[:, t], alpha[:, t - 1])
         z = lse(alpha[:, -1], 1)
         expect = np.zeros((k, k))
-        for t in range(t_max - 2, -1, -1):
+        for t in range(self.longest - 2, -1, -1):
             inner = edge[None] + (e[:, t + 1] + beta[:, t + 1])[:, None, :]
             beta[:, t] = np.where(mask[:, t + 1, None], lse(inner, 2), 0.0)
             joint = np.exp(alpha[:, t, :, None] + inner - z[:, None, None])
             expect += joint[mask[:, t + 1]].sum(0)
-        p = np.exp(alpha[row, pos] + beta[row, pos] - z[row, None])
-        residual = -p
+        residual = -np.exp(alpha[row, pos] + beta[row, pos] - z[row, None])
         residual[np.arange(len(row)), gold] += 1
         grads = []
-        for source, keep in ((shape, None), (shape[prev], ~new), (shape[nxt], ~last)):
-            source, left = (source, residual) if keep is None else (source[keep], residual[keep])
-            per = np.stack([np.bincount(source, left[:, c], len(shapes)) for c in range(k)], 1)
-            grads.append(hot.T @ per)
-        grads.append(pairs - expect)
-        for i, g in enumerate(grads):
+        for source, keep in ((self.shape, slice(None)), (self.shape[self.prev], ~self.new), (self.shape[self.next], ~self.last)):
+            per = np.stack([np.bincount(source[keep], residual[keep][:, c], len(self.hot)) for c in range(k)], 1)
+            grads.append(self.hot.T @ per)
+        value = flat[np.arange(len(row)), gold].sum() + (self.pairs * edge).sum() - z.sum()
+        return float(value), [*grads, self.pairs - expect]
+
+
+def fit(table: list[list[tuple[str, str]]], steps: int = STEPS, ridge: float = RIDGE) -> Field:
+    """Maximum likelihood (with a ridge) by Adam on the exact gradient over the whole table."""
+    likelihood = Likelihood(table)
+    w = likelihood.start()
+    moment, square = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w]
+    for step in range(1, steps + 1):
+        for i, g in enumerate(likelihood(w)[1]):
             g = g - ridge * w[i]
             moment[i] = 0.9 * moment[i] + 0.1 * g
             square[i] = 0.99 * square[i] + 0.01 * g * g
@@ -333,13 +346,37 @@ def spans(text: pa.Array, field: Field, exhaustive: bool = False) -> tuple[np.nd
     return row[at[begin]], [KINDS[i] for i in kind[begin]], first, last, data, tb.utf8(text)[1]
 
 
-def find_private(docs: DataFrame, field: Field | None = None) -> DataFrame:
+#: Tokens of a labelled table that the driver fits on; a larger one is refused, not cut.
+MAX_LABELLED = 200_000
+
+
+def labelled_sentences(labelled: DataFrame) -> list[list[tuple[str, str]]]:
+    """The sentences of a table (sentence, place, token, tag), tokens by place; a null tag is O. Rows with a null or blank token or a null sentence are left out."""
+    rows = labelled.select("sentence", "place", F.trim("token").alias("token"), F.coalesce("tag", F.lit("O")).alias("tag")).where("sentence IS NOT NULL AND token <> ''")
+    if rows.count() > MAX_LABELLED:
+        raise ValueError(f"a labelled table has {MAX_LABELLED} tokens at most")
+    out: dict = {}
+    for r in rows.orderBy("sentence", "place", "token", "tag").collect():
+        if r.tag not in TAGS:
+            raise ValueError(f"unknown tag {r.tag}")
+        out.setdefault(r.sentence, []).append((r.token, r.tag))
+    return list(out.values())
+
+
+def find_private(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """(doc_id, kind, start, end, value): every entity that the field finds, by characters of the text (end not included).
 
-    Documents without an entity, and null texts, have no row. A null doc_id is reported as null; repeated rows give their entities
-    again. Other columns are not read. No documents: no rows.
+    The field is trained from labelled (sentence, place, token, tag with the tags of TAGS), or from labelled_table() where none is given; a table
+    without a token finds nothing. Documents without an entity, and null texts, have no row. A null doc_id is reported as null; repeated rows give their entities
+    again; texts of any length are decoded whole. Other columns are not read. No documents: no rows.
     """
-    field = field or production_field()
+    schema = "doc_id long, kind string, start int, end int, value string"
+    if labelled is None:
+        field = production_field()
+    elif sentences := labelled_sentences(labelled):
+        field = fit(sentences)
+    else:
+        return docs.sparkSession.createDataFrame([], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -354,7 +391,7 @@ def find_private(docs: DataFrame, field: Field | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, pa.array(kind, pa.string()), pa.array((lead[first] - base).astype(np.int32)), pa.array((lead[last] - base).astype(np.int32)), pa.array(values, pa.string())], names=["doc_id", "kind", "start", "end", "value"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, kind string, start int, end int, value string")
+    return source.mapInArrow(run, schema)
 
 
 def labelled_frame(spark: SparkSession) -> DataFrame:

@@ -3,7 +3,8 @@
 Both sides keep, of every window of W consecutive word k-grams, the least hash (the
 rightmost of equals). A span of K + W - 1 words or more that a document shares with a
 benchmark item holds a whole window, whose least hash both sides keep, so the fingerprints
-always meet there. Each meeting is then extended word by word to the longest shared span.
+always meet there. Each meeting is then extended to the longest shared span, by binary search over hashes of word runs.
+Items with fewer grams than a window are looked up by their first gram among all grams of the documents instead, so they are always found whole.
 
 The documents are scanned once per slice of the benchmark; a slice is at most
 SLICE_WORDS words, which bounds what is broadcast whatever the benchmark's size.
@@ -51,48 +52,73 @@ def winnow(g: np.ndarray, bounds: np.ndarray, w: int) -> np.ndarray:
     return np.flatnonzero(chosen)
 
 
+#: Meetings that are extended at once.
+LOT = 1 << 18
+
+
+def _shared(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, most: np.ndarray, way: int) -> np.ndarray:
+    """How many words from i on (way 1), or up to i (way -1), agree with those at j, at most so many; x and y are prefix hashes."""
+    low, high = np.zeros(len(i), np.int64), most.copy()
+    while (open_ := low < high).any():
+        n = np.where(open_, (low + high + 1) // 2, low)
+        a, b, c, d = (i, i + n, j, j + n) if way > 0 else (i - n, i, j - n, j)
+        same = tb.span_hash(x, a, b) == tb.span_hash(y, c, d)
+        low, high = np.where(open_ & same, n, low), np.where(open_ & ~same, n - 1, high)
+    return low
+
+
 class Index:
-    """The winnowed fingerprints of one slice of the benchmark, with its words for the extension."""
+    """The fingerprints of one slice of the benchmark, with hashes of its word runs for the extension."""
 
     def __init__(self, ids: list, words: np.ndarray, bounds: np.ndarray, k: int, w: int) -> None:
-        self.ids, self.words, self.bounds = np.array(ids, np.int64), words, bounds
+        self.ids, self.bounds, self.sums = np.array(ids, np.int64), bounds, tb.prefix_hash(words)
         g, cuts = tb.grams(words, bounds, k)
+        n = np.diff(cuts)
+        short = (n < w) & (np.diff(bounds) >= k)
         at = winnow(g, cuts, w)
         item = np.searchsorted(cuts, at, "right") - 1
-        order = np.argsort(g[at], kind="stable")
-        self.prints, self.item, self.place = g[at][order], item[order], (at - cuts[item])[order]
-        self.mask = U64((1 << max(16, 4 + int(len(at)).bit_length())) - 1)
-        self.known = np.zeros(int(self.mask) + 1, bool)
-        self.known[(self.prints & self.mask).astype(np.int64)] = True
-
-    def spans(self, words: np.ndarray, bounds: np.ndarray, k: int, w: int, least: int) -> dict[tuple[int, int], int]:
-        """The longest shared span by (text, item), where it has least words or is a whole shorter item."""
+        at, item = at[n[item] >= w], item[n[item] >= w]
+        self.long = self._sorted(g[at], item, at - cuts[item])
+        # items of k to k + w - 2 words, by their first gram
+        self.short = self._sorted(g[cuts[:-1][short]], np.flatnonzero(short), np.zeros(int(short.sum()), np.int64))
+
+    @staticmethod
+    def _sorted(prints: np.ndarray, item: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.argsort(prints, kind="stable")
+        mask = U64((1 << max(16, 4 + len(prints).bit_length())) - 1)
+        known = np.zeros(int(mask) + 1, bool)
+        known[(prints & mask).astype(np.int64)] = True
+        return prints[order], item[order], place[order], mask, known
+
+    def spans(self, words: np.ndarray, bounds: np.ndarray, k: int, w: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, item and words of shared spans, the longest of each pair among them, where they have least words or are a whole shorter item."""
         g, cuts = tb.grams(words, bounds, k)
-        at = winnow(g, cuts, w)
-        at = at[self.known[(g[at] & self.mask).astype(np.int64)]]
-        lo, hi = np.searchsorted(self.prints, g[at], "left"), np.searchsorted(self.prints, g[at], "right")
-        out: dict[tuple[int, int], int] = {}
-        done: dict[tuple[int, int, int], int] = {}
-        for p, a, b in zip(at[lo < hi], lo[lo < hi], hi[lo < hi]):
-            doc = int(np.searchsorted(cuts, p, "right")) - 1
-            here = int(p - cuts[doc])
-            text = words[bounds[doc] : bounds[doc + 1]]
-            for e in range(a, b):
-                item, there = int(self.item[e]), int(self.place[e])
-                if done.get((doc, item, here - there), -1) > here:
-                    continue
-                other = self.words[self.bounds[item] : self.bounds[item + 1]]
-                back = min(here, there)
-                x, y = text[here - back :], other[there - back :]
-                n = min(len(x), len(y))
-                differs = np.flatnonzero(x[:n] != y[:n])
-                i = int(np.searchsorted(differs, back))
-                start = int(differs[i - 1]) + 1 if i else 0
-                end = int(differs[i]) if i < len(differs) else n
-                done[doc, item, here - there] = here - back + end
-                if end - start >= min(least, len(other)) and end > start:
-                    out[doc, item] = max(out.get((doc, item), 0), end - start)
-        return out
+        at, entry = [], []
+        for kept, (prints, item, place, mask, known) in ((winnow(g, cuts, w), self.long), (np.arange(len(g)), self.short)):
+            if not len(prints):
+                continue
+            kept = kept[known[(g[kept] & mask).astype(np.int64)]]
+            lo, hi = np.searchsorted(prints, g[kept], "left"), np.searchsorted(prints, g[kept], "right")
+            n = hi - lo
+            e = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+            at.append(np.repeat(kept, n)), entry.append(np.stack([item[e], place[e]]))
+        out = [np.zeros((3, 0), np.int64)]
+        if at:
+            at, (item, place) = np.concatenate(at), np.concatenate(entry, 1)
+            sums = tb.prefix_hash(words)
+            for lo in range(0, len(at), LOT):
+                p, it = at[lo : lo + LOT], item[lo : lo + LOT]
+                doc = np.searchsorted(cuts, p, "right") - 1
+                i, j = bounds[doc] + p - cuts[doc], self.bounds[it] + place[lo : lo + LOT]
+                back = _shared(sums, self.sums, i, j, np.minimum(i - bounds[doc], j - self.bounds[it]), -1)
+                n = back + _shared(sums, self.sums, i, j, np.minimum(bounds[doc + 1] - i, self.bounds[it + 1] - j), 1)
+                good = (n >= np.minimum(least, self.bounds[it + 1] - self.bounds[it])) & (n >= k)
+                out.append(np.stack([doc[good], it[good], n[good]]))
+        doc, item, n = np.concatenate(out, 1)
+        order = np.lexsort((-n, item, doc))
+        doc, item, n = doc[order], item[order], n[order]
+        first = np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])) if len(doc) else np.zeros(0, bool)
+        return doc[first], item[first], n[first]
 
 
 def _slices(benchmark: DataFrame, k: int, w: int) -> Iterator[Index]:
@@ -115,17 +141,21 @@ def _slices(benchmark: DataFrame, k: int, w: int) -> Iterator[Index]:
             yield Index([r.item_id for r in rows], words, np.concatenate([[0], np.cumsum([r.n for r in rows])]), k, w)
 
 
-def _found(text: pa.Array, index: Index, k: int, w: int, least: int) -> Iterator[tuple[int, dict[tuple[int, int], int]]]:
+def _found(text: pa.Array, index: Index, k: int, w: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """spans() of a column of texts."""
+    parts = [np.zeros((3, 0), np.int64)]
     for lo, hi in tb.slices(text):
-        yield lo, index.spans(*tb.words(text.slice(lo, hi - lo)), k, w, least)
+        doc, item, n = index.spans(*tb.words(text.slice(lo, hi - lo)), k, w, least)
+        parts.append(np.stack([doc + lo, item, n]))
+    return tuple(np.concatenate(parts, 1))
 
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, min_span: int = MIN_SPAN, k: int = K, w: int = W) -> DataFrame:
     """(doc_id, item_id, span_words): the longest word span that a document shares with an item.
 
     A pair is given where the span has min_span words or more (min_span >= k + w - 1 makes the
-    result complete). Items shorter than min_span are reported when a fingerprint meets and the
-    whole item is in the document. Null or wordless texts and items with a null id share nothing;
+    result complete). An item of k to min_span - 1 words is given wherever it stands whole in the document, and an
+    item of fewer than k words never, as ordinary texts hold such phrases. Texts of any length are read whole. Null or wordless texts and items with a null id share nothing;
     documents with a null doc_id are reported together under null. Repeated rows and repeated
     items of one id give one row with the longest span. An empty table on either side: no rows.
     """
@@ -137,13 +167,9 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, min_span: int = MI
     def scan(held) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids = batch.column(0)
-                rows, items, spans = [], [], []
-                for lo, found in _found(batch.column(1), held.value, k, w, min_span):
-                    for (doc, item), n in found.items():
-                        rows.append(lo + doc), items.append(held.value.ids[item]), spans.append(n)
-                if rows:
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(items, pa.int64()), pa.array(spans, pa.int32())], names=["doc_id", "item_id", "span_words"])
+                row, item, n = _found(batch.column(1), held.value, k, w, min_span)
+                if len(row):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(held.value.ids[item]), pa.array(n.astype(np.int32))], names=["doc_id", "item_id", "span_words"])
 
         return run
 
@@ -158,7 +184,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, min_span: int = MI
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_span: int = MIN_SPAN, k: int = K, w: int = W) -> DataFrame:
-    """The documents that share no span of min_span words or more with any item; all columns stay.
+    """The documents that share no span of min_span words or more with any item, and hold no shorter item of k words or more whole; all columns stay.
 
     Rows are judged by their own text, so a null doc_id or a repeated row makes no difference. A null text stays.
     """
@@ -169,8 +195,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_span: int = MIN
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
-                for lo, found in _found(batch.column(place), held.value, k, w, min_span):
-                    clean[[lo + doc for doc, _ in found]] = False
+                clean[_found(batch.column(place), held.value, k, w, min_span)[0]] = False
                 yield batch if clean.all() else batch.filter(pa.array(clean))
 
         return run

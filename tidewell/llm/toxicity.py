@@ -1,18 +1,19 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Four small transducers run one behind the other over the symbols of a clause: negation marks insults and threats
-in its reach, reported speech marks what follows it, the target transducer remembers whether anyone
-is addressed, and threats wait for a target. They are composed into one deterministic machine before
-any text is read. Words become symbols through a lexicon: curated English words, and the words
-of any language that labelled documents show to be toxic. The weight of an insult is the
+Four transducers run one behind the other over the word classes of a clause. Negation silences what stands in its
+reach, up to a comma. The insult transducer writes hits: words that insult anyone, milder ones only where
+somebody is addressed or as "a piece of ...", and tells those aimed at a person from the rest. The threat transducer wants a verb and its victim
+in this order ("kill them", "will beat you", "go die", "werde dich schlagen"), so a process that is killed threatens nobody. Reported speech
+marks the hits behind it. They are composed into one deterministic machine. Words get their classes from a
+lexicon: curated words, and the words of any language that labelled documents show to be toxic. The weight of an insult is the
 log-odds of the word; other words cost a little each, so a document is judged by the balance of
-its matched clauses against its length, and a clause that insults or threatens someone by name decides alone.
+its matched clauses against its length, and a clause that insults a person by curated words, or threatens one, decides alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,55 +33,132 @@ INSULT, ORDINARY, PRIOR = 6.0, 0.02, -2.2
 THREAT, TARGETED = 6.0, 2.0
 #: Weight from which a clause with a target decides alone.
 DECISIVE = 6.0
-REPORTED = 0.3
-
-OTHER, INSULTING, THREATENING, TARGET, NEGATION, REPORT = range(6)
+REPORTED = 0.25
+
+#: Classes of words, which are the input symbols.
+CLASSES = "OTHER INSULT MILD LEARNT PIECE OF KILL BLOW ABROAD INTENT GO DIE YOU YOUR PERSON LINK THE NEGATION REPORT PAUSE".split()
+OTHER, INSULTING, MILD, LEARNT, PIECE, OF, KILL, BLOW, ABROAD, INTENT, GO, DIE, YOU, YOUR, PERSON, LINK, THE, NEGATION, REPORT, PAUSE = range(len(CLASSES))
+#: What the machines write: hits, aimed hits, an address that follows a hit, threats; and the hits in reported speech.
+HIT, AIMED, LATE, THREATENED, SAID_HIT, SAID_AIMED, SAID_THREAT = range(len(CLASSES), len(CLASSES) + 7)
+SYMBOLS = len(CLASSES) + 7
+#: Words that make a clause worth running through the machine.
+CORE = (INSULTING, MILD, LEARNT, KILL, BLOW, ABROAD, DIE)
 LEXICON = {
-    INSULTING: "idiot idiots moron morons stupid trash worthless pathetic disgusting clown clowns scum loser losers imbecile imbeciles dumbass jerk vermin filth filthy scumbag bastard cretin dimwit halfwit lowlife crybaby repulsive despicable",
-    THREATENING: "kill hurt destroy murder shoot strangle punch smash crush",
-    TARGET: "you your yours yourself he him she her they them their u ur everyone everybody somebody someone people",
+    INSULTING: "idiot idiots moron morons stupid worthless pathetic disgusting scum scumbag scumbags imbecile imbeciles dumbass jerk vermin filthy bastard bastards cretin dimwit halfwit lowlife repulsive despicable asshole arschloch dummkopf vollidiot idiota idiotas imbécil estúpido estúpida crétin connard imbécile",
+    MILD: "clown clowns loser losers trash garbage filth crap dirt pig pigs rat rats snake joke coward cowards liar liars fool fools crybaby waste disgrace dumb ugly freak weirdo basura payaso müll ordure clochard",
+    PIECE: "piece pieces pile bag load heap sack waste",
+    OF: "of",
+    KILL: "kill murder strangle stab shoot hurt torture lynch slaughter execute",
+    BLOW: "beat punch crush smash destroy hit break slap choke burn bury end find get ruin",
+    ABROAD: "töten umbringen schlagen tuer frapper matar golpear",
+    INTENT: "will ll gonna going gotta wanna shall must want should werde werden wird vais va voy vas",
+    GO: "go",
+    DIE: "die",
+    YOU: "you yourself yourselves u dich dir du te tu toi vous ti",
+    YOUR: "your yours ur",
+    PERSON: "he him himself she her they them themselves their everyone everybody somebody someone people",
+    LINK: "all both each every one some up off",
+    THE: "the",
     NEGATION: "not never no isn aren wasn don doesn didn won wouldn nobody without nicht kein keine ne pas nunca jamais",
     REPORT: "said says say wrote writes claimed claims told quoted quotes reported reports alleged called sagte dijo dit",
 }
-_REACH = 3
+_REACH = 4
+_NEGATED = 3
 U64 = np.uint64
+#: What stands for a comma among the word hashes.
+COMMA = U64(0x2C2C2C2C2C2C2C2C)
 
 
 class Machine:
-    """A deterministic transducer: step[state, symbol] is the next state, out[state, symbol] the output symbol."""
+    """A deterministic transducer from state 0: step[state, symbol] is the next state, out[state, symbol] the output symbol."""
 
     def __init__(self, step: np.ndarray, out: np.ndarray) -> None:
-        self.step, self.out = step, out
+        self.step, self.out = step.astype(np.int32), out.astype(np.int8)
 
     def then(self, other: Machine) -> Machine:
-        """The composition: other reads what this machine writes."""
-        n, m = len(self.step), len(other.step)
-        step, out = np.zeros((n * m, self.step.shape[1]), np.int64), np.zeros((n * m, self.step.shape[1]), np.int64)
-        for (i, j), a in product(product(range(n), range(m)), range(self.step.shape[1])):
-            b = self.out[i, a]
-            step[i * m + j, a], out[i * m + j, a] = self.step[i, a] * m + other.step[j, b], other.out[j, b]
-        return Machine(step, out)
-
-
-# symbols between the machines: the six above, then what the marks turn insults and threats into
-NEGATED, REPORTED_INSULT, REPORTED_THREAT = 6, 7, 8
-SYMBOLS = 9
-
-
-def _machine(states: int, step, out) -> Machine:
-    grid = [(s, a) for s in range(states) for a in range(SYMBOLS)]
-    return Machine(np.array([step(s, a) for s, a in grid]).reshape(states, -1), np.array([out(s, a) for s, a in grid]).reshape(states, -1))
-
-
-def grammar() -> tuple[Machine, int]:
-    """The composed machine, and the number of states behind which a target has been seen (the odd ones)."""
-    negation = _machine(_REACH + 1, lambda s, a: _REACH if a == NEGATION else max(s - 1, 0), lambda s, a: NEGATED if s and a in (INSULTING, THREATENING) else a)
-    report = _machine(2, lambda s, a: int(s or a == REPORT), lambda s, a: {INSULTING: REPORTED_INSULT, THREATENING: REPORTED_THREAT}.get(a, a) if s else a)
-    target = _machine(2, lambda s, a: int(s or a == TARGET), lambda s, a: a)
-    return negation.then(report).then(target), 2
-
-
-_COMPOSED, _ = grammar()
+        """The composition: other reads what this machine writes. Only states that can be reached are kept."""
+        names, step, out = {(0, 0): 0}, [], []
+        for i, j in (queue := [(0, 0)]):
+            written = self.out[i].tolist()
+            pairs = [(int(x), int(other.step[j, w])) for x, w in zip(self.step[i], written)]
+            for pair in pairs:
+                if pair not in names:
+                    names[pair] = len(names)
+                    queue.append(pair)
+            step.append([names[pair] for pair in pairs])
+            out.append([int(other.out[j, w]) for w in written])
+        return Machine(np.array(step), np.array(out))
+
+
+def _machine(start, step) -> Machine:
+    """The machine of step(state, symbol) -> (state, output), from its start state on."""
+    names, steps, outs = {start: 0}, [], []
+    for state in (queue := [start]):
+        row = [step(state, a) for a in range(SYMBOLS)]
+        for after, _ in row:
+            if after not in names:
+                names[after] = len(names)
+                queue.append(after)
+        steps.append([names[after] for after, _ in row])
+        outs.append([o for _, o in row])
+    return Machine(np.array(steps), np.array(outs))
+
+
+def _negation(left: int, a: int) -> tuple[int, int]:
+    """left: words that a negation still reaches."""
+    after = _NEGATED if a == NEGATION else 0 if a == PAUSE else max(left - 1, 0)
+    return after, OTHER if left and a in CORE else a
+
+
+def _insults(state: tuple[int, int, int, int], a: int) -> tuple[tuple[int, int, int, int], int]:
+    """state: words since somebody was addressed, since a person was named, "piece" or "piece of", and since a hit, counting down."""
+    you, person, piece, hit = state
+    found = a in (INSULTING, LEARNT) or a == MILD and (you or piece == 2)
+    out = (AIMED if you or person else HIT) if found else OTHER if a in (INSULTING, LEARNT) else LATE if a == YOU and hit else a
+    if a == MILD and not found and a != PIECE:
+        out = OTHER
+    lower = lambda x: x if a == PAUSE else max(x - 1, 0)
+    after = (
+        _REACH if a in (YOU, YOUR) else 0 if a == THE else lower(you),
+        _REACH if a == PERSON else lower(person),
+        1 if a == PIECE or a == MILD and not found else 2 if a == OF and piece == 1 else 0,
+        2 if out == HIT else 0 if out == LATE else lower(hit),
+    )
+    return after, out
+
+
+def _threats(state: tuple[int, int, int, int], a: int) -> tuple[tuple[int, int, int, int], int]:
+    """state: words since an intent, since somebody was addressed, whether a verb waits for its victim, and whether "go" stands before."""
+    intent, you, verb, go = state
+    threat = bool(verb) and a in (YOU, LATE, PERSON) or a == DIE and (go or intent and you) or a == ABROAD and intent and you
+    out = THREATENED if threat else OTHER if a in (KILL, BLOW, ABROAD, DIE) else a
+    if a == PAUSE:
+        return (0, 0, 0, 0), out
+    after = (
+        3 if a == INTENT else max(intent - 1, 0),
+        3 if a in (YOU, LATE) else max(you - 1, 0),
+        int(a == KILL or a == BLOW and intent > 0 or verb and a in (LINK, OF)),
+        int(a == GO or go and a == LINK),
+    )
+    return after, out
+
+
+def _report(said: int, a: int) -> tuple[int, int]:
+    return int(said or a == REPORT), {HIT: SAID_HIT, AIMED: SAID_AIMED, THREATENED: SAID_THREAT}.get(a, a) if said else a
+
+
+@cache
+def parts() -> tuple[Machine, ...]:
+    return _machine(0, _negation), _machine((0, 0, 0, 0), _insults), _machine((0, 0, 0, 0), _threats), _machine(0, _report)
+
+
+@cache
+def grammar() -> Machine:
+    """The composed machine."""
+    first, *rest = parts()
+    for other in rest:
+        first = first.then(other)
+    return first
 
 
 def lexicon_hashes() -> dict[int, int]:
@@ -88,7 +166,7 @@ def lexicon_hashes() -> dict[int, int]:
     for symbol, line in LEXICON.items():
         names = line.split()
         hashes, bounds = tb.words(pa.array(names))
-        out.update({int(hashes[bounds[i]]): symbol for i in range(len(names))})
+        out |= {h: symbol for i in range(len(names)) if (h := int(hashes[bounds[i]])) not in out}
     return out
 
 
@@ -96,14 +174,18 @@ class Lexicon:
     """Hashes of the words that matter, sorted, with their symbols and weights."""
 
     def __init__(self, learnt: dict[int, float], ordinary: float, prior: float) -> None:
-        table = {h: (s, INSULT if s == INSULTING else THREAT if s == THREATENING else 0.0) for h, s in lexicon_hashes().items()}
+        named = lexicon_hashes()
+        table = {h: (s, INSULT if s in (INSULTING, MILD) else 0.0) for h, s in named.items()}
         for h, w in learnt.items():
-            if h not in table or table[h][0] == INSULTING:
+            if h not in table or table[h][0] == MILD:
+                table[h] = (LEARNT, w)
+            elif table[h][0] == INSULTING:
                 table[h] = (INSULTING, w)
+        table[int(COMMA)] = (PAUSE, 0.0)
+        self.machine = grammar()
         self.hashes = np.array(sorted(table), U64)
         self.symbol = np.array([table[int(h)][0] for h in self.hashes], np.int64)
         self.weight = np.array([table[int(h)][1] for h in self.hashes], float)
-        named = lexicon_hashes()
         self.curated = np.array([int(h) in named for h in self.hashes])
         self.ordinary, self.prior = ordinary, prior
         self.known = np.zeros(1 << 20, bool)
@@ -125,27 +207,35 @@ _BREAK[[ord(c) for c in ".!?;:\n|"]] = True
 
 
 def clauses(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Word hashes, their clause numbers (rising over the slice), and their rows."""
+    """Hashes of words (COMMA for a comma), their clause numbers (rising over the slice), and their rows."""
     data, offsets = tb.utf8(pc.utf8_lower(text))
     starts, ends, row = tb.spans(tb.WORD[data], offsets)
     h = tb.span_hash(tb.prefix_hash(data), starts, ends)
     if not len(h):
         return h, row, row, len(offsets) - 1
-    marks = np.cumsum(_BREAK[data])[starts]
-    new = np.append(True, (marks[1:] != marks[:-1]) | (row[1:] != row[:-1]))
-    return h, np.cumsum(new) - 1, row, len(offsets) - 1
-
-
-def run_grammar(clause: np.ndarray, symbol: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Clauses that hold an insult or a threat, the weight of each, and whether it has a target."""
-    hot = np.unique(clause[(symbol == INSULTING) | (symbol == THREATENING)])
+    marks = np.cumsum(_BREAK[data], dtype=np.int32)
+    new = np.append(True, (marks[starts[1:]] != marks[starts[:-1]]) | (row[1:] != row[:-1]))
+    clause = np.cumsum(new) - 1
+    # a comma belongs to the clause of the word before it
+    comma = np.flatnonzero(data == 44)
+    at = np.searchsorted(starts, comma)
+    inside = at > 0
+    comma, at = comma[inside], at[inside]
+    inside = (row[at - 1] == np.searchsorted(offsets, comma, "right") - 1) & (marks[starts[at - 1]] == marks[comma])
+    at = at[inside]
+    return np.insert(h, at, COMMA), np.insert(clause, at, clause[at - 1]), np.insert(row, at, row[at - 1]), len(offsets) - 1
+
+
+def run_grammar(machine: Machine, clause: np.ndarray, symbol: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Clauses that hold a word of a CORE class, the weight of each, and whether it is aimed at a person."""
+    hot = np.unique(clause[np.isin(symbol, CORE)])
     if not len(hot):
         return hot, np.zeros(0), np.zeros(0, bool)
     lo, hi = np.searchsorted(clause, hot, "left"), np.searchsorted(clause, hot, "right")
     lengths = hi - lo
     row = np.repeat(np.arange(len(hot)), lengths)
     at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(lo, lengths)
-    # runs of ordinary words matter up to the reach of a negation only
+    # runs of ordinary words matter up to the longest reach only
     s = symbol[at]
     new = np.append(True, row[1:] != row[:-1])
     event = np.flatnonzero((s != OTHER) | new)
@@ -155,18 +245,23 @@ def run_grammar(clause: np.ndarray, symbol: np.ndarray, weight: np.ndarray) -> t
     lengths = np.bincount(row, minlength=len(hot))
     first = np.cumsum(lengths) - lengths
     state = np.zeros(len(hot), np.int64)
-    insult, threat = np.zeros(len(hot)), np.zeros(len(hot))
+    value, aimed = np.zeros(len(hot)), np.zeros(len(hot), bool)
     live, i = np.arange(len(hot)), 0
     while len(live):
         j = first[live] + i
-        out = _COMPOSED.out[state[live], s[j]]
-        insult[live] += w[j] * ((out == INSULTING) + REPORTED * (out == REPORTED_INSULT))
-        threat[live] += w[j] * ((out == THREATENING) + REPORTED * (out == REPORTED_THREAT))
-        state[live] = _COMPOSED.step[state[live], s[j]]
+        out = machine.out[state[live], s[j]]
+        # a hit that weighs nothing here is none, nor is an address behind it
+        value[live] += _SHARE[out] * w[j] + _BONUS[out] * ((w[j] > 0) | ~np.isin(out, (AIMED, SAID_AIMED)))
+        aimed[live] |= np.isin(out, (AIMED, LATE, THREATENED))
+        state[live] = machine.step[state[live], s[j]]
         i += 1
         live = live[lengths[live] > i]
-    target = state % 2 == 1
-    return hot, insult + np.where(target, threat, 0) + np.where(target & (insult > 0), TARGETED, 0), target
+    return hot, value, aimed
+
+
+_SHARE, _BONUS = np.zeros(SYMBOLS), np.zeros(SYMBOLS)
+_SHARE[[HIT, AIMED]], _SHARE[[SAID_HIT, SAID_AIMED]] = 1.0, REPORTED
+_BONUS[[AIMED, LATE]], _BONUS[THREATENED], _BONUS[SAID_AIMED], _BONUS[SAID_THREAT] = TARGETED, THREAT, TARGETED * REPORTED, THREAT * REPORTED
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Lexicon:
@@ -183,6 +278,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
             toxic = batch.column(1).to_numpy()
             for lo, hi in tb.slices(batch.column(0)):
                 h, _, row, n = clauses(batch.column(0).slice(lo, hi - lo))
+                h, row = h[h != COMMA], row[h != COMMA]
                 bad = toxic[lo:hi][row].astype(bool)
                 words, at = np.unique(h, return_inverse=True)
                 k = len(words)
@@ -217,9 +313,9 @@ def judge(text: pa.Array, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.
     """For each row: the log-odds, the number of matched clauses, and the weight of the worst."""
     h, clause, row, n = clauses(text)
     symbol, weight, curated = lexicon.look(h)
-    score = np.full(n, lexicon.prior) - lexicon.ordinary * np.bincount(row, minlength=n)
+    score = np.full(n, lexicon.prior) - lexicon.ordinary * np.bincount(row[h != COMMA], minlength=n)
     found, worst, decisive = np.zeros(n, np.int64), np.zeros(n), np.zeros(n, bool)
-    hot, value, target = run_grammar(clause, symbol, weight)
+    hot, value, aimed = run_grammar(lexicon.machine, clause, symbol, weight)
     if len(hot):
         r = row[np.searchsorted(clause, hot)]
         hit = value > 0
@@ -227,8 +323,8 @@ def judge(text: pa.Array, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.
         found = np.bincount(r[hit], minlength=n)
         np.maximum.at(worst, r, value)
         # learnt words add to the balance only; a clause decides alone by curated ones
-        alone = run_grammar(clause, symbol, curated)[1]
-        decisive[r[target & (alone >= DECISIVE)]] = True
+        alone = run_grammar(lexicon.machine, clause, symbol, curated)[1]
+        decisive[r[aimed & (alone >= DECISIVE)]] = True
     return np.where(decisive, np.maximum(score, 1.0), score), found, worst
 
 
@@ -236,7 +332,7 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_
     """(doc_id, score, n_clauses, worst): the toxic documents, those whose log-odds (score) are above 0.
 
     n_clauses counts the matched clauses and worst is the weight of the heaviest. Negated insults weigh nothing,
-    reported ones little, threats need a target. Labels are matched by doc_id (several: the majority, a tie is toxic); without labels of
+    reported ones little, threats need a verb and its victim. Texts of any length are read whole. Labels are matched by doc_id (several: the majority, a tie is toxic); without labels of
     either kind the curated lexicon judges alone. Null and wordless texts are not toxic; a null doc_id is reported as null; repeated
     rows are judged alike, each in a row. Other columns are not read. No documents: no rows.
     """
