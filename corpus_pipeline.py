@@ -39,7 +39,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no span of 10 words or more with a benchmark item. Null texts stay."""
+    """Documents that share no span of 10 words or more with a benchmark item, and hold no item of 5 to 9 words whole. Items of fewer words count for nothing. Null texts stay."""
     return drop_contaminated(docs, prepare(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -53,7 +53,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their shard; shards hold at most 16 MiB of text unless their rows cannot be told apart."""
+    """The documents with their shard; shards hold at most 16 MiB of text unless their rows cannot be told apart. A column of that name stays, and the new one is then called shard_."""
     prepare(spark)
     return assign_shards(docs)
 
