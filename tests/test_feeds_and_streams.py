@@ -24,6 +24,21 @@ def test_offset_pages_and_union_of_listings(spark):
     assert feeds.read_feed(spark, "nothing_test", "id string", listing, []).count() == 0
 
 
+def test_first_listing_wins(spark):
+    def listing(request):
+        return [{"id": f"{i:03d}", "closedTime": None, "body": request["tag"]} for i in range(200)][request["offset"] : request["offset"] + request["limit"]]
+
+    out = feeds.read_markets(spark, listing, [{"tag": "first"}, {"tag": "second"}, {"tag": "third"}]).collect()
+    assert len(out) == 200 and {r.body for r in out} == {"first"}
+
+
+def test_lookups_of_single_tokens(spark):
+    fees = {"a": {"base_fee": 200}, "b": {"base_fee": "x"}, "c": None, "d": {"base_fee": 0}}
+    assert sorted(map(tuple, feeds.read_fee_rates(spark, lambda q: fees[q["token_id"]], list("abcd")).collect())) == [("a", 200), ("d", 0)]
+    trades = {"a": {"price": "0.25", "side": "buy"}, "b": {"price": "1.5", "side": "SELL"}, "c": {}}
+    assert [tuple(r) for r in feeds.read_last_trades(spark, lambda q: trades[q["token_id"]], list("abc")).collect()] == [("a", 0.25, "BUY")]
+
+
 def test_cursor_guard_and_retry():
     seen = []
 
@@ -111,6 +126,60 @@ def test_monitor_tells_once():
     assert told == [("behind", "ticks"), ("failed", "q")]
 
 
+def test_subscriptions_and_refresh(spark):
+    tokens = spark.createDataFrame([(f"{i:04d}",) for i in range(1203)] * 2 + [("",), (None,)], "token_id string")
+    got = {r.shard: r.tokens for r in pipelines.subscriptions(tokens).collect()}
+    assert [len(got[i]) for i in sorted(got)] == [500, 500, 203] and sum((got[i] for i in sorted(got)), []) == [f"{i:04d}" for i in range(1203)]
+    now, loads = [0.0], []
+
+    def load():
+        loads.append(now[0])
+        if now[0] == 100.0:
+            raise OSError("gone")
+        return len(loads)
+
+    table = pipelines.Refreshed(load, 60.0, lambda: now[0])
+    seen = []
+    for now[0] in (0.0, 59.0, 60.0, 100.0, 121.0):
+        if now[0] == 100.0:
+            table.every_s = 10.0
+        seen.append(table.get())
+    assert seen == [1, 1, 2, 2, 4] and loads == [0.0, 60.0, 100.0, 121.0]
+
+
+class _State:
+    value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def test_silence_is_told_once_after_grace():
+    from types import SimpleNamespace as N
+
+    import pandas as pd
+
+    asked = []
+    p = stateful.StaleWatch({"spot": 1_000}, 60_000, 5_000, 500)
+    p.init(N(getValueState=lambda *_: _State(), registerTimer=asked.append))
+    now = lambda ms: N(getCurrentProcessingTimeInMs=lambda: ms)
+    hear = lambda ms: list(p.handleInputRows(("spot",), iter([pd.DataFrame({"ts_ms": [1]})]), now(ms)))
+    tick = lambda ms: pd.concat(p.handleExpiredTimer(("spot",), now(ms), None)).to_dict("records")
+    hear(0)
+    assert tick(2_000) == []  # beyond its threshold, but within the grace
+    assert tick(5_500) == [{"source": "spot", "ts_ms": 5_500, "age_ms": 5_500}]
+    assert tick(6_000) == []  # told
+    hear(6_100)
+    assert tick(7_000) == [] and tick(7_200) == [{"source": "spot", "ts_ms": 7_200, "age_ms": 1_100}]
+    assert asked == [500, 2_500, 6_000, 6_500, 7_500, 7_700]
+
+
 def test_heartbeat_ages_by_timer():
     """The processor, driven by hand: the age of the latest event at every tick, and the next tick asked for."""
     from types import SimpleNamespace as N

@@ -15,10 +15,11 @@ from tidewell.functions import questions as Q
 from tidewell.functions import scalars as S
 from tidewell.functions import wire as W
 from tidewell.operators import asof, dedup, latch, quality, sequence
-from tidewell.schemas import HEARTBEATS, MARKETS, ORDERBOOK, PRICES, SPOT_PRICES, TICKS
+from tidewell.schemas import CULTURE_PRICES, HEARTBEATS, MARKETS, ORDERBOOK, PRICES, SPOT_PRICES, TICKS
 from tidewell.sources.hive import canonical, read_drifting
 from tidewell.sources.logs import failed_windows, reconnects
 from tidewell.storage import consolidate as C
+from tidewell.storage import lake
 from tidewell.storage import writers as Wr
 
 TICK = "market_id string, timestamp_ms bigint, token_id string, tx_hash string, log_index int, order_hash string, local_recv_ts_ns bigint, source string, price double, w int"
@@ -277,14 +278,69 @@ def test_logs(spark, tmp_path):
     assert rows(failed_windows(spark, str(tmp_path / "log.txt"))) == [(1, 4), (5, 9)]
 
 
-def test_locks_and_checkpoints(tmp_path):
-    with C.single_writer(str(tmp_path)), C.single_writer(str(tmp_path)):
-        assert (tmp_path / ".lock").exists()
-    assert not (tmp_path / ".lock").exists()
-    (tmp_path / ".lock").write_text("999999999")
-    with C.single_writer(str(tmp_path)):
+def test_locks_and_checkpoints(spark, tmp_path):
+    import socket
+
+    root, lock = str(tmp_path), tmp_path / "_lock"
+    with lake.single_writer(spark, root), lake.single_writer(spark, root):
+        assert lock.exists()
+    assert not lock.exists()
+    lock.write_text(f"{socket.gethostname()}:999999999")
+    with lake.single_writer(spark, root):
+        pass
+    lock.write_text("another-machine:1")
+    with pytest.raises(TimeoutError, match="another-machine"), lake.single_writer(spark, root, 0.2):
         pass
+    # consolidation waits for the lock, so a shard is not folded twice
+    Wr.append_staged(spark.createDataFrame([(1, "a", "b", 1.0)], "ts_ms bigint, symbol string, source string, price double"), root, SPOT_PRICES)
+    from unittest.mock import patch
+
+    with pytest.raises(TimeoutError), patch.object(C, "single_writer", lambda s, r: lake.single_writer(s, r, 0.2)):
+        C.consolidate_spot_prices(spark, root)
+    lock.unlink()
+    assert C.consolidate_spot_prices(spark, root) > 0 and not lock.exists()
     path = str(tmp_path / "mark")
-    assert C.load_checkpoint(path) is None
-    C.save_checkpoint(path, 5)
-    assert C.load_checkpoint(path) == 5
+    assert C.load_checkpoint(spark, path) is None
+    for value in (5, 7):
+        C.save_checkpoint(spark, path, value)
+        assert C.load_checkpoint(spark, path) == value
+
+
+def test_no_room(spark, tmp_path):
+    lake.require_room(spark, str(tmp_path / "not" / "there"), 1)
+    with pytest.raises(lake.NoRoom):
+        lake.require_room(spark, str(tmp_path), 1 << 60)
+
+
+def test_culture_prices_are_folded(spark, tmp_path):
+    root = str(tmp_path)
+    schema = "market_id string, timestamp bigint, token_id string, outcome string, price double, crypto string, timeframe string"
+    for price in (0.25, 0.5):
+        Wr.append_staged(spark.createDataFrame([("m", 1, "t", "240+", price, "ELON-TWEETS", "7-day"), ("m", 1, "u", "0-99", 0.125, "ELON-TWEETS", "7-day")], schema), root, CULTURE_PRICES)
+    assert C.consolidate_all(spark, root)["culture_prices"] > 1
+    out = spark.read.parquet(f"{root}/prices")
+    assert rows(out.select("outcome", F.col("price").cast("double"))) == [("0-99", 0.125), ("240+", 0.5)]
+    assert C.consolidate_all(spark, root)["culture_prices"] == 0
+
+
+def test_replaced_partitions_leave_others_alone(spark, tmp_path):
+    root, schema = f"{tmp_path}/prices", "market_id string, timestamp bigint, up_price float, down_price float, crypto string, timeframe string"
+    first = spark.createDataFrame([("a", i, 0.5, 0.5, c, "1-hour") for i in range(50) for c in ("BTC", "ETH")], schema)
+    Wr.replace_partitions(first, root, PRICES, ["market_id"])
+    before = {f.name for f in (tmp_path / "prices/crypto=ETH/timeframe=1-hour").iterdir()}
+    # read from the partition that is replaced
+    Wr.replace_partitions(spark.read.parquet(root).where("crypto = 'BTC' AND timestamp < 10"), root, PRICES)
+    assert {r.crypto: r["count"] for r in spark.read.parquet(root).groupBy("crypto").count().collect()} == {"BTC": 10, "ETH": 50}
+    assert {f.name for f in (tmp_path / "prices/crypto=ETH/timeframe=1-hour").iterdir()} == before
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["prices"]
+
+
+def test_repeated_batches_are_staged_once(spark, tmp_path):
+    schema = "market_id string, timestamp_ms bigint, token_id string, price double, crypto string, timeframe string"
+    batch = lambda *ids: spark.createDataFrame([(f"m{i}", i, "t", 0.5, "BTC" if i % 2 else "ETH", "1-hour") for i in ids], schema)
+    root = str(tmp_path)
+    for number, ids in ((0, (1, 2, 3)), (1, (4, 5)), (1, (4, 5)), (0, (1, 2, 3))):
+        Wr.append_batch(batch(*ids), root, TICKS, "trades", number)
+    staged = read_drifting(spark, f"{root}/_staging/ticks", TICKS)
+    assert sorted(r.market_id for r in staged.collect()) == ["m1", "m2", "m3", "m4", "m5"]
+    assert C.consolidate_ticks(spark, root) >= 3 and read_drifting(spark, f"{root}/ticks", TICKS).count() == 5

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.relational import dimension
 from .scalars import safe_double, safe_long, text_or_null
 
 #: Units of a currency amount in a fill.
@@ -77,15 +78,22 @@ def parse_spot(messages: DataFrame, body: str = "value") -> DataFrame:
 def decode_fills(fills: DataFrame, tokens: DataFrame) -> DataFrame:
     """Exchange fills as ticks: the side of the maker, price and size from whole-number amounts.
 
-    tokens: (token_id, market_id, outcome, crypto, timeframe). Left out: fills without a known token or
-    with two, amounts that are no positive whole numbers, and more paid than outcomes given.
+    tokens: (token_id, market_id, outcome, crypto, timeframe), of equal token_ids the least row. Left out: fills without a known token or
+    with two, amounts that are no positive whole numbers, and more paid than outcomes given. One side of nearly all
+    fills is the currency, whose id is "0": it is never looked up, so its fills do not meet on one key.
     """
-    dim = tokens.select("token_id", "market_id", "outcome", "crypto", "timeframe")
-    maker, taker = (dim.select(*[F.col(c).alias(f"{p}_{c}") for c in dim.columns]) for p in ("_m", "_t"))
-    df = fills.join(maker, F.col("makerAssetId") == F.col("_m_token_id"), "left").join(taker, F.col("takerAssetId") == F.col("_t_token_id"), "left")
-    sells = F.col("_m_token_id").isNotNull()
-    df = df.where(sells != F.col("_t_token_id").isNotNull())
-    pick = lambda name: F.when(sells, F.col(f"_m_{name}")).otherwise(F.col(f"_t_{name}"))
+    dim = tokens.select("token_id", "market_id", "outcome", "crypto", "timeframe").where("token_id <> '0'")
+    dim = dimension(dim.groupBy("token_id").agg(F.min(F.struct("market_id", "outcome", "crypto", "timeframe")).alias("_t")))
+    maker, taker = F.col("makerAssetId"), F.col("takerAssetId")
+    sides = fills.withColumns({"_m": F.coalesce(maker, F.lit("0")) != "0", "_k": F.coalesce(taker, F.lit("0")) != "0"})
+    plain = sides.where("_m <> _k").withColumns({"_asset": F.when(F.col("_m"), maker).otherwise(taker), "_sells": F.col("_m")}).join(dim, F.col("_asset") == F.col("token_id"))
+    # two ids that are no currency: the one known token counts
+    left, right = (dim.select(F.col("token_id").alias(f"_{x}_id"), F.col("_t").alias(f"_{x}_t")) for x in "mk")
+    swaps = sides.where("_m AND _k").join(left, maker == F.col("_m_id"), "left").join(right, taker == F.col("_k_id"), "left").where("isnull(_m_id) <> isnull(_k_id)")
+    swaps = swaps.withColumns({"_asset": F.coalesce("_m_id", "_k_id"), "_sells": F.col("_m_id").isNotNull(), "token_id": F.coalesce("_m_id", "_k_id"), "_t": F.coalesce("_m_t", "_k_t")})
+    df = plain.unionByName(swaps.select(*plain.columns))
+    sells = F.col("_sells")
+    pick = lambda name: F.col("token_id") if name == "token_id" else F.col("_t")[name]
     made, taken = (F.trim(F.col(c).cast("string")).try_cast("decimal(38,0)") for c in ("makerAmountFilled", "takerAmountFilled"))
     df = df.select("*", F.when(sells, made).otherwise(taken).alias("_shares"), F.when(sells, taken).otherwise(made).alias("_paid"), safe_long("timestamp").alias("_s"))
     df = df.where("_shares > 0 AND _paid > 0 AND _paid <= _shares AND _s IS NOT NULL")

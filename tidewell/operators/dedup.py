@@ -25,22 +25,30 @@ def merge_columns(df: DataFrame, key: list[str], order: Column) -> DataFrame:
 
 
 def keep_last(df: DataFrame, key: list[str], order: list[Column] | list[str]) -> DataFrame:
-    """The latest whole row of each key, nulls and all."""
+    """The latest whole row of each key, nulls and all: one aggregate, which thins the rows before they are sent."""
     by = [F.col(c) if isinstance(c, str) else c for c in order]
-    latest = Window.partitionBy(*key).orderBy(*[c.desc() for c in by])
-    return df.withColumn("_n", F.row_number().over(latest)).where("_n = 1").drop("_n")
+    rest = [c for c in df.columns if c not in key]
+    if not rest:
+        return df.select(*key).distinct()
+    latest = F.max_by(F.struct(*rest), F.struct(*[c.alias(f"_{i}") for i, c in enumerate(by)]))
+    return df.groupBy(*key).agg(latest.alias("_row")).select(*[F.col(c) if c in key else F.col("_row")[c].alias(c) for c in df.columns])
 
 
 def drop_overridden(ticks: DataFrame, partition: tuple[str, ...] = ()) -> DataFrame:
     """Without legacy chain rows (a tx_hash, no order_hash) of which the newer source has the same trade.
 
-    Rows of the live feed are never legacy, even where they carry a hash.
+    Rows of the live feed are never legacy, even where they carry a hash. One exchange by trade, which
+    the merge behind it can use again.
     """
     key = [*partition, *_LEGACY_KEY]
     chain = (F.col("tx_hash") != "") & (F.coalesce(F.col("source"), F.lit("")) != "websocket")
-    legacy = chain & F.col("order_hash").isNull()
-    newer = ticks.where(chain & F.col("order_hash").isNotNull()).select(*key).distinct()
-    return ticks.where(~F.coalesce(legacy, F.lit(False))).unionByName(ticks.where(legacy).join(newer, key, "left_anti").select(*ticks.columns))
+    legacy = F.coalesce(chain & F.col("order_hash").isNull(), F.lit(False))
+    newer = F.coalesce(chain & F.col("order_hash").isNotNull(), F.lit(False))
+    whole = F.lit(True)
+    for c in key:  # a trade with an unknown part is the same as none
+        whole = whole & F.col(c).isNotNull()
+    marked = ticks.withColumn("_newer", F.max(newer).over(Window.partitionBy(*key)))
+    return marked.where(~(legacy & F.col("_newer") & whole)).select(*ticks.columns)
 
 
 def dedup_ticks(ticks: DataFrame, order: Column | None = None, partition: tuple[str, ...] = ()) -> DataFrame:

@@ -44,8 +44,14 @@ def in_unit(price: str = "price") -> Column:
     return F.col(price).between(0, 1)
 
 
-def dimension(df: DataFrame, written: bool = False) -> DataFrame:
-    """A dimension with a broadcast hint if, counted, it is small enough; else as it is."""
+#: Bytes that the planner may put a dimension at for a broadcast without counting it.
+DIMENSION_BYTES = 32 << 20
+
+
+def dimension(df: DataFrame) -> DataFrame:
+    """A dimension with a broadcast hint if it is small enough: by the planner's upper bound where that says so already, else counted."""
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= DIMENSION_BYTES:
+        return F.broadcast(df)
     return F.broadcast(df) if df.count() <= DIMENSION_ROWS else df
 
 

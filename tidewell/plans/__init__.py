@@ -1,6 +1,6 @@
 """The query catalogue over the driver's tables, with the DuckDB SQL of each query."""
 
-from . import parsing, relational, reports, series, stores
+from . import lakehouse, parsing, relational, reports, series, stores
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "parsing", "relational", "reports", "series", "stores"]
+__all__ = ["ORACLES", "QUERIES", "lakehouse", "parsing", "relational", "reports", "series", "stores"]

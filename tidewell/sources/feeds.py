@@ -81,7 +81,16 @@ def chunked(fetch: Fetch, request: dict, step: int) -> Iterator[dict]:
         at = to + 1
 
 
-PAGING: dict[str, Callable[..., Iterator[dict]]] = {"offset": offset_pages, "cursor": cursor_pages, "chunked": chunked}
+def single(fetch: Fetch, request: dict) -> Iterator[dict]:
+    """The one record that answers a request, with the request's own fields; no answer, no record."""
+    found = fetch(request)
+    if isinstance(found, dict):
+        yield {**request, **found}
+
+
+PAGING: dict[str, Callable[..., Iterator[dict]]] = {"offset": offset_pages, "cursor": cursor_pages, "chunked": chunked, "single": single}
+#: Columns that a feed's schema may ask for besides the records' fields: the request's number, and the record's within it.
+REQUEST, RECORD = "_request", "_record"
 
 
 def feed_source(name: str, schema: str, fetch: Fetch, requests: list[dict], paging: str = "offset", **options: Any) -> type[DataSource]:
@@ -90,11 +99,13 @@ def feed_source(name: str, schema: str, fetch: Fetch, requests: list[dict], pagi
 
     class Reader(DataSourceReader):
         def partitions(self) -> list[InputPartition]:
-            return [InputPartition(r) for r in requests]
+            return [InputPartition((i, r)) for i, r in enumerate(requests)]
 
         def read(self, partition: InputPartition) -> Iterator[tuple]:
-            for record in PAGING[paging](patient(fetch), partition.value, **options):
-                yield tuple(record.get(f) for f in fields)
+            number, request = partition.value
+            for i, record in enumerate(PAGING[paging](patient(fetch), request, **options)):
+                known = {REQUEST: number, RECORD: i}
+                yield tuple(known[f] if f in known else record.get(f) for f in fields)
 
     class Feed(DataSource):
         @classmethod
@@ -120,8 +131,21 @@ def read_feed(spark: SparkSession, name: str, schema: str, fetch: Fetch, request
 def read_markets(spark: SparkSession, fetch: Fetch, requests: list[dict], since: str | None = None) -> DataFrame:
     """Raw market records (id, body as JSON) of several listings; the first listing that has an id gives it."""
     stop = (lambda page: any((r.get("closedTime") or "9") < since for r in page)) if since else None
-    df = read_feed(spark, "market_pages", "id string, closedTime string, body string", fetch, requests, "offset", stop=stop)
-    return df.dropDuplicates(["id"])
+    df = read_feed(spark, "market_pages", f"id string, closedTime string, body string, {REQUEST} int, {RECORD} int", fetch, requests, "offset", stop=stop)
+    first = F.min_by(F.struct("closedTime", "body"), F.struct(REQUEST, RECORD))
+    return df.groupBy("id").agg(first.alias("_r")).select("id", "_r.closedTime", "_r.body")
+
+
+def read_fee_rates(spark: SparkSession, fetch: Fetch, tokens: list[str]) -> DataFrame:
+    """(token_id, fee_rate_bps): the taker fee of each token whose answer has a whole base_fee."""
+    df = read_feed(spark, "fee_rates", "token_id string, base_fee string", fetch, [{"token_id": t} for t in tokens], "single")
+    return df.select("token_id", F.col("base_fee").try_cast("int").alias("fee_rate_bps")).where("fee_rate_bps IS NOT NULL")
+
+
+def read_last_trades(spark: SparkSession, fetch: Fetch, tokens: list[str]) -> DataFrame:
+    """(token_id, price, side): the last trade of each token that has a price in [0, 1]."""
+    df = read_feed(spark, "last_trades", "token_id string, price string, side string", fetch, [{"token_id": t} for t in tokens], "single")
+    return df.select("token_id", F.col("price").try_cast("double").alias("price"), F.upper("side").alias("side")).where("price BETWEEN 0 AND 1")
 
 
 def read_price_history(spark: SparkSession, fetch: Fetch, tokens: list[dict], step: int = 7 * 86400) -> DataFrame:

@@ -24,17 +24,17 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def data_files(spark: SparkSession, root: str, suffix: str = ".parquet") -> list[str]:
-    """All data files under a root, in order of modification time, then name."""
+    """All data files under a root, in order of modification time, then name; files and folders whose name begins with _ or . are none."""
     p = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(p):
         return []
-    walk, out = fs.listFiles(p, True), []
+    walk, out, lead = fs.listFiles(p, True), [], len(fs.makeQualified(p).toString())
     while walk.hasNext():
         status = walk.next()
-        name = status.getPath().getName()
-        if name.endswith(suffix) and not name.startswith(("_", ".")):
-            out.append((status.getModificationTime(), status.getPath().toString()))
+        path = status.getPath().toString()
+        if path.endswith(suffix) and not any(x.startswith(("_", ".")) for x in path[lead:].split("/")):
+            out.append((status.getModificationTime(), path))
     return [path for _, path in sorted(out)]
 
 

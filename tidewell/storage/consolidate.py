@@ -7,10 +7,7 @@ between leaves duplicates that the next pass folds, never a loss.
 from __future__ import annotations
 
 import json
-import os
-import time
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,54 +16,27 @@ from ..catalog import STAGING, VIEWS
 from ..operators.dedup import WRITERS, dedup_orderbook, dedup_ticks, keep_last, merge_columns
 from ..schemas import CULTURE_PRICES, HEARTBEATS, ORDERBOOK, PRICES, SPOT_PRICES, TICKS, Table
 from ..sources.hive import canonical, data_files, path_exists, read_drifting
-from .writers import _writer, remove, replace_partitions, touched
+from .lake import read_text, remove, require_room, single_writer, write_text
+from .writers import _writer, balanced, replace_partitions, touched
 
 #: A partition with so many parts is folded into one.
 PARTS = 32
 
 
-@contextmanager
-def single_writer(folder: str, timeout_s: float = 300.0) -> Iterator[None]:
-    """A lock file for drivers on one host; a lock whose process is gone is taken over. A lock of this process is held on to."""
-    os.makedirs(folder, exist_ok=True)
-    path, until = os.path.join(folder, ".lock"), time.monotonic() + timeout_s
-    mine = False
-    while True:
-        try:
-            fd = os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
-            os.write(fd, str(os.getpid()).encode())
-            os.close(fd)
-            mine = True
-            break
-        except FileExistsError:
-            try:
-                owner = int(open(path).read() or 0)
-            except (OSError, ValueError):
-                owner = 0
-            if owner == os.getpid():
-                break
-            if owner and not os.path.exists(f"/proc/{owner}"):
-                try:
-                    os.unlink(path)
-                except FileNotFoundError:
-                    pass
-                continue
-            if time.monotonic() > until:
-                raise TimeoutError(f"{path} is held by process {owner}") from None
-            time.sleep(0.05)
-    try:
-        yield
-    finally:
-        if mine:
-            os.unlink(path)
-
-
 def _staged(root: str, table: Table) -> str:
     return f"{root.rstrip('/')}/{STAGING}/{table.name}"
 
 
 def _fold(spark: SparkSession, root: str, table: Table, rows: Callable[[DataFrame], DataFrame], with_table: bool, sort: list[str] | None = None) -> int:
-    """Fold the staged files; how many there were. with_table: merge them with the partitions they belong to, else append a part."""
+    """Fold the staged files; how many there were. with_table: merge them with the partitions they belong to, else append a part.
+
+    One driver at a time folds a lakehouse.
+    """
+    with single_writer(spark, root):
+        return _folded(spark, root, table, rows, with_table, sort)
+
+
+def _folded(spark: SparkSession, root: str, table: Table, rows: Callable[[DataFrame], DataFrame], with_table: bool, sort: list[str] | None) -> int:
     staged, path = _staged(root, table), f"{root.rstrip('/')}/{_place(table)}"
     files = data_files(spark, staged)
     if not files:
@@ -81,9 +51,8 @@ def _fold(spark: SparkSession, root: str, table: Table, rows: Callable[[DataFram
     if with_table:
         replace_partitions(out, path, table, sort)
     else:
-        keys = [F.col(p) for p in table.partitions]
-        out = out.repartition(*keys) if keys else out
-        _writer(out, table, "append").parquet(path)
+        require_room(spark, root)
+        _writer(balanced(out, table), table, "append").parquet(path)
     for f in files:
         remove(spark, f)
     return len(files)
@@ -135,7 +104,12 @@ def consolidate_heartbeats(spark: SparkSession, root: str, strict_key: bool = Fa
 
 
 def compact(spark: SparkSession, root: str, table: Table, rows: Callable[[DataFrame], DataFrame], at: int = PARTS) -> list[str]:
-    """Fold the partitions that have at parts or more into one part each: their paths."""
+    """Fold the partitions that have at parts or more into as few parts as their size asks for: their paths."""
+    with single_writer(spark, root):
+        return _compacted(spark, root, table, rows, at)
+
+
+def _compacted(spark: SparkSession, root: str, table: Table, rows: Callable[[DataFrame], DataFrame], at: int) -> list[str]:
     path = f"{root.rstrip('/')}/{_place(table)}"
     by: dict[str, list[str]] = {}
     for f in data_files(spark, path):
@@ -155,12 +129,17 @@ def compact(spark: SparkSession, root: str, table: Table, rows: Callable[[DataFr
 
 
 def consolidate_all(spark: SparkSession, root: str) -> dict[str, int]:
-    return {"ticks": consolidate_ticks(spark, root), "orderbook": consolidate_orderbook(spark, root), "prices": consolidate_prices(spark, root), "spot_prices": consolidate_spot_prices(spark, root), "heartbeats": consolidate_heartbeats(spark, root)}
+    return {"ticks": consolidate_ticks(spark, root), "orderbook": consolidate_orderbook(spark, root), "prices": consolidate_prices(spark, root), "culture_prices": consolidate_prices(spark, root, culture=True), "spot_prices": consolidate_spot_prices(spark, root), "heartbeats": consolidate_heartbeats(spark, root)}
 
 
 def publish(spark: SparkSession, root: str, target: str) -> list[str]:
     """Consolidate and copy the tables (no staged shards) to another folder; tables that are gone here are removed there."""
-    consolidate_all(spark, root)
+    with single_writer(spark, root):
+        consolidate_all(spark, root)
+        return _published(spark, root, target)
+
+
+def _published(spark: SparkSession, root: str, target: str) -> list[str]:
     done = []
     for name, (place, table) in VIEWS.items():
         source, to = f"{root.rstrip('/')}/{place}", f"{target.rstrip('/')}/{place}"
@@ -172,18 +151,14 @@ def publish(spark: SparkSession, root: str, target: str) -> list[str]:
     return done
 
 
-def save_checkpoint(path: str, value: int) -> None:
+def save_checkpoint(spark: SparkSession, path: str, value: int) -> None:
     """A scan's high-water mark, replaced in one step."""
-    with open(f"{path}.new", "w") as f:
-        json.dump({"high_water": value}, f)
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(f"{path}.new", path)
+    write_text(spark, path, json.dumps({"high_water": value}))
 
 
-def load_checkpoint(path: str) -> int | None:
+def load_checkpoint(spark: SparkSession, path: str) -> int | None:
+    """The mark, or null where there is none that can be read."""
     try:
-        with open(path) as f:
-            return int(json.load(f)["high_water"])
-    except (OSError, ValueError, KeyError, TypeError):
+        return int(json.loads(read_text(spark, path) or "")["high_water"])
+    except (ValueError, KeyError, TypeError):
         return None

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import STAGING
 from ..functions.markets import split_categories
 from ..operators.dedup import last_by_group, upsert
 from ..schemas import CULTURE_MARKETS, CULTURE_PRICES, MARKETS, PRICES, SCHEMA_VERSION, TICKS, Table
-from ..sources.hive import canonical, read_table
+from ..sources.hive import canonical, data_files, read_table
+from .lake import move, remove, require_room, single_writer, swap
 
 
 def stamped(df: DataFrame, table: Table) -> DataFrame:
@@ -37,9 +38,29 @@ def _writer(df: DataFrame, table: Table, mode: str):
 
 def append_staged(df: DataFrame, root: str, table: Table) -> None:
     """Append shards to the staging root without reading anything; consolidation folds them into the table."""
+    require_room(df.sparkSession, root)
     _writer(optimise(df, table), table, "append").parquet(f"{root.rstrip('/')}/{STAGING}/{table.name}")
 
 
+def append_batch(df: DataFrame, root: str, table: Table, stream: str, batch: int) -> None:
+    """Stage a batch of a stream, once however often it is repeated.
+
+    The files are written aside and then moved to names that the stream and the batch give; files that an earlier try
+    has left under these names go first.
+    """
+    spark, staged = df.sparkSession, f"{root.rstrip('/')}/{STAGING}/{table.name}"
+    require_room(spark, root)
+    name, aside = f"{stream}-{batch:09d}-", f"{root.rstrip('/')}/{STAGING}/_{table.name}-{stream}-{batch:09d}"
+    _writer(optimise(df, table), table, "overwrite").parquet(aside)
+    for f in data_files(spark, staged):
+        if f.rsplit("/", 1)[1].startswith(name):
+            remove(spark, f)
+    for i, f in enumerate(sorted(data_files(spark, aside))):
+        inner = f[f.index(f"_{table.name}-{stream}-{batch:09d}") :].split("/")[1:-1]
+        move(spark, f, "/".join([staged, *inner, f"{name}{i:05d}.parquet"]))
+    remove(spark, aside)
+
+
 def append_ticks_only(ticks: DataFrame, root: str) -> None:
     append_staged(ticks, root, TICKS)
 
@@ -50,27 +71,32 @@ def copy_to(df: DataFrame, path: str) -> None:
 
 
 def replace_partitions(df: DataFrame, path: str, table: Table, sort: list[str] | None = None) -> None:
-    """Write a frame over the partitions that it has, and no others; readers see the old or the new files of a partition.
+    """Write a frame over the partitions that it has, and no others.
 
-    The frame may be read from the very partitions that it replaces, so it is written beside them first.
+    The frame may be read from the very partitions that it replaces, so it is written beside them, once, and each
+    partition's folder then takes the old one's place. Rows are balanced over tasks by size: a large partition is spread
+    over several files and small ones share a task.
     """
-    spark = df.sparkSession
-    aside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    if table.partitions:
-        df = df.repartition(*table.partitions)
-    if sort:
-        df = df.sortWithinPartitions(*table.partitions, *sort)
-    df.write.parquet(aside)
-    ready = spark.read.schema(df.schema).parquet(aside)
-    if table.partitions:
-        ready = ready.repartition(*table.partitions).sortWithinPartitions(*table.partitions, *(sort or []))
-    _writer(ready, table, "overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    spark, path = df.sparkSession, path.rstrip("/")
+    require_room(spark, path.rsplit("/", 1)[0])
+    head, _, tail = path.rpartition("/")
+    aside = f"{head}/_{tail}.{uuid.uuid4().hex}"
+    _writer(balanced(df, table, sort), table, "overwrite").parquet(aside)
+    if not table.partitions:
+        swap(spark, aside, path)
+        return
+    for folder in sorted({f.rsplit("/", 1)[0] for f in data_files(spark, aside)}):
+        swap(spark, folder, f"{path}/{'/'.join(folder.split('/')[-len(table.partitions) :])}")
     remove(spark, aside)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def balanced(df: DataFrame, table: Table, sort: list[str] | None = None) -> DataFrame:
+    """A frame laid out for partitioned writing, in tasks of like size at run time, each sorted."""
+    if table.partitions:
+        df = df.hint("rebalance", *table.partitions).sortWithinPartitions(*table.partitions, *(sort or []))
+    elif sort:
+        df = df.hint("rebalance").sortWithinPartitions(*sort)
+    return df
 
 
 def touched(existing: DataFrame, new: DataFrame, table: Table) -> DataFrame:
@@ -106,8 +132,9 @@ def persist(markets: DataFrame, prices: DataFrame, root: str, culture: bool = Fa
     """Merge markets by id and prices by key into the tables; of prices only the partitions that get new rows are rewritten."""
     dim, fact = (CULTURE_MARKETS, CULTURE_PRICES) if culture else (MARKETS, PRICES)
     root = root.rstrip("/")
-    _merge(markets, f"{root}/markets.parquet", dim)
-    _merge(prices, f"{root}/prices", fact)
+    with single_writer(prices.sparkSession, root):
+        _merge(markets, f"{root}/markets.parquet", dim)
+        _merge(prices, f"{root}/prices", fact)
 
 
 def persist_routed(flat: DataFrame, root: str, culture_root: str) -> None:
@@ -123,5 +150,3 @@ def persist_ticks(ticks: DataFrame, root: str) -> None:
 
     append_ticks_only(ticks, root)
     consolidate_ticks(ticks.sparkSession, root)
-
-

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import time
+import zlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.wire import parse_books, parse_price_changes, parse_spot, parse_trades
 from ..schemas import HEARTBEATS, ORDERBOOK, PRICES, SPOT_PRICES, TICKS, Table
-from ..storage.writers import append_staged
+from ..storage.writers import append_batch
 
 TRIGGER = "5 seconds"
 
@@ -48,12 +50,44 @@ def allowed(spot: DataFrame, topics: dict[str, list[str]]) -> DataFrame:
     return spot.where(ok)
 
 
-def stage_stream(stream: DataFrame, root: str, table: Table, checkpoint: str, rows: Callable[[DataFrame], DataFrame] = lambda df: df, once: bool = False) -> StreamingQuery:
-    """Append every micro-batch to a table's staging root. A batch that is repeated after a failure is folded by consolidation."""
-    writer = stream.writeStream.foreachBatch(lambda df, _: append_staged(rows(df), root, table)).option("checkpointLocation", checkpoint)
+def stage_stream(stream: DataFrame, root: str, table: Table, checkpoint: str, rows: Callable[[DataFrame], DataFrame] = lambda df: df, once: bool = False, name: str | None = None) -> StreamingQuery:
+    """Append every micro-batch to a table's staging root, once however often it is tried: its files are named by the stream and the batch.
+
+    name tells streams into one table apart; without one it is drawn from the checkpoint's place.
+    """
+    name = name or f"{zlib.crc32(checkpoint.encode()):08x}"
+    writer = stream.writeStream.foreachBatch(lambda df, batch: append_batch(rows(df), root, table, name, batch)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=TRIGGER)).start()
 
 
+def subscriptions(tokens: DataFrame, size: int = 500) -> DataFrame:
+    """(shard, tokens): the distinct tokens in the lists of at most so many that one connection subscribes to, by their order."""
+    rank = F.row_number().over(Window.partitionBy().orderBy("token_id")) - 1
+    named = tokens.select("token_id").where("token_id <> ''").distinct().select("token_id", F.floor(rank / size).cast("int").alias("shard"))
+    return named.groupBy("shard").agg(F.sort_array(F.collect_list("token_id")).alias("tokens"))
+
+
+class Refreshed:
+    """A table that is loaded again once it is older than every_s, as for a stream's lookups: each batch takes what get() gives.
+
+    A load that fails keeps the table that was loaded before, and is tried again with the next batch.
+    """
+
+    def __init__(self, load: Callable[[], DataFrame], every_s: float = 3600.0, clock: Callable[[], float] = time.monotonic) -> None:
+        self.load, self.every_s, self.clock = load, every_s, clock
+        self._held: DataFrame | None = None
+        self._at = 0.0
+
+    def get(self) -> DataFrame:
+        if self._held is None or self.clock() - self._at >= self.every_s:
+            try:
+                self._held, self._at = self.load(), self.clock()
+            except Exception:
+                if self._held is None:
+                    raise
+        return self._held
+
+
 def staged_tables() -> dict[str, Table]:
     """The tables that live streams append to."""
     return {t.name: t for t in (TICKS, PRICES, ORDERBOOK, SPOT_PRICES, HEARTBEATS)}

@@ -106,3 +106,44 @@ class Staleness(StatefulProcessor):
 def heartbeats_stream(events: DataFrame, every_ms: int = 10_000) -> DataFrame:
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return events.groupBy("source").transformWithStateInPandas(Staleness(every_ms), "source string, ts_ms bigint, last_event_age_ms bigint", "Append", "ProcessingTime")
+
+
+class StaleWatch(StatefulProcessor):
+    """One alert when a feed has been silent for longer than its threshold, and none again before it has spoken.
+
+    Ages count from the last event's arrival. Nothing is told within grace_ms after the feed was first heard of.
+    """
+
+    def __init__(self, thresholds_ms: dict[str, int], default_ms: int, grace_ms: int, every_ms: int) -> None:
+        self.thresholds_ms, self.default_ms, self.grace_ms, self.every_ms = thresholds_ms, default_ms, grace_ms, every_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("feed", "first bigint, last bigint, told boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        for _ in rows:
+            pass
+        now = timers.getCurrentProcessingTimeInMs()
+        first = self.state.get()[0] if self.state.exists() else None
+        self.state.update((now if first is None else first, now, False))
+        if first is None:
+            self.handle.registerTimer(now + self.every_ms)
+        yield pd.DataFrame(columns=["source", "ts_ms", "age_ms"])
+
+    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+        now = timers.getCurrentProcessingTimeInMs()
+        self.handle.registerTimer(now + self.every_ms)
+        first, last, told = self.state.get()
+        stale = now - last > self.thresholds_ms.get(key[0], self.default_ms) and now - first > self.grace_ms
+        self.state.update((first, last, stale))
+        yield pd.DataFrame([(key[0], now, now - last)] if stale and not told else [], columns=["source", "ts_ms", "age_ms"])
+
+    def close(self) -> None:
+        pass
+
+
+def stale_alerts(events: DataFrame, thresholds_ms: dict[str, int], default_ms: int = 60_000, grace_ms: int = 60_000, every_ms: int = 5_000) -> DataFrame:
+    """(source, ts_ms, age_ms) of feeds that fall silent, from a stream of (source, ...)."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return events.groupBy("source").transformWithStateInPandas(StaleWatch(thresholds_ms, default_ms, grace_ms, every_ms), "source string, ts_ms bigint, age_ms bigint", "Append", "ProcessingTime")
