@@ -75,10 +75,9 @@ def normalize_markets(raw: DataFrame, kinds: tuple[Kind, ...] = KINDS, now_ts: C
             F.trim("groupItemThreshold").try_cast("int").alias("bucket_index"),
         )
 
-    # generating the parsed row, rather than filtering columns, keeps the planner from working every pattern out a second time for the filter
-    good = lambda r: r["timeframe"].isNotNull() & r["crypto"].isNotNull() & (r["start_ts"] < r["end_ts"])
-    row = let(kind_of("question", kinds), lambda key: F.when(key.isNotNull(), parsed(key)))
-    df = raw.select("*", F.explode(F.filter(F.array(row), lambda r: r.isNotNull() & good(r))).alias("_row")).select(*raw.columns, "_row.*")
+    # generating the parsed row keeps the planner from working every pattern out a second time for the filter behind it
+    known = raw.withColumn("_key", kind_of("question", kinds)).where("_key IS NOT NULL")
+    df = known.select("*", F.explode(F.array(parsed(F.col("_key")))).alias("_row")).where("_row.timeframe IS NOT NULL AND _row.crypto IS NOT NULL AND _row.start_ts < _row.end_ts").select(*raw.columns, "_row.*")
     df = df.withColumn("slug", F.trim(text_or_null("slug"))).withColumn("event_slug", event_slug())
     winner = F.get(F.filter("tokens", lambda t: F.coalesce(t["winner"], F.lit(False))), F.lit(0))["outcome"]
     df = df.withColumn("_winner", F.trim(winner)).withColumn("_priced", price_resolution())

@@ -108,9 +108,17 @@ def _c(x: Column | str) -> Column:
 
 
 def has_phrase(text: Column | str, phrases: tuple[str, ...] | list[str]) -> Column:
-    """Whether any phrase stands in the text between word boundaries, in any case."""
+    """Whether any phrase stands in the text between word boundaries, in any case.
+
+    The pattern is tried only where a phrase's letters are in the text at all, which a plain search finds out.
+    """
+    if not phrases:
+        return F.lit(False)
     any_of = "|".join(re.sub(r"([^\w\s])", r"\\\1", p) for p in phrases)
-    return _c(text).rlike(rf"(?i)\b(?:{any_of})\b") if phrases else F.lit(False)
+    low, maybe = F.lower(_c(text)), F.lit(False)
+    for p in phrases:
+        maybe = maybe | low.contains(p.lower())
+    return maybe & _c(text).rlike(rf"(?i)\b(?:{any_of})\b")
 
 
 def first_match(text: Column | str, choices: dict[str, tuple[str, ...]]) -> Column:
@@ -132,7 +140,7 @@ def range_minutes(text: Column | str) -> Column:
         return F.when(h.between(1, 12) & (m < 60), minutes)
 
     gap = lambda found: F.pmod(clock(found, 4) - clock(found, 1) - 1, F.lit(1440)) + 1
-    return let(F.regexp_extract(_c(text), _RANGE, 0), lambda found: F.when(found != "", gap(found))).cast("int")
+    return F.when(_c(text).contains(":"), let(F.regexp_extract(_c(text), _RANGE, 0), lambda found: F.when(found != "", gap(found)))).cast("int")
 
 
 def dates_minutes(text: Column | str) -> Column:
@@ -148,7 +156,7 @@ def dates_minutes(text: Column | str) -> Column:
         start, same = date(one, day, year), date(two, last, year)
         return F.when(same < start, date(two, last, (year.try_cast("int") + 1).cast("string")) - start).otherwise(same - start)
 
-    return (let(F.regexp_extract(_c(text), _DATES, 0), lambda found: F.when(found != "", days(found))) * 1440).cast("int")
+    return (F.when(_c(text).contains(","), let(F.regexp_extract(_c(text), _DATES, 0), lambda found: F.when(found != "", days(found)))) * 1440).cast("int")
 
 
 def timeframe_of(text: Column | str, kind: Kind) -> Column:
@@ -172,7 +180,7 @@ def _by_kind(text: Column | str, kinds: tuple[Kind, ...], of: Callable[[Kind], C
             out = F.when(key == k.key, of(k)) if out is None else out.when(key == k.key, of(k))
         return out.otherwise(of(default)) if default else out
 
-    return choose(key) if key is not None else let(kind_of(text, kinds), choose)
+    return choose(key if key is not None else kind_of(text, kinds))
 
 
 def extract_timeframe(text: Column | str, kinds: tuple[Kind, ...] = KINDS, strict: bool = False, key: Column | None = None) -> Column:
