@@ -11,6 +11,7 @@ from ..schemas import CULTURE_MARKETS, CULTURE_PRICES, HEARTBEATS, ORDERBOOK, PR
 from ..session import scratch
 from ..sources import feeds
 from ..sources.hive import canonical
+from ..sources.live import live_messages
 from ..sources.logs import failed_windows, heartbeats, match_failed, reconnects
 from ..storage.consolidate import compact, consolidate_heartbeats, consolidate_orderbook, consolidate_prices, consolidate_ticks, load_checkpoint, publish, save_checkpoint
 from ..storage.consolidate import _ticks as fold_ticks
@@ -287,6 +288,20 @@ def routed_messages(t: Tables):
     return out
 
 
+def _poll(tokens: list, batch: int) -> list[str]:
+    return [f'{{"event_type": "price_change", "price_changes": [{{"asset_id": "{t}", "best_bid": "{(batch + 1) / 8}"}}]}}' for t in tokens]
+
+
+@query("live_feed", "SELECT b // 8 AS shard, 't' || b AS asset_id, (a + 1) / 8 AS best_bid FROM range(0, 4) x(a), range(0, 24) y(b)")
+def live_feed(t: Tables):
+    """A live feed with a connection each for lists of eight tokens, routed and written batch by batch."""
+    root = scratch(t.spark, "live")
+    tokens = t.spark.range(24).select(F.concat(F.lit("t"), F.lpad(F.col("id").cast("string"), 2, "0")).alias("token_id"))
+    lists = [[x.replace("t0", "t") for x in r.tokens] for r in subscriptions(tokens, 8).orderBy("shard").collect()]
+    changes = route(live_messages(t.spark, "live_query", _poll, lists, 4))["changes"]
+    return run_to_table(changes, f"{root}/out", f"{root}/checkpoint").select(F.col("shard").cast("bigint").alias("shard"), "asset_id", "best_bid")
+
+
 @query("staged_batches", f"{E} SELECT CAST(event_id AS VARCHAR) AS token_id, ms AS timestamp_ms FROM e")
 def staged_batches(t: Tables):
     """A stream staged batch by batch, started a second time from the beginning: nothing is there twice."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -23,6 +24,10 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder for working tables: in the cluster's shared spark.checkpoint.dir, or, where that is unset, one of this machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tidewell-')}"
+    """A fresh folder for working tables: in the cluster's shared spark.checkpoint.dir, or, where that is unset and all runs on one machine, one of our own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='tidewell-')}"
     return f"{root.rstrip('/')}/tidewell/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
