@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import rows as side
 from . import textbatch as tb
-from .workspace import blocks, least_hashed, materialise
+from .workspace import blocks, least_hashed, materialise, trim, trimmed
 
 #: At most so many labelled documents (those of the least hash of their doc_id) are fitted on; all others are pseudo-labelled, and every document is scored.
 MAX_LABELLED = 20_000
@@ -124,6 +124,13 @@ def meta_view(lang: pa.Array, source: pa.Array, n_chars: np.ndarray) -> np.ndarr
     return out
 
 
+def _chunks(x: np.ndarray, y: np.ndarray, rows: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Some rows at a time as doubles with a constant, and their labels."""
+    for lo in range(0, len(x), rows):
+        part = x[lo : lo + rows]
+        yield np.concatenate([part, np.ones((len(part), 1), part.dtype)], 1).astype(float), y[lo : lo + rows]
+
+
 def _p(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
@@ -141,9 +148,13 @@ class View:
 
     def sums(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Gradient and Hessian of the log-likelihood over rows, in one vector."""
-        x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1).astype(float)
-        p = _p(x @ self.w)
-        return np.concatenate([x.T @ (y - p), ((x * (p * (1 - p))[:, None]).T @ x).ravel(), [len(y)]])
+        d = len(self.w)
+        gradient, hessian = np.zeros(d), np.zeros((d, d))
+        for part, truth in _chunks(x, y):
+            p = _p(part @ self.w)
+            gradient += part.T @ (truth - p)
+            hessian += (part * (p * (1 - p))[:, None]).T @ part
+        return np.concatenate([gradient, hessian.ravel(), [len(y)]])
 
     def step(self, sums: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
         """A Newton step by the sums, shortened until the labelled rows (x, y) fit no worse than before (by a hundredth a row at most)."""
@@ -151,8 +162,10 @@ class View:
         ridge = np.full(d, RIDGE)
         ridge[-1] = 1e-3
         move = np.linalg.solve(sums[d : d + d * d].reshape(d, d) + np.diag(ridge), sums[:d] - ridge * self.w)
-        x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1).astype(float)
-        fit = lambda w: -np.logaddexp(0, -(2 * y - 1) * (x @ w)).sum() - 0.5 * (ridge * w * w).sum()
+
+        def fit(w: np.ndarray) -> float:
+            return -sum(np.logaddexp(0, -(2 * truth - 1) * (part @ w)).sum() for part, truth in _chunks(x, y)) - 0.5 * (ridge * w * w).sum()
+
         least = fit(self.w) - 0.01 * len(y)
         for _ in range(12):
             if fit(self.w + move) >= least:
@@ -233,7 +246,7 @@ def features(docs: DataFrame) -> DataFrame:
                 pack = lambda x: tb.binaries(x.astype(np.float16).ravel(), np.arange(hi - lo + 1) * x.shape[1])
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in (0, 5, 6)), pack(c), pack(m)], names=["doc_id", "file", "row", "content", "meta"])
 
-    return side.addressed(docs, _columns(docs))[0].mapInArrow(run, _TABLE)
+    return side.addressed(docs, _columns(docs))[0].mapInArrow(trimmed(run), _TABLE)
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -276,12 +289,14 @@ def train(table: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_labelle
     known = materialise(truth(labels).join(table.select("doc_id"), "doc_id", "left_semi"), "quality-labels")
     chosen = materialise(least_hashed(known, "doc_id", max_labelled, known.count()), "quality-sample")
     named = table.select("doc_id", "content", "meta").join(F.broadcast(chosen), "doc_id", "left")  # at most max_labelled rows
-    sample = named.where("quality IS NOT NULL").collect()
-    sample.sort(key=lambda r: (r.doc_id, bytes(r.content)))
-    y = np.array([r.quality for r in sample], float)
+    sample = named.where("quality IS NOT NULL").toArrow()
+    ids, contents = sample["doc_id"].to_pylist(), sample["content"].to_pylist()
+    order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], contents[i])), np.int64)
+    y = sample["quality"].to_numpy()[order].astype(float)
     if not (y == 1).any() or not (y == 0).any():
         return None
-    c, m = (np.stack([np.frombuffer(r[k], np.float16) for r in sample]).astype(np.float32) for k in ("content", "meta"))
+    c, m = (_matrix(sample[k], width)[order] for k, width in (("content", CONTENT), ("meta", META)))
+    del sample, ids, contents
     held = np.arange(len(y)) % 4 == 3
     for which in (0, 1):  # either side needs both qualities
         if not (y[held] == which).any() or not (y[~held] == which).any():
@@ -295,7 +310,7 @@ def train(table: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_labelle
         view.calibrate(x[check], y[check])
     unlabelled = named.where("quality IS NULL").select("content", "meta")
     for _ in range(rounds):
-        found = unlabelled.mapInArrow(_pseudo(model), "part int, content binary, meta binary").groupBy("part").applyInArrow(_added, "part int, content binary, meta binary").orderBy("part").collect()
+        found = unlabelled.mapInArrow(trimmed(_pseudo(model)), "part int, content binary, meta binary").groupBy("part").applyInArrow(_added, "part int, content binary, meta binary").orderBy("part").collect()
         for (view, x), name in zip(pairs, ("content", "meta")):
             extra = np.sum([np.frombuffer(r[name]) for r in found], axis=0) if found else 0.0
             own = view.sums(x[fit], y[fit])
@@ -305,6 +320,7 @@ def train(table: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_labelle
         for view, x in pairs:
             view.calibrate(x[check], y[check])
     model.combine(c[check], m[check], y[check])
+    trim()
     return model
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
-from .workspace import materialise
+from .workspace import materialise, trimmed
 
 K, W = 5, 6
 #: Shared words from which a document counts as contaminated; every such span is found as K + W - 1 = 10.
@@ -176,7 +176,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, min_span: int = MI
     schema = "doc_id long, item_id long, span_words int"
     out = None
     for index in _slices(benchmark, k, w):
-        part = source.mapInArrow(scan(spark.sparkContext.broadcast(index)), schema)
+        part = source.mapInArrow(trimmed(scan(spark.sparkContext.broadcast(index))), schema)
         out = part if out is None else out.union(part)
     if out is None:
         return spark.createDataFrame([], schema)
@@ -201,5 +201,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_span: int = MIN
         return run
 
     for index in _slices(benchmark, k, w):
-        docs = docs.mapInArrow(keep(spark.sparkContext.broadcast(index)), docs.schema)
+        docs = docs.mapInArrow(trimmed(keep(spark.sparkContext.broadcast(index))), docs.schema)
     return docs

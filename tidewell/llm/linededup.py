@@ -28,7 +28,7 @@ from .workspace import blocks, gathered, table_path
 #: Shorter lines (UTF-8 bytes without the outer white space) are left as they are.
 MIN_BYTES = 24
 #: Lines that a map task holds before it sends them on, and how many for each shard at least.
-FLUSH_LINES, FLUSH_SHARD = 1_000_000, 16
+FLUSH_LINES, FLUSH_SHARD = 1_000_000, 8
 #: Lines that a task looks up in a shard.
 PROBES = 8_000_000
 U64, U32 = np.uint64, np.uint32

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text that one numpy pass takes at once (a longer document is one pass of its own).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
 

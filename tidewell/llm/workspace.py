@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,7 +17,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir; only where it is unset and all runs on one machine (tests), a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tidewell-')}"
         spark.conf.set("spark.checkpoint.dir", found)
@@ -57,7 +58,7 @@ def is_scan(df: DataFrame) -> bool:
 
 
 #: Input bytes on disk that a block of a packed exchange is meant for, whatever the session is set to.
-BLOCK_BYTES = 128 << 20
+BLOCK_BYTES = 64 << 20
 
 
 def blocks(docs: DataFrame) -> int:
@@ -87,6 +88,16 @@ def gathered(df: DataFrame, count: int, key: str, merge: Callable[[pa.Table], pa
     return df.repartitionById(count, F.col(key)).mapInArrow(run, schema)
 
 
+def trimmed(run: Callable) -> Callable:
+    """A function of batches that gives its memory back when it has ended, as a worker goes on to other tasks."""
+
+    def ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return ended
+
+
 def trim() -> None:
     """Give memory that a worker has freed back to the machine, where the C library can."""
     pa.default_memory_pool().release_unused()
