@@ -45,20 +45,105 @@ def test_cotraining_on_held_out_rows(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, s in scores.items() if s.keep}
 
 
-def test_cotraining_learns_from_pseudo_labels(spark):
-    """The gradient over pseudo-labelled rows equals that of a plain loop."""
-    docs, labels = _quality(120)
-    table = cotrain.features(frame(spark, [d[:5] for d in docs]))
-    model = cotrain.train(table, spark.createDataFrame(labels, "doc_id bigint, quality int"), rounds=0)
-    rows = [r for r in table.collect() if r.doc_id % 2 == 0]
+def test_sums_by_plain_loops():
+    """Gradient and Hessian over several chunks of rows."""
+    r = np.random.default_rng(1)
+    x, y = r.normal(size=(5000, 3)).astype(np.float32), r.integers(0, 2, 5000).astype(float)
+    view = cotrain.View(r.normal(size=4))
+    gradient, hessian = np.zeros(4), np.zeros((4, 4))
+    for row, truth in zip(x, y):
+        row = np.append(row, 1).astype(float)
+        p = 1 / (1 + np.exp(-row @ view.w))
+        gradient += row * (truth - p)
+        hessian += np.outer(row, row) * p * (1 - p)
+    sums = view.sums(x, y)
+    assert np.allclose(sums[:4], gradient) and np.allclose(sums[4:20].reshape(4, 4), hessian) and sums[20] == 5000
+    # steps end where the penalised likelihood is flat, and the calibration where its loss is
+    view = cotrain.View(np.zeros(4))
+    for _ in range(30):
+        view.step(view.sums(x, y), x, y)
+    assert np.abs(view.sums(x, y)[:4] - np.array([cotrain.RIDGE] * 3 + [1e-3]) * view.w).max() < 1e-4
+    view.calibrate(x, y)
+    z = x @ view.w[:-1] + view.w[-1]
+    up, down = (y == 1).sum(), (y == 0).sum()
+    target = np.where(y == 1, (up + 1) / (up + 2), 1 / (down + 2))
+    gap = target - 1 / (1 + np.exp(-(view.a * z + view.b)))
+    assert abs((gap * z).sum() - 1e-3 * view.a) < 1e-3 and abs(gap.sum() - 1e-3 * view.b) < 1e-3
+
+
+def test_cotraining_by_brute_force(spark, monkeypatch):
+    """All rounds and all scores, with every document in one array on one machine."""
+    monkeypatch.setattr(cotrain, "CONFIDENT", 0.85)  # so few labels leave no view surer
+    docs, labels = _quality(160)
+    df, known = frame(spark, [d[:5] for d in docs]), spark.createDataFrame(labels, "doc_id bigint, quality int")
+    rows = sorted(cotrain.features(df).collect(), key=lambda r: r.doc_id)
     c, m = (np.stack([np.frombuffer(r[k], np.float16) for r in rows]).astype(np.float32) for k in ("content", "meta"))
-    p = 1 / (1 + np.exp(-model.meta.logit(m)))
-    sure = (p >= cotrain.CONFIDENT) | (p <= 1 - cotrain.CONFIDENT)
-    plain = np.zeros(cotrain.CONTENT + 1)
-    for x, q in zip(c[sure], p[sure]):
-        x = np.append(x, 1).astype(float)
-        plain += x * ((q > 0.5) - 1 / (1 + np.exp(-x @ model.content.w)))
-    assert np.allclose(model.content.sums(c[sure], (p[sure] > 0.5).astype(float))[: len(plain)], plain)
+    truth = dict(labels)
+    mine = [i for i, r in enumerate(rows) if r.doc_id in truth]
+    rest = [i for i, r in enumerate(rows) if r.doc_id not in truth]
+    y = np.array([float(truth[rows[i].doc_id]) for i in mine])
+    held = np.arange(len(mine)) % 4 == 3
+    model = cotrain.Model(cotrain.View(np.zeros(cotrain.CONTENT + 1)), cotrain.View(np.zeros(cotrain.META + 1)), np.zeros(3))
+    views = ((model.content, c), (model.meta, m))
+    for view, x in views:
+        for _ in range(12):
+            view.step(view.sums(x[mine][~held], y[~held]), x[mine][~held], y[~held])
+        view.calibrate(x[mine][held], y[held])
+    taught = 0
+    for _ in range(cotrain.ROUNDS):
+        verdicts = []
+        for (_, _), (teacher, seen) in zip(views, reversed(views)):
+            p = 1 / (1 + np.exp(-teacher.logit(seen[rest])))
+            verdicts.append([(i, float(q > 0.5)) for i, q in zip(rest, p) if q >= cotrain.CONFIDENT or q <= 1 - cotrain.CONFIDENT])
+        extras = []
+        for (view, x), sure in zip(views, verdicts):
+            extras.append(sum((view.sums(x[i : i + 1], np.array([q])) for i, q in sure), np.zeros(len(view.w) * (len(view.w) + 1) + 1)))
+            taught += len(sure)
+        for (view, x), extra in zip(views, extras):
+            own = view.sums(x[mine][~held], y[~held])
+            view.step(own + extra * min(1.0, own[-1] / extra[-1]) if extra[-1] else own, x[mine][~held], y[~held])
+        for view, x in views:
+            view.calibrate(x[mine][held], y[held])
+    model.combine(c[mine][held], m[mine][held], y[held])
+    want = {r.doc_id: 1 / (1 + np.exp(-z)) for r, z in zip(rows, model.logit(c, m))}
+    got = {r.doc_id: r for r in cotrain.score_quality(df, known).collect()}
+    assert taught > 0 and all(abs(got[i].score - want[i]) < 1e-5 for i in want) and all(got[i].keep == (got[i].score >= 0.5) for i in got)
+
+
+def test_metadata_alone_teaches_the_other_view(spark):
+    """Where the source tells the quality and words do too, each view learns it, and the metadata view sees nothing of the text."""
+    r = random.Random(6)
+    rows, labels = [], []
+    for i in range(400):
+        good = i % 3 > 0
+        rows.append((i, " ".join(r.choice(["alpha", "beta", "gamma"] if good else ["omega", "sigma", "gamma"]) + str(r.randint(0, 3)) for _ in range(30)), "en", "good.org" if good else "spam.biz", 500))
+        if i % 4 == 0:
+            labels.append((i, int(good)))
+    table = cotrain.features(frame(spark, rows))
+    model = cotrain.train(table, spark.createDataFrame(labels, "doc_id bigint, quality int"))
+    found = {x.doc_id: x for x in table.collect()}
+    c, m = (np.stack([np.frombuffer(found[i][k], np.float16) for i in range(400)]).astype(np.float32) for k in ("content", "meta"))
+    assert ((model.meta.logit(m) > 0) == (np.arange(400) % 3 > 0)).all() and ((model.content.logit(c) > 0) == (np.arange(400) % 3 > 0)).mean() > 0.98
+    other = cotrain.features(frame(spark, [(i, "wholly other text", *rest) for i, _, *rest in rows[:5]])).collect()
+    assert all(bytes(x.meta) == bytes(found[x.doc_id].meta) for x in other)
+
+
+def test_content_view_by_brute_force():
+    import re
+
+    texts = ["Alpha beta, ALPHA!! beta beta 42", "", "  \n ", "ä ö\nnext line\n", "one"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    view = cotrain.content_view(data, np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])]))
+    at = cotrain.SHAPES + cotrain.WORDS
+    for i, t in enumerate(texts):
+        words = re.findall(r"[^\x00-/:-`{-\x7f]+", t.lower())
+        n = max(len(words), 1)
+        assert np.isclose(view[i, at + 1], len(set(words)) / n) and np.isclose(view[i, at], sum(a == b for a, b in zip(words, words[1:])) / n)
+        assert np.isclose((view[i, cotrain.SHAPES : at] ** 2).sum(), bool(words)) and np.isclose((view[i, : cotrain.SHAPES] ** 2).sum(), bool(t.split()))
+        assert np.isclose(view[i, at + 3], np.log1p(len(t.split())) / 10, atol=1e-6)
+        if words:
+            raw = t.encode()
+            assert np.isclose(view[i, at + 5], np.log1p(t.count("\n")) / 5) and np.isclose(view[i, at + 7] ** 2, sum(65 <= x <= 90 for x in raw) / len(raw), atol=1e-6)
 
 
 def test_labels_of_absent_documents_take_no_place_in_the_sample(spark):
@@ -569,6 +654,19 @@ def test_sharding_of_a_deep_tree(spark):
     assert [got[s] for s in sorted(got)] == _kd(_places(df), 60)
 
 
+def test_very_long_texts_and_ties(spark):
+    """A text of a million words beside short and repeated ones, in every operator of this file."""
+    long = "calm words of one text " * 200_000
+    rows = [(1, long, "en", "s", 1), (1, long, "en", "s", 1), (2, "short", "en", "s", 1), (3, None, None, None, None)]
+    df, known = frame(spark, rows), spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id bigint, quality int, toxic int")
+    scores = cotrain.score_quality(df, known).collect()
+    assert len(scores) == 4 and len({r.score for r in scores if r.doc_id == 1}) == 1
+    assert toxicity.toxic_documents(df, known).count() == 0
+    found = digest.nearest_digests(df).collect()
+    assert sorted((r.doc_id, r.n_bytes) for r in found) == [(1, len(long))] * 2 + [(2, 5), (3, 0)]
+    assert sorted(r.bytes for r in sharding.shard_table(df, 1000).collect()) == [0, 5, len(long), len(long)]
+
+
 def test_sharding_of_nothing(spark):
     assert sharding.assign_shards(frame(spark, []), 10).count() == 0
     same = frame(spark, [(1, "a" * 99, "en", "s", 1)] * 3, True)

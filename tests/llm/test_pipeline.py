@@ -39,3 +39,18 @@ def test_stages_keep_the_columns(spark):
         assert out.columns == (docs.columns + ["shard"] if name == "sharding" else docs.columns), name
         assert out.count() > 0
         assert stage(spark, docs.limit(0), FOLDER).count() == 0
+
+
+def test_stages_with_a_very_long_text(spark):
+    """A text of 200,000 words goes through all stages whole, beside nulls, blanks and repeated rows."""
+    words = " ".join(f"w{i * 7919 % 99991}x{i}" for i in range(200_000))
+    rows = [(5000, words, "en", "s0", 9), *corpus(2)]
+    docs = frame(spark, rows, True)
+    for name, stage in corpus_pipeline.STAGES:
+        if name == "quality classifier":
+            continue  # sf0.001's labels say nothing about these texts
+        docs = stage(spark, docs, FOLDER)
+    found = docs.where("doc_id = 5000").collect()
+    assert found and all(r.text == words for r in found)
+    kept = {r.doc_id for r in docs.select("doc_id").collect()}
+    assert {None, 900, 901, 902, 903} <= kept

@@ -279,6 +279,19 @@ def test_production_queries(spark, name):
     assert_same(QUERIES[name](spark, folder), ORACLES[name], folder)
 
 
+@pytest.mark.parametrize("name", ["op8_line_dedup", "op9_ngram_jaccard_join"])
+def test_blocks_by_the_bytes_of_the_table(spark, monkeypatch, name):
+    """Where the files are large against the session's partitions, more blocks give the same rows."""
+    from tidewell.llm import workspace
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    assert workspace.blocks(docs) == 4
+    monkeypatch.setattr(workspace, "BLOCK_BYTES", 15_000)
+    assert workspace.blocks(docs) > 8 and workspace.blocks(docs.where("true")) == 4
+    assert_same(QUERIES[name](spark, folder), ORACLES[name], folder)
+
+
 def test_very_long_texts(spark):
     """One text of 300,000 words, its copy, and its half: whole texts take part."""
     words = [f"w{i * 7919 % 99991}x{i}" for i in range(300_000)]
