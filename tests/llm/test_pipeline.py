@@ -41,6 +41,13 @@ def test_stages_keep_the_columns(spark):
         assert stage(spark, docs.limit(0), FOLDER).count() == 0
 
 
+def test_stages_keep_columns_with_odd_names(spark):
+    docs = frame(spark, corpus(1)).selectExpr("*", "1 AS `a.b`", "2 AS `with space`", "3 AS _metadata", "4 AS _file")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, FOLDER)
+        assert out.columns[: len(docs.columns)] == docs.columns and out.select("`a.b`", "_metadata", "_file").distinct().collect() == [(1, 3, 4)], name
+
+
 def test_stages_with_a_very_long_text(spark):
     """A text of 200,000 words goes through all stages whole, beside nulls, blanks and repeated rows."""
     words = " ".join(f"w{i * 7919 % 99991}x{i}" for i in range(200_000))

@@ -364,5 +364,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_labe
                     yield side.pack(batch.column(0).to_numpy()[bad], batch.column(1).to_numpy()[bad], np.ones(len(bad)), count)
 
     path = side.store(table.select("file", "row", "content", "meta").mapInArrow(rejected, side.PACKED), count, "rejected-rows")
-    placed, file, row = side.addressed(docs, docs.columns)
+    placed, file, row = side.addressed(docs, ["*"])
     return placed.where(side.lookup(path, count, 0)(F.col(file), F.col(row)) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])

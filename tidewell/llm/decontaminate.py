@@ -200,6 +200,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_span: int = MIN
 
         return run
 
+    # whatever the columns are called, they pass under plain names
+    out = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     for index in _slices(benchmark, k, w):
-        docs = docs.mapInArrow(trimmed(keep(spark.sparkContext.broadcast(index))), docs.schema)
-    return docs
+        out = out.mapInArrow(trimmed(keep(spark.sparkContext.broadcast(index))), out.schema)
+    return out.toDF(*docs.columns)

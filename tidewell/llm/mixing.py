@@ -157,7 +157,7 @@ def mix_documents(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, temperature
     # addresses and counts alone travel; the texts stay where they are
     count = blocks(docs)
     path = side.stored(home.select("file", "row", F.coalesce("times", F.lit(0)).alias("value")), count, "mix-copies")
-    rows, file, row = side.addressed(docs, docs.columns)
+    rows, file, row = side.addressed(docs, ["*"])
     i = fresh("_i", rows.columns)
     copies = rows.withColumn(i, side.lookup(path, count, 1)(F.col(file), F.col(row))).where(F.col(i) > 0)
     return copies.withColumn(i, F.explode(F.sequence(F.lit(1), F.col(i).cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
