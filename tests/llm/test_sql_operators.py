@@ -8,7 +8,7 @@ from corpora import arrow, corpus, frame
 from oracle import assert_same
 
 from tidewell.llm import decontaminate, jaccard, linededup, mixing
-from tidewell.llm.queries import ORACLES, QUERIES
+from tidewell.llm.queries import JACCARD_PAIRS, ORACLES, QUERIES
 
 BENCH = "item_id bigint, text string"
 
@@ -83,7 +83,7 @@ def test_decontamination_drops(spark):
 def test_jaccard_pairs(spark, seed, clash):
     rows = corpus(seed)
     pairs = jaccard.jaccard_pairs(frame(spark, rows, clash)).selectExpr("doc_id_a", "doc_id_b", "round(jaccard, 9) AS jaccard")
-    assert_same(pairs, ORACLES["op9_ngram_jaccard_join"], documents=arrow(rows))
+    assert_same(pairs, JACCARD_PAIRS, documents=arrow(rows))
 
 
 def test_expanded_pairs_by_brute_force(spark):
@@ -109,6 +109,62 @@ def test_expanded_pairs_by_brute_force(spark):
     assert len(want) > pairs.count()
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_links_by_brute_force(spark, seed):
+    """Every document has all its links counted, those of copies and with copies too, and a row of its own."""
+    import re
+
+    rows = corpus(seed)
+    for i in (3, 4):  # more copies of texts that have near copies, as other texts of the same words
+        rows += [(2000 + 10 * i + k, rows[i][1].upper() + "!" * k, *rows[i][2:]) for k in range(2)]
+    sets = {}
+    for i, t, *_ in rows:
+        if i is not None:
+            w = re.findall(r"[^\x00-/:-`{-\x7f]+", (t or "").lower())
+            sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    near = {a: {b for b in sets if a != b and sets[a] and len(sets[a] & sets[b]) >= 0.4 * len(sets[a] | sets[b]) - 1e-9} for a in sets}
+    name = {}
+    for a in sorted(sets):
+        todo = [a]
+        while todo:
+            x = todo.pop()
+            if x not in name:
+                name[x] = a
+                todo += near[x]
+    docs = frame(spark, rows, True)
+    got = [tuple(r) for r in jaccard.jaccard_links(docs).collect()]
+    assert sorted(got) == [(a, name[a], len(near[a])) for a in sorted(sets)]
+    assert max(n for *_, n in got) > 3 and jaccard.jaccard_links(docs.limit(0)).count() == 0
+
+
+def test_links_of_a_document_with_several_texts(spark):
+    rows = corpus(1)
+    rows += [(3, rows[5][1], "en", "s", 1), (3, rows[6][1] + " and more", "en", "s", 1), (5, rows[6][1], "en", "s", 1)]
+    assert_same(jaccard.jaccard_links(frame(spark, rows)), ORACLES["op9_ngram_jaccard_join"], documents=arrow(rows))
+
+
+def loose(n: int) -> list[tuple]:
+    """Short texts of two common lines and words of their own: one component by their grams, with few pairs."""
+    import random
+
+    from corpora import text
+
+    r = random.Random(3)
+    lines = [text(r, 12).replace("\n", " ") for _ in range(60)]
+    return [(i, "\n".join([*r.sample(lines, 2), text(r, r.randint(1, 12))]), "en", "s", 1) for i in range(n)]
+
+
+@pytest.mark.parametrize("block,addition", [(16_384, 640), (100, 640), (100, 1e-9), (100, 1e9), (16_384, 1e9)])
+def test_blocks_and_products_change_nothing(spark, monkeypatch, block, addition):
+    """Added pair by pair, multiplied or mixed, in one block or in many: the same links."""
+    rows = loose(400) + [(1000 + i, t, *rest) for i, (_, t, *rest) in enumerate(corpus(2))]
+    w = rows[-1][1].split()
+    rows += [(5000 + i, " ".join([*w[:60], f"x{i % 40}", *w[60 + i % 30 : 90]]), "en", "s", 1) for i in range(200)]
+    for k, v in {"ROW_BLOCK": block, "ADDITION": addition, "TILE": 30, "ADDITIONS": 500, "CELLS": 300}.items():
+        monkeypatch.setattr(jaccard, k, v)
+    assert_same(jaccard.jaccard_links(frame(spark, rows)), ORACLES["op9_ngram_jaccard_join"], documents=arrow(rows))
+
+
 def test_jaccard_large_components(spark, monkeypatch):
     """Row blocks and the dense product give the pairs that the plain way gives."""
     import random
@@ -125,7 +181,7 @@ def test_jaccard_large_components(spark, monkeypatch):
         rows.append((i, " ".join(w), "en", "s", 1))
     monkeypatch.setattr(jaccard, "ROW_BLOCK", 25)
     pairs = jaccard.jaccard_pairs(frame(spark, rows)).selectExpr("doc_id_a", "doc_id_b", "round(jaccard, 9) AS jaccard")
-    assert_same(pairs, ORACLES["op9_ngram_jaccard_join"], documents=arrow(rows))
+    assert_same(pairs, JACCARD_PAIRS, documents=arrow(rows))
 
 
 def test_near_duplicates_leave_one(spark):
@@ -311,4 +367,4 @@ def test_heavy_grams_change_nothing(spark, monkeypatch, seed):
     docs = frame(spark, rows)
     assert len(jaccard.heavy_grams(docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL"), 5, len(rows), 3)) >= 5
     pairs = jaccard.jaccard_pairs(docs).selectExpr("doc_id_a", "doc_id_b", "round(jaccard, 9) AS jaccard")
-    assert_same(pairs, ORACLES["op9_ngram_jaccard_join"], documents=arrow(rows))
+    assert_same(pairs, JACCARD_PAIRS, documents=arrow(rows))

@@ -15,9 +15,13 @@ arrays (few large rows, not one row a gram):
 
 Inside the components the product of the incidence matrix with its transpose is
 accumulated block by block, which gives the exact overlap of every pair; pairs below the
-bound are dropped. The rows of a large component are laid in blocks by their least gram, and only
-pairs of blocks that share a prefix gram meet, so a long chain of
-loosely linked sets costs what its links cost. The result is exact: no sampling and no cap on partners.
+bound are dropped. The rows of a large component are laid in blocks of like numbers of grams by their least gram,
+and only pairs of blocks that share a prefix gram meet. A gram that few rows of a tile hold adds to the
+pairs of its holders one by one, and one that many hold is a column of a dense product. So loosely linked short sets cost what they
+share, and a dense group costs few operations a pair. The result is exact: no sampling and no cap on partners.
+
+jaccard_pairs() returns the pairs. jaccard_links() counts them where they are found and sends on sums and spanning edges, so that
+neither its rows nor its exchanges grow with the number of pairs.
 """
 
 from __future__ import annotations
@@ -43,12 +47,16 @@ SAMPLE, SAMPLE_SHARE, SAMPLE_SETS = 4_000, 1.6e-5, 16
 HEAVY = 10_000
 #: Sizes of sets within this ratio count as alike when the prefix grams of a batch are linked.
 ALIKE = 1.05
-#: Rows of the incidence matrix in one block of the product.
-ROW_BLOCK = 512
+#: Rows of the incidence matrix in one block of the product, and their grams: a block ends at either.
+ROW_BLOCK, BLOCK_GRAMS = 512, 1 << 20
+#: Rows of a block whose pairs are accumulated together, and how many additions and how many pairs of theirs are held at once.
+TILE, ADDITIONS, CELLS = 512, 1 << 21, 1 << 20
 #: Bits of a gram's hash; seven bytes keep chance meetings rare among 10**14 grams.
 BITS = 56
-#: From this many rows the product of a component is dense by columns; below, postings are expanded.
+#: From this many rows a task is multiplied by tiles; smaller ones are taken together and their postings expanded.
 DENSE_ROWS = 48
+#: What an addition to one pair costs against a multiplication in a dense product, and against reading a pair's cell.
+ADDITION, CELL = 640, 0.25
 U64 = np.uint64
 
 
@@ -268,7 +276,7 @@ def _holders(count: int):
     return run
 
 
-_ROW_SCHEMA = "doc_id long, copy long, size int, prefix int, least long, grams binary"
+_ROW_SCHEMA = "doc_id long, copy long, key long, members int, size int, prefix int, least long, grams binary"
 
 
 def _rows(threshold: float):
@@ -282,7 +290,11 @@ def _rows(threshold: float):
         heads, least = owners[first[:-1]], ids[first[:-1]]
         total = tb.joined(table["sizes"], np.uint32)[order][first[:-1]].astype(np.int64)
         rep = np.repeat(least, np.diff(first))
-        copies = np.append(False, (ids[1:] != ids[:-1]) | (owners[1:] != owners[:-1]))[: len(ids)] & (ids != rep)
+        once = np.append(True, (ids[1:] != ids[:-1]) | (owners[1:] != owners[:-1]))[: len(ids)]
+        members = np.add.reduceat(once, first[:-1], dtype=np.int32) if len(ids) else np.zeros(0, np.int32)
+        every = np.repeat(members, np.diff(first))
+        # of sets that several documents have: each of these, the representative too
+        copies = once & (every > 1)
         lengths = tb.joined(table["lengths"], np.uint32)
         key = np.repeat(tb.joined(table["sets"], U64), lengths)
         g, held = _grams_of(table["grams"]), tb.joined(table["holders"], np.uint8)
@@ -304,8 +316,11 @@ def _rows(threshold: float):
         blank = pa.nulls(pairs, pa.int32())
         # the least of the scrambled grams: sets that overlap much mostly have the same
         low = np.minimum.reduceat(tb.mix(g), runs[:-1]) >> U64(1) if len(g) else np.zeros(0, U64)
-        near = pa.Table.from_arrays([pa.array(who), pa.nulls(len(who), pa.int64()), pa.array(n.astype(np.int32)), pa.array((m - _need(n, threshold) + 1).astype(np.int32)), pa.array(low.astype(np.int64)), _sevens(g, runs)], names=["doc_id", "copy", "size", "prefix", "least", "grams"])
-        same = pa.Table.from_arrays([pa.array(rep[copies]), pa.array(ids[copies]), blank, blank, pa.nulls(pairs, pa.int64()), pa.nulls(pairs, pa.binary())], names=near.schema.names)
+        near = pa.Table.from_arrays(
+            [pa.array(who), pa.nulls(len(who), pa.int64()), pa.array(heads[at].view(np.int64)), pa.array(members[at]), pa.array(n.astype(np.int32)), pa.array((m - _need(n, threshold) + 1).astype(np.int32)), pa.array(low.astype(np.int64)), _sevens(g, runs)],
+            names=["doc_id", "copy", "key", "members", "size", "prefix", "least", "grams"],
+        )
+        same = pa.Table.from_arrays([pa.array(rep[copies]), pa.array(ids[copies]), pa.array(owners[copies].view(np.int64)), pa.array(every[copies]), blank, blank, pa.nulls(pairs, pa.int64()), pa.nulls(pairs, pa.binary())], names=near.schema.names)
         return pa.concat_tables([near, same])
 
     return run
@@ -423,28 +438,30 @@ def _assigned(count: int, path: str):
             at, value = side.found(path, count, batch.column("file").to_numpy(), batch.column("row").to_numpy())
             for lo in range(0, len(at), 4096):
                 part, code = batch.take(pa.array(at[lo : lo + 4096])), value[lo : lo + 4096]
-                yield pa.RecordBatch.from_arrays([pa.array(code >> 2), part.column("doc_id"), part.column("size"), pa.array((code & 1).astype(np.int32)), pa.array(code & 2 != 0), part.column("grams")], names=["task", "doc_id", "size", "side", "cross", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(code >> 2), *(part.column(c) for c in ("doc_id", "key", "members", "size")), pa.array((code & 1).astype(np.int32)), pa.array(code & 2 != 0), part.column("grams")], names=["task", "doc_id", "key", "members", "size", "side", "cross", "grams"])
 
     return run
 
 
 def _tasks(near: DataFrame, part: DataFrame, threshold: float, count: int) -> DataFrame:
-    """(task, doc_id, size, side, cross, grams): the rows of each block of the product. A task is two row blocks of a component, or one with itself.
+    """(task, doc_id, key, members, size, side, cross, grams): the rows of each block of the product. A task is two row blocks of a component, or one with itself.
 
     All is worked out on ids and addresses; the grams move once, to their tasks. The two low bits of a
     task's code tell whether it is of two row blocks, and which one a row is of.
     """
-    placed = materialise(near.join(part, F.col("doc_id") == F.col("node")).select("component", "doc_id", "least", "file", "row"), "component-rows")
-    many = placed.groupBy("component").agg(F.count("*").alias("_n")).where(F.col("_n") > ROW_BLOCK).select("component")
+    # grams of a row (they are its prefix and what it needs), and at least what ROW_BLOCK rows leave each
+    room = F.greatest(F.col("prefix") + F.ceil(F.col("size") * threshold).cast("long"), F.lit(BLOCK_GRAMS // ROW_BLOCK))
+    placed = materialise(near.join(part, F.col("doc_id") == F.col("node")).select("component", "doc_id", "least", room.alias("room"), "file", "row"), "component-rows")
+    many = placed.groupBy("component").agg(F.sum("room").alias("_n")).where(F.col("_n") > BLOCK_GRAMS).select("component")
     code = lambda *x: F.shiftleft(F.xxhash64(*x), 2)
     small = placed.join(many, "component", "left_anti").select("file", "row", code("component").alias("value"))
-    # large components: rows in the order of their least gram, ROW_BLOCK at a time, numbered in two levels
+    # large components: rows in the order of their least gram, a block's grams at a time, counted in two levels
     large = placed.join(many, "component", "left_semi").withColumn("bucket", F.shiftright("least", 51).cast("int"))
-    totals = large.groupBy("component", "bucket").agg(F.count("*").alias("_n"))
+    totals = large.groupBy("component", "bucket").agg(F.sum("room").alias("_n"))
     before = totals.select("component", "bucket", (F.sum("_n").over(Window.partitionBy("component").orderBy("bucket")) - F.col("_n")).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("component", "bucket").orderBy("least", "doc_id", "file", "row")) - 1
-    numbered = large.withColumn("_rank", rank).join(before, ["component", "bucket"])
-    block = F.xxhash64("component", F.floor((F.col("_before") + F.col("_rank")) / ROW_BLOCK))
+    within = F.sum("room").over(Window.partitionBy("component", "bucket").orderBy("least", "doc_id", "file", "row").rowsBetween(Window.unboundedPreceding, 0)) - F.col("room")
+    numbered = large.withColumn("_within", within).join(before, ["component", "bucket"])
+    block = F.xxhash64("component", F.floor((F.col("_before") + F.col("_within")) / BLOCK_GRAMS))
     blocks_ = materialise(numbered.select("file", "row", block.alias("value")), "row-blocks")
     held = near.select("size", "prefix", "grams", "file", "row").mapInArrow(_held(count, side.stored(blocks_, count, "row-blocks")), "block int, grams binary, owners binary, low binary, high binary")
     pairs = gathered(held, count, "block", _meetings(threshold), "a long, b long").distinct()
@@ -452,12 +469,110 @@ def _tasks(near: DataFrame, part: DataFrame, threshold: float, count: int) -> Da
     ends = pairs.select(code("a", "b").bitwiseOR(cross).alias("_task"), F.explode(F.array_distinct(F.array("a", "b"))).alias("value"), F.col("b"))
     spread = blocks_.join(ends, "value").select("file", "row", F.col("_task").bitwiseOR(F.when(F.col("_task").bitwiseAND(F.lit(2)) == 0, 0).otherwise((F.col("value") == F.col("b")).cast("int"))).alias("value"))
     path = side.stored(small.union(spread), count, "product-tasks")
-    return near.select("doc_id", "size", "grams", "file", "row").mapInArrow(_assigned(count, path), "task long, doc_id long, size int, side int, cross boolean, grams binary")
+    return near.select("doc_id", "key", "members", "size", "grams", "file", "row").mapInArrow(_assigned(count, path), "task long, doc_id long, key long, members int, size int, side int, cross boolean, grams binary")
+
+
+def _spread(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers of ranges that begin at begin, behind each other."""
+    return np.arange(int(length.sum())) + np.repeat(begin - np.cumsum(length) + length, length)
+
+
+def _pieces(row: np.ndarray, length: np.ndarray) -> Iterator[slice]:
+    """Entries whose ranges have about ADDITIONS numbers together, cut between rows."""
+    last = np.flatnonzero(np.append(row[1:] != row[:-1], True)) + 1
+    sums = np.cumsum(length)[last - 1]
+    lo = at = 0
+    while at < len(last):
+        done = int(sums[at - 1]) if at else 0
+        at = max(at + 1, int(np.searchsorted(sums, done + ADDITIONS, "right")))
+        yield slice(lo, int(last[at - 1]))
+        lo = int(last[at - 1])
+
 
+def _tiles(row: np.ndarray, column: np.ndarray, other_row: np.ndarray, other_column: np.ndarray, rows: int, others: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Overlaps of the rows of one matrix with those of another, or (same) with the later ones of the same, tile by tile.
 
-def _overlaps(task: np.ndarray, grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row pairs (i < j) of the same task and their overlap, over complete tasks."""
-    left, right, overlap = [], [], []
+    Entries (some) come in the order of their rows. Columns with few additions in a tile are added pair by pair, the others multiplied.
+    """
+    order = np.argsort(other_column, kind="stable")
+    post = other_row[order]
+    starts = np.searchsorted(other_column[order], np.arange(int(max(column.max(), other_column.max())) + 2))
+    begin = starts[column]
+    if same:
+        begin = np.empty(len(order), np.int64)
+        begin[order] = np.arange(1, len(order) + 1)
+    length = starts[column + 1] - begin
+    cuts = np.searchsorted(row, np.arange(0, rows + TILE, TILE))
+    for lo, s, e in zip(range(0, rows, TILE), cuts[:-1], cuts[1:]):
+        if s == e:
+            continue
+        first = lo if same else 0
+        high, wide = min(lo + TILE, rows) - lo, others - first
+        columns, which = np.unique(column[s:e], return_inverse=True)
+        work = np.bincount(which, weights=length[s:e])
+        many = work * ADDITION > high * wide
+        if work[many].sum() <= CELL * high * wide:
+            many[:] = False
+        thin = np.flatnonzero(~many[which]) + s
+        if not many.any():
+            for piece in _pieces(row[thin], length[thin]):
+                at = thin[piece]
+                code = np.sort(np.repeat(row[at] * others, length[at]) + post[_spread(begin[at], length[at])])
+                runs = _runs(code)
+                if len(runs) > 1:
+                    yield code[runs[:-1]] // others, code[runs[:-1]] % others, np.diff(runs)
+            continue
+        total = np.zeros((high, wide), np.float32)
+        chosen = columns[many]
+        place = (np.cumsum(many) - 1)[which]
+        fat = np.flatnonzero(many[which])
+        fat = fat[np.argsort(place[fat], kind="stable")]
+        step = max(64, ADDITIONS // max(wide, high))
+        for c in range(0, len(chosen), step):
+            part = chosen[c : c + step]
+            a, b = np.searchsorted(place[fat], (c, c + step))
+            left = np.zeros((high, len(part)), np.float32)
+            left[row[s + fat[a:b]] - lo, place[fat[a:b]] - c] = 1
+            n = starts[part + 1] - starts[part]
+            holder, held = post[_spread(starts[part], n)], np.repeat(np.arange(len(part)), n)
+            later = holder >= first
+            right = np.zeros((wide, len(part)), np.float32)
+            right[holder[later] - first, held[later]] = 1
+            total += left @ right.T
+        for piece in _pieces(row[thin], length[thin]) if len(thin) else ():
+            at = thin[piece]
+            np.add.at(total.ravel(), np.repeat((row[at] - lo) * wide - first, length[at]) + post[_spread(begin[at], length[at])], np.float32(1))
+        if same:
+            total = np.triu(total, 1)
+        strip = max(1, CELLS // wide)
+        for top in range(0, high, strip):
+            i, j = np.nonzero(total[top : top + strip])
+            yield i + (lo + top), j + first, total[i + top, j].astype(np.int64)
+
+
+def _multiplied(grams: list[np.ndarray], side: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row pairs of one task and their overlap: of all rows, or of those of side 0 with those of side 1."""
+    row = np.repeat(np.arange(len(grams)), [len(x) for x in grams])
+    _, column = np.unique(np.concatenate(grams), return_inverse=True)
+    if side is None:
+        keep = np.bincount(column)[column] > 1
+        row, column = row[keep], column[keep]
+        if len(row):
+            yield from _tiles(row, column, row, column, len(grams), len(grams), True)
+        return
+    right = side[row] == 1
+    both = (np.bincount(column, weights=right) > 0) & (np.bincount(column, weights=~right) > 0)
+    left, right = ~right & both[column], right & both[column]
+    if not left.any():
+        return
+    number = np.where(side == 1, np.cumsum(side == 1), np.cumsum(side != 1)) - 1
+    here, there = np.flatnonzero(side != 1), np.flatnonzero(side == 1)
+    for i, j, n in _tiles(number[row[left]], column[left], number[row[right]], column[right], len(here), len(there), False):
+        yield here[i], there[j], n
+
+
+def _overlaps(task: np.ndarray, grams: list[np.ndarray], side: np.ndarray, cross: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row pairs of the same task (of its two sides, if it has two) and their overlap, over complete tasks, some at a time."""
     cuts = _runs(task)
     small: list[np.ndarray] = []
     for lo, hi in zip(cuts[:-1], cuts[1:]):
@@ -466,21 +581,8 @@ def _overlaps(task: np.ndarray, grams: list[np.ndarray]) -> tuple[np.ndarray, np
         if hi - lo <= DENSE_ROWS:
             small.append(np.arange(lo, hi))
             continue
-        every = np.concatenate(grams[lo:hi])
-        row = np.repeat(np.arange(hi - lo), [len(x) for x in grams[lo:hi]])
-        values, column, held = np.unique(every, return_inverse=True, return_counts=True)
-        keep = held[column] > 1
-        row, column = row[keep], np.unique(column[keep], return_inverse=True)[1]
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        total = np.zeros((hi - lo, hi - lo), np.float32)
-        for start in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
-            a, b = np.searchsorted(column, (start, start + 4096))
-            part = np.zeros((hi - lo, int(column[b - 1]) - start + 1), np.float32)
-            part[row[a:b], column[a:b] - start] = 1
-            total += part @ part.T
-        i, j = np.nonzero(np.triu(total, 1))
-        left.append(i + lo), right.append(j + lo), overlap.append(total[i, j].astype(np.int64))
+        for i, j, n in _multiplied(grams[lo:hi], side[lo:hi] if cross[lo] else None):
+            yield i + lo, j + lo, n
     if small:
         rows = np.concatenate(small)
         size = np.array([len(grams[r]) for r in rows])
@@ -496,29 +598,62 @@ def _overlaps(task: np.ndarray, grams: list[np.ndarray]) -> tuple[np.ndarray, np
             codes.append((row[at[:, None] + i] * len(grams) + row[at[:, None] + j]).ravel())
         if codes:
             code, n = np.unique(np.concatenate(codes), return_counts=True)
-            left.append(code // len(grams)), right.append(code % len(grams)), overlap.append(n)
-    if not left:
-        return (np.zeros(0, np.int64),) * 3
-    return np.concatenate(left), np.concatenate(right), np.concatenate(overlap)
+            i, j = code // len(grams), code % len(grams)
+            apart = ~cross[i] | (side[i] != side[j])
+            yield i[apart], j[apart], n[apart]
 
 
 _PAIR_SCHEMA = "doc_id_a long, doc_id_b long, overlap long, jaccard double"
 
 
-def _product(threshold: float):
-    """The product over row blocks: tasks come sorted, and a task that a batch cuts waits for its rest."""
+def _paired(ids: np.ndarray, table: pa.Table, found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """The pairs themselves."""
+    for i, j, n, union in found:
+        a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n.astype(np.int64)), pa.array(n / union)], names=["doc_id_a", "doc_id_b", "overlap", "jaccard"])
+
+
+_COUNT_SCHEMA = "key long, a long, b long, n long"
 
-    def solve(table: pa.Table) -> pa.RecordBatch:
+
+def _counted(ids: np.ndarray, table: pa.Table, found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Of each set with a pair: key, document (a) and the number of documents in pairs with it (n). And (a, b) of edges that connect what the pairs connect."""
+    key, members = table["key"].to_numpy(), table["members"].to_numpy().astype(np.int64)
+    total = np.zeros(len(ids), np.int64)
+    root = np.arange(len(ids))
+    for i, j, *_ in found:
+        total += np.bincount(i, members[j], len(ids)).astype(np.int64) + np.bincount(j, members[i], len(ids)).astype(np.int64)
+        apart = root[i] != root[j]
+        if apart.any():
+            up = np.arange(len(ids))
+            a, b = contracted(root[i[apart]], root[j[apart]])
+            up[b] = a
+            root = up[root]
+    some, b = np.flatnonzero(total), np.flatnonzero(root != np.arange(len(ids)))
+    a = root[b]
+    blank, edge = pa.nulls(len(some), pa.int64()), pa.nulls(len(b), pa.int64())
+    yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(ids[some]), blank, pa.array(total[some])], names=["key", "a", "b", "n"])
+    yield pa.RecordBatch.from_arrays([edge, pa.array(ids[a]), pa.array(ids[b]), edge], names=["key", "a", "b", "n"])
+
+
+def _product(threshold: float, made):
+    """The product over row blocks: tasks come sorted, and a task that a batch cuts waits for its rest. made: _paired or _counted."""
+
+    def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
         code = table["task"].to_numpy()
         ids, sizes, side, cross = (table[c].to_numpy() for c in ("doc_id", "size", "side", "cross"))
+        sizes = sizes.astype(np.int64)
         every = _grams_of(table["grams"])
         ends = np.cumsum([len(x.as_buffer()) // 7 for x in table["grams"]])
         grams = np.split(every, ends[:-1])
-        i, j, n = _overlaps(code, grams)
-        keep = (n >= threshold * (sizes[i] + sizes[j] - n) - 1e-9) & (~cross[i] | (side[i] != side[j]))
-        i, j, n = i[keep], j[keep], n[keep]
-        a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n.astype(np.int64)), pa.array(n / (sizes[i] + sizes[j] - n))], names=["doc_id_a", "doc_id_b", "overlap", "jaccard"])
+
+        def found() -> Iterator[tuple[np.ndarray, ...]]:
+            for i, j, n in _overlaps(code, grams, side, cross):
+                union = sizes[i] + sizes[j] - n
+                keep = n >= threshold * union - 1e-9
+                yield i[keep], j[keep], n[keep], union[keep]
+
+        return made(ids, table, found())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -531,13 +666,30 @@ def _product(threshold: float):
             if cut:
                 whole = pa.concat_tables(held[:-1] + [held[-1].slice(0, cut)])
                 held = [held[-1].slice(cut)]
-                yield solve(whole)
+                yield from solve(whole)
         if held:
-            yield solve(pa.concat_tables(held))
+            yield from solve(pa.concat_tables(held))
 
     return run
 
 
+def _found(docs: DataFrame, threshold: float, n: int, made, schema: str) -> tuple[DataFrame, DataFrame]:
+    """What _product makes of all pairs, and the documents (copy) of each set (key) that several have, with the least of them (doc_id) and their number (members)."""
+    spark, count = docs.sparkSession, blocks(docs)
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    heavy = spark.sparkContext.broadcast(heavy_grams(source, n, docs.count(), count))
+    by_gram = source.mapInArrow(trimmed(_incidence(n, count, heavy)), _GRAM_SCHEMA)
+    by_set = gathered(by_gram, count, "block", _holders(count), _SET_SCHEMA)
+    rows = materialise(gathered(by_set, count, "block", _rows(threshold), _ROW_SCHEMA), "incidence")
+    near, file, row = side.addressed(rows, ["*"])
+    near = near.withColumnsRenamed({file: "file", row: "row"}).where("copy IS NULL").drop("copy")
+    posts = near.select("doc_id", "size", "prefix", "grams").mapInArrow(_prefixes(count), _POST_SCHEMA)
+    part = connected_components(gathered(posts, count, "block", _links(threshold), "a long, b long"))
+    tasks = _tasks(near, part, threshold, count)
+    made = tasks.repartition(F.col("task")).sortWithinPartitions("task").mapInArrow(trimmed(_product(threshold, made)), schema)
+    return made, rows.where("copy IS NOT NULL").select("key", "doc_id", "copy", "members")
+
+
 def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
     """Every pair of documents whose sets of word n-grams have a Jaccard index of at least threshold.
 
@@ -551,22 +703,37 @@ def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) ->
     count once (if their texts differ, each text takes part under that doc_id, and pairs of
     a doc_id with itself are left out). Other columns are not read. No documents: no rows.
     """
-    spark, count = docs.sparkSession, blocks(docs)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    heavy = spark.sparkContext.broadcast(heavy_grams(source, n, docs.count(), count))
-    by_gram = source.mapInArrow(trimmed(_incidence(n, count, heavy)), _GRAM_SCHEMA)
-    by_set = gathered(by_gram, count, "block", _holders(count), _SET_SCHEMA)
-    rows = materialise(gathered(by_set, count, "block", _rows(threshold), _ROW_SCHEMA), "incidence")
-    near, file, row = side.addressed(rows, ["*"])
-    near = near.withColumnsRenamed({file: "file", row: "row"}).where("copy IS NULL").drop("copy")
-    posts = near.select("doc_id", "size", "prefix", "grams").mapInArrow(_prefixes(count), _POST_SCHEMA)
-    part = connected_components(gathered(posts, count, "block", _links(threshold), "a long, b long"))
-    tasks = _tasks(near, part, threshold, count)
-    pairs = tasks.repartition(F.col("task")).sortWithinPartitions("task").mapInArrow(trimmed(_product(threshold)), _PAIR_SCHEMA)
-    copies = rows.where("copy IS NOT NULL").select(F.col("doc_id").alias("doc_id_a"), F.col("copy").alias("doc_id_b"), F.lit(None).cast("long").alias("overlap"), F.lit(1.0).alias("jaccard"))
+    pairs, same = _found(docs, threshold, n, _paired, _PAIR_SCHEMA)
+    copies = same.select(F.col("doc_id").alias("doc_id_a"), F.col("copy").alias("doc_id_b"), F.lit(None).cast("long").alias("overlap"), F.lit(1.0).alias("jaccard"))
     return pairs.union(copies).where("doc_id_a <> doc_id_b")
 
 
+def _classes(counted: DataFrame, same: DataFrame) -> DataFrame:
+    """(node, component) of all documents that have a pair or a copy, by the edges of _counted."""
+    return connected_components(counted.where("key IS NULL").select("a", "b").union(same.select(F.col("doc_id").alias("a"), F.col("copy").alias("b"))))
+
+
+def jaccard_links(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
+    """(doc_id, class_id, n_links): every document once, the least doc_id that chains of links lead to from it, and how many documents it is linked with.
+
+    Documents are linked whose sets of word n-grams have a Jaccard index of at least threshold: all of them, copies and the near
+    copies of copies too, so n_links adds up to twice the rows of expand_pairs(). Null texts and texts without a word are
+    linked with nothing, and their class is their own. Rows whose doc_id is null have no name to be given by, and are
+    left out. Repeated rows of one doc_id count once; if their texts have different sets, each of these takes part as a document of
+    its own, and the doc_id's row has the sum of their links and their class in common. No documents: no rows.
+    """
+    made, same = _found(docs, threshold, n, _counted, _COUNT_SCHEMA)
+    counted = materialise(made, "links")
+    part = _classes(counted, same)
+    total = counted.where("key IS NOT NULL").groupBy("key", F.col("a").alias("least")).agg(F.sum("n").alias("n"))
+    copied = same.where("copy <> doc_id").join(total, "key").select("copy", "n")
+    none = F.lit(None).cast("long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), none.alias("component"), F.lit(0).cast("long").alias("n")).where("doc_id IS NOT NULL")
+    for more in (part.select("node", "component", F.lit(0).cast("long")), total.select("least", none, "n"), copied.select("copy", none, "n"), same.select("copy", none, (F.col("members") - 1).cast("long"))):
+        rows = rows.union(more)
+    return rows.groupBy("doc_id").agg(F.coalesce(F.min("component"), F.col("doc_id")).alias("class_id"), F.sum("n").alias("n_links"))
+
+
 def expand_pairs(pairs: DataFrame) -> DataFrame:
     """(doc_id_a, doc_id_b, jaccard): the pairs of jaccard_pairs() with those of all copies, doc_id_a < doc_id_b.
 
@@ -586,8 +753,8 @@ def expand_pairs(pairs: DataFrame) -> DataFrame:
 
 def near_duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
     """(doc_id, group_id): documents joined by chains of pairs; a group is named by its least doc_id. Documents without a pair have no row."""
-    pairs = jaccard_pairs(docs, threshold, n)
-    return connected_components(pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))).select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"))
+    made, same = _found(docs, threshold, n, _counted, _COUNT_SCHEMA)
+    return _classes(materialise(made, "links"), same).select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"))
 
 
 def keep_one_of_each_group(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
