@@ -154,6 +154,21 @@ def loose(n: int) -> list[tuple]:
     return [(i, "\n".join([*r.sample(lines, 2), text(r, r.randint(1, 12))]), "en", "s", 1) for i in range(n)]
 
 
+def test_loose_components_move_few_rows(spark, monkeypatch):
+    """Short sets go to few blocks, as blocks end by their grams, and no row goes to a task for each 512 others."""
+    docs = frame(spark, loose(3_000))
+    tasks, moved = jaccard._tasks, []
+
+    def counted(*args):
+        found = tasks(*args)
+        moved.append(found.count())
+        return found
+
+    monkeypatch.setattr(jaccard, "_tasks", counted)
+    jaccard.jaccard_links(docs)
+    assert 2_000 < moved[0] <= 3_000
+
+
 @pytest.mark.parametrize("block,addition", [(16_384, 640), (100, 640), (100, 1e-9), (100, 1e9), (16_384, 1e9)])
 def test_blocks_and_products_change_nothing(spark, monkeypatch, block, addition):
     """Added pair by pair, multiplied or mixed, in one block or in many: the same links."""

@@ -48,7 +48,7 @@ HEAVY = 10_000
 #: Sizes of sets within this ratio count as alike when the prefix grams of a batch are linked.
 ALIKE = 1.05
 #: Rows of the incidence matrix in one block of the product, and their grams: a block ends at either.
-ROW_BLOCK, BLOCK_GRAMS = 512, 1 << 20
+ROW_BLOCK, BLOCK_GRAMS = 16_384, 1 << 20
 #: Rows of a block whose pairs are accumulated together, and how many additions and how many pairs of theirs are held at once.
 TILE, ADDITIONS, CELLS = 512, 1 << 21, 1 << 20
 #: Bits of a gram's hash; seven bytes keep chance meetings rare among 10**14 grams.
