@@ -30,8 +30,8 @@ def _rows(t: Tables):
     return t.e.select(crypto, F.when(F.col("k") % 2 == 0, "1-hour").otherwise("4-hour").alias("timeframe"), market, "ms", F.expr(f"ms div {HOUR} * {HOUR}").alias("hour_ms"), "event_id", "value", "k", "user_id")
 
 
-def _as_ticks(df, ts: str = "ms"):
-    return df.select("crypto", "timeframe", "market_id", F.col(ts).alias("timestamp_ms"), F.col("event_id").cast("string").alias("token_id"), F.lit("websocket").alias("source"), F.col("value").alias("price"))
+def _as_ticks(df, ts: str = "ms", *more: str):
+    return df.select(*more, "crypto", "timeframe", "market_id", F.col(ts).alias("timestamp_ms"), F.col("event_id").cast("string").alias("token_id"), F.lit("websocket").alias("source"), F.col("value").alias("price"))
 
 
 @query("ticks_of_market", f"{_ROWS} SELECT ms AS timestamp_ms, CAST(event_id AS VARCHAR) AS token_id FROM t WHERE market_id = 'm7' AND timeframe = '1-hour' AND crypto = 'click'")
@@ -48,8 +48,8 @@ def compacted_ticks(t: Tables):
     root = scratch(t.spark, "compaction")
     rows = _rows(t)
     for part in ("k < 30", "k >= 30 AND k < 60", "k >= 60"):
-        some = rows.where(part).repartition(1).sortWithinPartitions("event_id").withColumn("event_id", F.lit("t"))
-        append_ticks_only(_as_ticks(some, "hour_ms"), root)
+        some = rows.where(part).withColumns({"at": F.col("event_id"), "event_id": F.lit("t")})
+        append_ticks_only(_as_ticks(some, "hour_ms", "at"), root, ["at"])
         consolidate_ticks(t.spark, root, compact_at=1000)
     compact(t.spark, root, TICKS, fold_ticks, 2)
     return t.spark.read.parquet(f"{root}/ticks").select("crypto", "timeframe", "market_id", "timestamp_ms", F.col("price").cast("double").alias("price"))

@@ -36,10 +36,23 @@ def _writer(df: DataFrame, table: Table, mode: str):
     return w.partitionBy(*table.partitions) if table.partitions else w
 
 
-def append_staged(df: DataFrame, root: str, table: Table) -> None:
-    """Append shards to the staging root without reading anything; consolidation folds them into the table."""
+def _in_order(df: DataFrame, table: Table, order: list[str]) -> DataFrame:
+    """Rows in the table's columns, those of one key in one task and in the order of columns that need not be the table's.
+
+    The partition columns lead the sort: a writer that has to sort by them itself drops the sort below. Rows are sent by the
+    first two columns of the key, which no fold takes for equal where they differ.
+    """
+    rows = optimise(df.withColumn("_src_order", F.struct(*order)), table)
+    return rows.repartition(*table.partitions, *table.key[:2]).sortWithinPartitions(*table.partitions, "_src_order").drop("_src_order")
+
+
+def append_staged(df: DataFrame, root: str, table: Table, order: list[str] | None = None) -> None:
+    """Append shards to the staging root without reading anything; consolidation folds them into the table.
+
+    order: columns by which the rows of one key follow each other, the latest last; without it their order is open.
+    """
     require_room(df.sparkSession, root)
-    _writer(optimise(df, table), table, "append").parquet(f"{root.rstrip('/')}/{STAGING}/{table.name}")
+    _writer(_in_order(df, table, order) if order else optimise(df, table), table, "append").parquet(f"{root.rstrip('/')}/{STAGING}/{table.name}")
 
 
 def append_batch(df: DataFrame, root: str, table: Table, stream: str, batch: int) -> None:
@@ -61,8 +74,8 @@ def append_batch(df: DataFrame, root: str, table: Table, stream: str, batch: int
     remove(spark, aside)
 
 
-def append_ticks_only(ticks: DataFrame, root: str) -> None:
-    append_staged(ticks, root, TICKS)
+def append_ticks_only(ticks: DataFrame, root: str, order: list[str] | None = None) -> None:
+    append_staged(ticks, root, TICKS, order)
 
 
 def copy_to(df: DataFrame, path: str) -> None:
