@@ -341,7 +341,7 @@ def session_stream(t: Tables):
 def burst_stream(t: Tables):
     """One alert as a shard reaches three events within an hour, with keyed state over a recorded stream."""
     root = scratch(t.spark, "bursts")
-    t.e.select(F.col("event_type").alias("shard_key"), (F.col("ms") / 1000).alias("ts")).coalesce(1).write.parquet(f"{root}/in")
+    t.e.select(F.col("event_type").alias("shard_key"), (F.col("ms") / 1000).alias("ts")).write.parquet(f"{root}/in")
     stream = t.spark.readStream.schema("shard_key string, ts double").parquet(f"{root}/in")
     return run_to_table(burst_alerts(stream, 3, 3600.0), f"{root}/out", f"{root}/checkpoint")
 

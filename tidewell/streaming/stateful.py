@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -55,17 +57,38 @@ class BurstWatch(StatefulProcessor):
         self.on = handle.getValueState("on", "on boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        held = [x[0] for x in self.recent.get()] if self.recent.exists() else []
+        held = np.array([x[0] for x in self.recent.get()] if self.recent.exists() else [], float)
         on = self.on.get()[0] if self.on.exists() else False
-        out = []
-        for ts in sorted(float(x) for part in rows for x in part["ts"]):
-            held = [x for x in held if ts - x <= self.window_s] + [ts]
-            if len(held) >= self.threshold and not on:
-                out.append((key[0], held[0], ts, len(held)))
-            on = len(held) >= self.threshold
-        self.recent.put([(x,) for x in held])
+        new = np.sort(np.concatenate([part["ts"].to_numpy(float) for part in rows]))
+        new = new[~np.isnan(new)]
+        starts, at, n = np.empty(0), np.empty(0), np.empty(0, int)
+        if len(new):
+            reached = self._reached(held, new)
+            alerts = np.flatnonzero(reached & ~np.concatenate([[bool(on)], reached[:-1]]))
+            near = np.count_nonzero(new - held.max() <= self.window_s) if len(held) else 0
+            joint, own = alerts[alerts < near], alerts[alerts >= near]
+            kept = [np.concatenate([held[new[i] - held <= self.window_s], new[self._first(new, i) : i + 1]]) for i in joint]
+            starts = np.concatenate([[x[0] for x in kept], new[own - self.threshold + 1]])  # of new ones alone it has just been reached
+            at, n = new[alerts], np.array([len(x) for x in kept] + [self.threshold] * len(own), int)
+            held = np.concatenate([held[new[-1] - held <= self.window_s], new[self._first(new, len(new) - 1) :]])
+            on = bool(reached[-1])
+        self.recent.put([(x,) for x in held.tolist()])
         self.on.update((on,))
-        yield pd.DataFrame(out, columns=["shard_key", "burst_start", "alert_ts", "n"])
+        yield pd.DataFrame({"shard_key": key[0], "burst_start": starts, "alert_ts": at, "n": n}, columns=["shard_key", "burst_start", "alert_ts", "n"])
+
+    def _reached(self, held: np.ndarray, new: np.ndarray) -> np.ndarray:
+        """Whether each of the new times (in order) has threshold times within its window: the latest new ones, or the latest a of those held before and the rest new."""
+        k, w = self.threshold, self.window_s
+        reached = np.zeros(len(new), bool)
+        reached[k - 1 :] = new[k - 1 :] - new[: max(0, len(new) - k + 1)] <= w
+        for a, h in enumerate(np.sort(held)[::-1][:k], 1):
+            near, b = new[: np.count_nonzero(new - h <= w)], max(1, k - a)
+            reached[b - 1 : len(near)] |= near[b - 1 :] - near[: max(0, len(near) - b + 1)] <= w
+        return reached
+
+    def _first(self, new: np.ndarray, i: int) -> int:
+        """The first of the new times in the window of the i-th."""
+        return bisect_left(range(i + 1), True, key=lambda j: new[i] - new[j] <= self.window_s)
 
     def close(self) -> None:
         pass
